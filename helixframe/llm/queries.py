@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard, substring_dedup
+from . import bpe, cover_tree, graph_search, ngram_jaccard, packing, substring_dedup, unigram
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -18,6 +25,26 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op6_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -42,6 +69,16 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(root, d.doc_id)
 from documents d left join size using (doc_id) left join component c on c.id = d.doc_id""",
 }
 
+SQL["op4_embedding_near_dedup"] = f"""
+with recursive fit as (select vec_id, label, embedding::double[] as v from embeddings where embedding is not null and label is not null
+    and list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+link as (select x.vec_id as a, y.vec_id as b from fit x join fit y on x.label = y.label and x.vec_id <> y.vec_id
+    where list_cosine_similarity(x.v, y.v) >= 0.93),
+{_REACH},
+degree as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, vec_id) as component_id, coalesce(root, vec_id) = vec_id as kept
+from embeddings left join degree on a = vec_id left join component on id = vec_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
