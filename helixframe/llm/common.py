@@ -84,7 +84,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         spread = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         after = spread.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
-        changed = after.filter("old <> label").limit(1).count()
         labels = after.select("id", "label")
-        if not changed:
+        if after.filter("old <> label").isEmpty():
             return labels.select("id", F.col("label").alias("component_id"))

@@ -10,7 +10,7 @@ signature: linked sets share one, always.
 
 Sets are compared with the hub of a signature group, never all with all.
 Members that links have joined need no more comparing; groups that still hold
-several components get more hubs, four times as many a round, until each group
+several components get more hubs, HUBS times as many a round, until each group
 is one component or every member has been a hub. So no link is lost.
 
 Nulls: a null text is empty; a null id takes no part and gets no component.
@@ -32,6 +32,8 @@ from . import textkernel as tk
 from .common import connected_components, may_contain, prepare
 
 _U = np.uint64
+#: By how much each round has more hubs in a group that isn't one component.
+HUBS = 64
 ROWS = "doc_id long, n_shingles long, key long"
 SETS = "key long, n int, items array<long>"
 
@@ -114,10 +116,8 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    apt = "100 * least(na, nb) >= {0} * greatest(na, nb)".format(percent)
     both = F.size(F.array_intersect("ia", "ib"))
-    sized = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b").filter(apt).select("a", "b")
-    return sized.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -129,29 +129,26 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
     some = docs.filter("doc_id is not null").select("text")
     sigs = some.mapInArrow(partial(_signatures, n=n, percent=percent), "sig long, key long")
     shared = sigs.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub < top").select("sig", "hub")
-    members = sigs.join(shared, "sig").select("sig", "key", "hub").checkpoint()
+    members = sigs.join(shared, "sig").select("sig", "key", "hub").distinct().checkpoint()
     wanted = members.select("key").distinct()
     lookup = rows.join(wanted, "key", "left_semi").filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
     texts = may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(partial(_sets, n=n), SETS).join(wanted, "key", "left_semi").dropDuplicates(["key"]).checkpoint()
     pairs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(pairs, sets, percent).checkpoint()
-    done = pairs
     hubs = 1
     while True:
         joined = connected_components(links)
-        named = members.select("sig", "key").distinct().join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
-        open_ = named.groupBy("sig").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("m")).filter(f"lo < hi and m > {hubs}").select("sig")
+        named = members.select("sig", "key").join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+        open_ = named.groupBy("sig").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").filter(F.col("m") > hubs).select("sig")
         left = named.join(open_, "sig", "left_semi").checkpoint()
-        if not left.limit(1).count():
+        if left.isEmpty():
             return rows, joined
-        hubs *= 4
+        hubs *= HUBS
         order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
         chosen = left.withColumn("r", order).filter(f"r <= {hubs}").select("sig", F.col("key").alias("a"), F.col("component_id").alias("ca"))
         more = left.withColumnRenamed("key", "b").join(chosen, "sig").filter("a <> b and ca <> component_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = more.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
         links = links.unionByName(_verified(more, sets, percent)).checkpoint()
-        done = done.unionByName(more)
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
