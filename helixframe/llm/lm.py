@@ -33,7 +33,7 @@ from .common import prepare
 
 #: Tokens that are classes of their own; classes of other tokens; length of
 #: vectors; noise samples a step; tokens a step; tokens whose counts are sent.
-OWN, SHAPES, WIDTH, NOISE, STEP, SENT = 768, 255, 24, 64, 8192, 1 << 16
+OWN, SHAPES, WIDTH, NOISE, STEP, SENT = 768, 255, 16, 64, 512, 1 << 16
 END = np.uint64(0x656E64)  # the end token's name; words' names are scrambled
 _U = np.uint64
 #: Classes: OWN tokens, SHAPES, end (last of the outputs), start (context alone).
@@ -165,7 +165,9 @@ class Model:
         shift = np.log(NOISE * noise)
 
         def scatter(rows: int, index: np.ndarray, values: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(index, values[:, j], rows) for j in range(values.shape[1])], 1)
+            wide = values.shape[1]
+            flat = (index[:, None] * wide + np.arange(wide)).ravel()
+            return np.bincount(flat, values.ravel(), rows * wide).reshape(rows, wide)
 
         def step(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             other = np.minimum(np.searchsorted(cumulative, g.random(NOISE)), CLASSES - 1)
@@ -178,8 +180,8 @@ class Model:
             gd = 1 / (1 + np.exp(-np.clip(down, -30, 30)))
             back = gu[:, None] * qc + gd @ qo
             grad = {"A": ra.T @ back, "B": rb.T @ back}
-            grad["R"] = scatter(CLASSES + 1, a, back @ v["A"].T) + scatter(CLASSES + 1, b, back @ v["B"].T)
-            grad["Q"] = scatter(CLASSES, c, gu[:, None] * hidden) + scatter(CLASSES, other, gd.T @ hidden)
+            grad["R"] = scatter(CLASSES + 1, np.concatenate([a, b]), np.concatenate([back @ v["A"].T, back @ v["B"].T]))
+            grad["Q"] = scatter(CLASSES, np.concatenate([c, other]), np.concatenate([gu[:, None] * hidden, gd.T @ hidden]))
             grad["bias"] = (np.bincount(c, gu, CLASSES) + np.bincount(other, gd.sum(0), CLASSES))[:, None]
             for k, x in grad.items():
                 x /= len(c)
@@ -233,7 +235,7 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: Model) -
         log_c = np.where(sent, np.log10((lexicon.counts[at] if len(lexicon.counts) else 0) + 1.0), 0)
         base = sums(w.doc, log_c) - tokens * whole + np.log10(lexicon.docs + 1)
         shaped = kinds >= OWN
-        score += sums(w.doc[shaped], (log_c - lexicon.spread[kinds - OWN])[shaped])
+        score += sums(w.doc[shaped], log_c[shaped] - lexicon.spread[kinds[shaped] - OWN])
         known = sums(w.doc, sent.astype(float)).astype(np.int64) + (lexicon.docs > 0)
         rid, ids = part.column("rid"), part.column("doc_id")
         zero = np.zeros(n, np.int32)
@@ -249,7 +251,7 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: Model) -
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(h[first].view(np.int64)), rid.take(pa.array(d[first])), no(pa.int64()), pa.array(m), no(pa.int64()), no(pa.int64()), no(pa.float64()), no(pa.float64())], names)
 
 
-def score(documents: DataFrame, rounds: int = 2, fold: int = 7, held: int = 2) -> DataFrame:
+def score(documents: DataFrame, rounds: int = 1, fold: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     (log10 probability of the whole text) of each row. Rows whose crc32 of the
     id modulo ``fold`` is ``held`` are held out of all learning."""
@@ -265,7 +267,7 @@ def score(documents: DataFrame, rounds: int = 2, fold: int = 7, held: int = 2) -
     lexicon = Lexicon(top, totals).with_docs(docs_learned)
     model = Model.fresh(lexicon.noise)
     for turn in range(rounds if docs_learned else 0):
-        rows = learn.mapInArrow(partial(_trained, lexicon=lexicon, model=model, rate=0.1 / (turn + 1)), "name string, i int, j int, x double, w double")
+        rows = learn.mapInArrow(partial(_trained, lexicon=lexicon, model=model, rate=0.2 / (turn + 1)), "name string, i int, j int, x double, w double")
         mean = rows.groupBy("name", "i", "j").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()  # as many rows as the model has parameters
         values = {k: np.zeros(s) for k, s in Model.SHAPE.items()}
         for k, x in mean.groupby("name"):
