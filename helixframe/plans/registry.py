@@ -98,10 +98,10 @@ def kmer_delta_sparse(spark, d):
 
 def linear_score(spark, d) -> DataFrame:
     w = (F.conv(F.substring(I.sha256_hex("word"), 1, 8), 16, 10).cast("long") % 1000 - 500) / 1000.0
-    return word_delta(spark, d).groupBy("doc_id", "family").agg(F.round(F.sum(F.col("delta") * w), 6).alias("score"))
+    return word_delta(spark, d).groupBy("doc_id", "family").agg((F.round(F.sum(F.col("delta") * w), 6) + 0.0).alias("score"))
 
 
-SCORE_SQL = DELTA_SQL + f", scores as (select doc_id, family, round(sum(delta * ({WEIGHT_SQL})), 6) as score from delta group by all)"
+SCORE_SQL = DELTA_SQL + f", scores as (select doc_id, family, round(sum(delta * ({WEIGHT_SQL})), 6) + 0.0 as score from delta group by all)"
 
 
 @query(f"with {SCORE_SQL} select doc_id, score from scores")
@@ -349,9 +349,9 @@ def effective_particles(spark, d):
     return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(Q.effective_size("l_quantity"), 6).alias("effective"))
 
 
-@query("select l_shipdate::date as day, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers from lineitem group by 1")
+@query("select strftime(l_shipdate, '%Y-%m-%d') as day, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers from lineitem group by 1")
 def distinct_families(spark, d):
-    return t(spark, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return t(spark, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
 # Joins, islands, graphs
