@@ -4,8 +4,8 @@ Sets of size s fall in bands whose upper ends grow by the factor 1/threshold,
 so linked sets lie in one band or in two neighbours. Under the tag of a band
 with upper end u, linked sets differ in at most k = (1-t)/(1+t) * 2u elements.
 The feature domain is cut into n1 partitions, more than k/2, so some partition
-holds at most one difference; it is cut again into three, and of the three
-pairs of those at least one holds no difference. The pair's content is the
+holds at most one difference; it is cut again into PARTS, and of their subsets
+of PARTS - 1 at least one holds no difference. The subset's content is the
 signature: linked sets share one, always.
 
 Sets are compared with the hub of a signature group, never all with all.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from . import textkernel as tk
 from .common import connected_components, may_contain, prepare
 
 _U = np.uint64
+#: Second-level partitions. More make signatures rarer and more numerous: there
+#: are PARTS for each first-level partition, each of (PARTS - 1) / PARTS of it.
+PARTS = 2
 #: By how much each round has more hubs in a group that isn't one component.
 HUBS = 64
 ROWS = "doc_id long, n_shingles long, key long"
@@ -66,18 +70,19 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         tag = np.searchsorted(ends, sizes) + step
         most = 2 * ends[tag] * (100 - percent) // (100 + percent)
         n1 = np.where((most > 0) & (sizes > 0), (most + 2) // 2, 0)
-        cells = 3 * n1
+        cells = PARTS * n1
         base = np.concatenate([[0], np.cumsum(cells)])
         use = n1[whose] > 0
         own = whose[use]
         place = base[own] + (tk.mix(items[use] ^ tk.mix(tag[own].astype(np.uint64))) % cells[own].astype(np.uint64)).astype(np.int64)
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, place, value[use])
-        part = tk.mix(total).reshape(-1, 3)
+        part = tk.mix(total).reshape(-1, PARTS)
         of = np.repeat(np.arange(len(sets)), n1)
-        name = tk.mix(tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - base[of] // 3).astype(np.uint64))
-        for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            found.append((of, tk.mix(part[:, i] * _U(3) + part[:, j] * _U(0xC2B2AE3D27D4EB4F) + name + _U(k))))
+        name = tk.mix(tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - base[of] // PARTS).astype(np.uint64))
+        for k, subset in enumerate(combinations(range(PARTS), PARTS - 1)):
+            held = sum(((part[:, i] * _U(2 * i + 3)) for i in subset), name + _U(k))
+            found.append((of, tk.mix(held)))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
