@@ -8,7 +8,8 @@ holds at most one difference; it is cut again into PARTS, and of their subsets
 of PARTS - 1 at least one holds no difference. The subset's content is the
 signature: linked sets share one, always.
 
-Sets are compared with the hub of a signature group, never all with all.
+Sets are compared with hubs of signature groups, never all with all: first each
+with the hub that it shares most signatures with.
 Members that links have joined need no more comparing; groups that still hold
 several components get more hubs, HUBS times as many a round, until each group
 is one component or every member has been a hub. So no link is lost.
@@ -21,6 +22,7 @@ gives an empty result. Columns besides id and text are never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
 
@@ -39,7 +41,7 @@ PARTS = 2
 #: By how much each round has more hubs in a group that isn't one component.
 HUBS = 64
 ROWS = "doc_id long, n_shingles long, key long"
-SETS = "key long, n int, items array<long>"
+SETS = "key long, n int, tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>, items array<long>"
 
 
 def bands(limit: int, percent: int) -> np.ndarray:
@@ -56,30 +58,44 @@ def set_key(s: np.ndarray) -> int:
     return int(tk.mix(np.array([np.add.reduce(tk.mix(s ^ _U(0x5851F42D4C957F2D))) + _U(len(s))], np.uint64))[0])
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of every signature, under both tags."""
+@dataclass
+class Cells:
+    """Sets cut under one tag: set k has the cells base[k]..base[k + 1], PARTS
+    for each first-level partition; linked sets differ in ``most`` at most."""
+
+    tag: np.ndarray
+    most: np.ndarray
+    base: np.ndarray
+    content: np.ndarray
+
+
+def cut(sets: list[np.ndarray], percent: int, step: int) -> Cells:
+    """Contents of the cells under the tag of each set's own band (step 0) or of
+    the next one."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    if not len(sizes) or not sizes.max():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ends = bands(int(sizes.max()), percent)
-    items = np.concatenate(sets)
+    ends = bands(int(sizes.max(initial=1)), percent)
+    tag = np.searchsorted(ends, sizes) + step
+    most = 2 * ends[tag] * (100 - percent) // (100 + percent)
+    cells = PARTS * np.where((most > 0) & (sizes > 0), (most + 2) // 2, 0)
+    base = np.concatenate([[0], np.cumsum(cells)])
+    items = np.concatenate([np.zeros(0, np.uint64), *sets])
     whose = np.repeat(np.arange(len(sets)), sizes)
-    value = tk.mix(items + _U(0x2545F4914F6CDD1D))
-    found = []
+    use = cells[whose] > 0
+    own, items = whose[use], items[use]
+    place = base[own] + (tk.mix(items ^ tk.mix(tag[own].astype(np.uint64))) % cells[own].astype(np.uint64)).astype(np.int64)
+    total = np.zeros(base[-1], np.uint64)
+    np.add.at(total, place, tk.mix(items + _U(0x2545F4914F6CDD1D)))
+    return Cells(tag, most, base, tk.mix(total))
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, signature) of every signature, under both tags."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for step in (0, 1):
-        tag = np.searchsorted(ends, sizes) + step
-        most = 2 * ends[tag] * (100 - percent) // (100 + percent)
-        n1 = np.where((most > 0) & (sizes > 0), (most + 2) // 2, 0)
-        cells = PARTS * n1
-        base = np.concatenate([[0], np.cumsum(cells)])
-        use = n1[whose] > 0
-        own = whose[use]
-        place = base[own] + (tk.mix(items[use] ^ tk.mix(tag[own].astype(np.uint64))) % cells[own].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, place, value[use])
-        part = tk.mix(total).reshape(-1, PARTS)
-        of = np.repeat(np.arange(len(sets)), n1)
-        name = tk.mix(tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - base[of] // PARTS).astype(np.uint64))
+        c = cut(sets, percent, step)
+        part = c.content.reshape(-1, PARTS)
+        of = np.repeat(np.arange(len(sets)), np.diff(c.base) // PARTS)
+        name = tk.mix(c.tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - c.base[of] // PARTS).astype(np.uint64))
         for k, subset in enumerate(combinations(range(PARTS), PARTS - 1)):
             held = sum(((part[:, i] * _U(2 * i + 3)) for i in subset), name + _U(k))
             found.append((of, tk.mix(held)))
@@ -110,19 +126,36 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], ["sig", "key"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
             sets = tk.shingle_sets(tk.words(part.column("text")), n)
-            items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), items], ["key", "n", "items"])
+            columns = [pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32())]
+            for step in (0, 1):
+                c = cut(sets, percent, step)
+                marks = (c.content & _U(255)).astype(np.uint8).view(np.int8)
+                columns += [pa.array(c.tag), pa.array(c.most), pa.ListArray.from_arrays(pa.array(c.base, pa.int32()), pa.array(marks))]
+            columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "tag", "most", "marks", "tag1", "most1", "marks1", "items"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of keys (a, b) whose sets link. First their marks, a byte a cell,
+    are compared under the tag that both have: sets differ at least once in each
+    cell whose marks differ, so more such cells than linked sets may differ in
+    settle a pair. Whole sets travel for the others alone."""
+    names = ["tag", "most", "marks", "tag1", "marks1"]
+    side = lambda k: sets.select(F.col("key").alias(k), *[F.col(c).alias(c + k) for c in names])
+    unlike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.when(u == v, 0).otherwise(1)), F.lit(0), lambda t, u: t + u)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    may = F.when(F.col("taga") == F.col("tagb"), unlike("marksa", "marksb") <= F.col("mosta"))
+    may = may.when(F.col("taga") == F.col("tag1b"), unlike("marksa", "marks1b") <= F.col("mosta"))
+    may = may.when(F.col("tag1a") == F.col("tagb"), unlike("marks1a", "marksb") <= F.col("mostb")).otherwise(False)
+    near = both.filter(may).select("a", "b")
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    common = F.size(F.array_intersect("ia", "ib"))
+    return near.join(one, "a").join(two, "b").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -138,10 +171,12 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
     wanted = members.select("key").distinct()
     lookup = rows.join(wanted, "key", "left_semi").filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
     texts = may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(partial(_sets, n=n), SETS).join(wanted, "key", "left_semi").dropDuplicates(["key"]).checkpoint()
-    pairs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    sets = texts.select("text").mapInArrow(partial(_sets, n=n, percent=percent), SETS).join(wanted, "key", "left_semi").dropDuplicates(["key"]).checkpoint()
+    # first each member with the hub that it shares most signatures with
+    shares = members.filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
+    pairs = shares.groupBy(F.col("key").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
     links = _verified(pairs, sets, percent).checkpoint()
-    hubs = 1
+    hubs = 0
     while True:
         joined = connected_components(links)
         named = members.select("sig", "key").join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
@@ -149,7 +184,7 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
         left = named.join(open_, "sig", "left_semi").checkpoint()
         if left.isEmpty():
             return rows, joined
-        hubs *= HUBS
+        hubs = HUBS * max(1, hubs)
         order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
         chosen = left.withColumn("r", order).filter(f"r <= {hubs}").select("sig", F.col("key").alias("a"), F.col("component_id").alias("ca"))
         more = left.withColumnRenamed("key", "b").join(chosen, "sig").filter("a <> b and ca <> component_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
