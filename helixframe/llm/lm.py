@@ -261,7 +261,16 @@ def score(documents: DataFrame, rounds: int = 1, fold: int = 7, held: int = 2) -
     learn = docs.filter(~crc).select("text")
     counts = learn.mapInArrow(_counted, "h long, shape int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape")).checkpoint()
     words = counts.filter(F.col("shape") < SHAPES)
-    top = [(r.h, r["shape"], r.c) for r in words.orderBy(F.desc("c"), "h").limit(SENT).select("h", "shape", "c").collect()]
+    # the frequent words: those of the highest counts, by sixteenths of a doubling, as far as SENT goes
+    level = F.floor(F.log2("c") * 16).cast("int")
+    cut, held = 0, 0
+    for r in sorted(words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        held += r.n
+        if held > SENT:
+            cut = r.level + 1
+            break
+    top = [(r.h, r["shape"], r.c) for r in words.filter(level >= cut).select("h", "shape", "c").collect()]
+    top.sort(key=lambda x: (-x[2], x[0]))
     totals = [tuple(r) for r in words.groupBy("shape").agg(F.sum("c"), F.count(F.lit(1))).collect()]
     docs_learned = counts.filter(F.col("shape") == SHAPES).agg(F.sum("c")).first()[0] or 0
     lexicon = Lexicon(top, totals).with_docs(docs_learned)
