@@ -58,12 +58,12 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[
         yield from work(pa.Table.from_batches(held))
 
 
-def may_contain(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+def may_contain(df: DataFrame, column: str, ids: DataFrame, id_column: str, size: int = FILTER_BITS) -> DataFrame:
     """Rows of df whose id may be in ids: all that are, and a few others.
 
-    One bit for each hash value of an id, FILTER_BITS in all whatever the data;
-    so what is broadcast is at most FILTER_BITS / 64 rows of 16 bytes."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    One bit for each hash value of an id, ``size`` bits whatever the data; so
+    what is broadcast is at most size / 64 rows of 16 bytes."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     word = lambda c: F.shiftright(place(c), 6)
     bit = lambda c: F.expr("shiftleft(1L, cast(p % 64 as int))")
     bits = ids.select(place(F.col(id_column)).alias("p")).select(F.shiftright("p", 6).alias("_word"), bit("p").alias("_b")).groupBy("_word").agg(F.bit_or("_b").alias("_bits"))

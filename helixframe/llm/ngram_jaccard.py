@@ -40,6 +40,8 @@ _U = np.uint64
 PARTS = 2
 #: By how much each round has more hubs in a group that isn't one component.
 HUBS = 64
+#: Bits of the filter of signatures whose groups are large: 8 MB at most.
+GROUP_BITS = 1 << 25
 ROWS = "doc_id long, n_shingles long, key long"
 SETS = "key long, n int, tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>, items array<long>"
 
@@ -166,15 +168,19 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
     rows = docs.mapInArrow(partial(_rows, n=n), ROWS).checkpoint()
     some = docs.filter("doc_id is not null").select("text")
     sigs = some.mapInArrow(partial(_signatures, n=n, percent=percent), "sig long, key long")
-    shared = sigs.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top")).filter("hub < top").select("sig", "hub")
-    members = sigs.join(shared, "sig").select("sig", "key", "hub").distinct().checkpoint()
-    wanted = members.select("key").distinct()
+    groups = sigs.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top"), F.count(F.lit(1)).alias("n")).filter("hub < top").checkpoint()
+    # two rows are a pair as they stand; only larger groups are met again
+    couples = groups.filter("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b")).distinct()
+    large = groups.filter("n > 2").select("sig", "hub")
+    members = may_contain(sigs, "sig", large, "sig", GROUP_BITS).join(large, "sig").select("sig", "key", "hub").checkpoint()
+    # of larger groups, each member with the hub that it shares most with
+    shares = members.filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = shares.groupBy(F.col("key").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
+    pairs = couples.unionByName(best).distinct().checkpoint()
+    wanted = members.select("key").unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     lookup = rows.join(wanted, "key", "left_semi").filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
     texts = may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = texts.select("text").mapInArrow(partial(_sets, n=n, percent=percent), SETS).join(wanted, "key", "left_semi").dropDuplicates(["key"]).checkpoint()
-    # first each member with the hub that it shares most signatures with
-    shares = members.filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
-    pairs = shares.groupBy(F.col("key").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
     links = _verified(pairs, sets, percent).checkpoint()
     hubs = 0
     while True:
