@@ -42,8 +42,9 @@ PARTS = 2
 HUBS = 64
 #: Bits of the filter of signatures whose groups are large: 8 MB at most.
 GROUP_BITS = 1 << 25
-ROWS = "doc_id long, n_shingles long, key long"
-SETS = "key long, n int, tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>, items array<long>"
+MARKS = "tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>"
+ROWS = "doc_id long, n_shingles long, key long, " + MARKS
+SETS = "key long, n int, items array<long>"
 
 
 def bands(limit: int, percent: int) -> np.ndarray:
@@ -104,11 +105,16 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
             sets = tk.shingle_sets(tk.words(part.column("text")), n)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64))], ["doc_id", "n_shingles", "key"])
+            columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64))]
+            for step in (0, 1):
+                c = cut(sets, percent, step)
+                marks = (c.content & _U(255)).astype(np.uint8).view(np.int8)
+                columns += [pa.array(c.tag), pa.array(c.most), pa.ListArray.from_arrays(pa.array(c.base, pa.int32()), pa.array(marks))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "tag", "most", "marks", "tag1", "most1", "marks1"])
 
 
 def _new(keys: list[int], sets: list[np.ndarray], seen: set[int]) -> list[int]:
@@ -128,36 +134,36 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], ["sig", "key"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
             sets = tk.shingle_sets(tk.words(part.column("text")), n)
-            columns = [pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32())]
-            for step in (0, 1):
-                c = cut(sets, percent, step)
-                marks = (c.content & _U(255)).astype(np.uint8).view(np.int8)
-                columns += [pa.array(c.tag), pa.array(c.most), pa.ListArray.from_arrays(pa.array(c.base, pa.int32()), pa.array(marks))]
-            columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "tag", "most", "marks", "tag1", "most1", "marks1", "items"])
+            items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), items], ["key", "n", "items"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs of keys (a, b) whose sets link. First their marks, a byte a cell,
     are compared under the tag that both have: sets differ at least once in each
     cell whose marks differ, so more such cells than linked sets may differ in
-    settle a pair. Whole sets travel for the others alone."""
+    settle a pair. Whole sets are made and travel for the others alone."""
     names = ["tag", "most", "marks", "tag1", "marks1"]
-    side = lambda k: sets.select(F.col("key").alias(k), *[F.col(c).alias(c + k) for c in names])
+    marked = rows.filter("doc_id is not null").dropDuplicates(["key"])
+    side = lambda k: marked.select(F.col("key").alias(k), *[F.col(c).alias(c + k) for c in names])
     unlike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.when(u == v, 0).otherwise(1)), F.lit(0), lambda t, u: t + u)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     may = F.when(F.col("taga") == F.col("tagb"), unlike("marksa", "marksb") <= F.col("mosta"))
     may = may.when(F.col("taga") == F.col("tag1b"), unlike("marksa", "marks1b") <= F.col("mosta"))
     may = may.when(F.col("tag1a") == F.col("tagb"), unlike("marks1a", "marksb") <= F.col("mostb")).otherwise(False)
-    near = both.filter(may).select("a", "b")
+    near = both.filter(may).select("a", "b").checkpoint()
+    wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    lookup = rows.select("doc_id", "key").filter("doc_id is not null").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    texts = may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = texts.select("text").mapInArrow(partial(_sets, n=n), SETS).join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key"]).checkpoint()
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     common = F.size(F.array_intersect("ia", "ib"))
-    return near.join(one, "a").join(two, "b").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return near.join(one, "a").join(two, "b").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").checkpoint()
 
 
 def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +171,7 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
     and (id, component_id) over the keys of sets that link with another set."""
     spark = prepare(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(partial(_rows, n=n), ROWS).checkpoint()
+    rows = docs.mapInArrow(partial(_rows, n=n, percent=percent), ROWS).checkpoint()
     some = docs.filter("doc_id is not null").select("text")
     sigs = some.mapInArrow(partial(_signatures, n=n, percent=percent), "sig long, key long")
     groups = sigs.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top"), F.count(F.lit(1)).alias("n")).filter("hub < top").checkpoint()
@@ -177,11 +183,7 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
     shares = members.filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = shares.groupBy(F.col("key").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
     pairs = couples.unionByName(best).distinct().checkpoint()
-    wanted = members.select("key").unionByName(pairs.select(F.col("a").alias("key"))).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    lookup = rows.join(wanted, "key", "left_semi").filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
-    texts = may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(partial(_sets, n=n, percent=percent), SETS).join(wanted, "key", "left_semi").dropDuplicates(["key"]).checkpoint()
-    links = _verified(pairs, sets, percent).checkpoint()
+    links = _verified(pairs, rows, docs, n, percent)
     hubs = 0
     while True:
         joined = connected_components(links)
@@ -194,7 +196,7 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
         order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
         chosen = left.withColumn("r", order).filter(f"r <= {hubs}").select("sig", F.col("key").alias("a"), F.col("component_id").alias("ca"))
         more = left.withColumnRenamed("key", "b").join(chosen, "sig").filter("a <> b and ca <> component_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(_verified(more, sets, percent)).checkpoint()
+        links = links.unionByName(_verified(more, rows, docs, n, percent)).checkpoint()
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -202,7 +204,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     link when ``100 * intersection >= percent * union`` of their sets of n-word
     shingles; component_id is the smallest doc_id that links reach."""
     rows, joined = set_components(documents, n, percent)
-    named = rows.join(joined.withColumnRenamed("id", "key").withColumnRenamed("component_id", "set_id"), "key", "left")
+    named = rows.select("doc_id", "n_shingles", "key").join(joined.withColumnRenamed("id", "key").withColumnRenamed("component_id", "set_id"), "key", "left")
     named = named.withColumn("set_id", F.when(F.col("n_shingles") > 0, F.coalesce("set_id", "key")))
     least = named.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
