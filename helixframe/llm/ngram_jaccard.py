@@ -3,10 +3,12 @@
 Sets of size s fall in bands whose upper ends grow by the factor 1/threshold,
 so linked sets lie in one band or in two neighbours. Under the tag of a band
 with upper end u, linked sets differ in at most k = (1-t)/(1+t) * 2u elements.
-The feature domain is cut into n1 partitions, more than k/2, so some partition
-holds at most one difference; it is cut again into PARTS, and of their subsets
-of PARTS - 1 at least one holds no difference. The subset's content is the
-signature: linked sets share one, always.
+The feature domain is cut into n1 partitions, each cut again into two cells;
+n1 is more than k/2, so some partition holds at most one difference and one of
+its cells, the subset without the other, none. Each cell's content is a
+signature. With C cells in all, C - k at least agree, so linked sets share that
+many. A set may therefore leave out (C - k - 1) / 2 signatures, and so may the
+other: empty cells, which say nothing, are left out as far as that goes.
 
 Sets are compared with hubs of signature groups, never all with all: first each
 with the hub that it shares most signatures with.
@@ -24,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,7 @@ from . import textkernel as tk
 from .common import connected_components, may_contain, prepare
 
 _U = np.uint64
-#: Second-level partitions. More make signatures rarer and more numerous: there
-#: are PARTS for each first-level partition, each of (PARTS - 1) / PARTS of it.
+#: Cells of a first-level partition.
 PARTS = 2
 #: By how much each round has more hubs in a group that isn't one component.
 HUBS = 64
@@ -70,6 +70,7 @@ class Cells:
     most: np.ndarray
     base: np.ndarray
     content: np.ndarray
+    empty: np.ndarray
 
 
 def cut(sets: list[np.ndarray], percent: int, step: int) -> Cells:
@@ -79,7 +80,7 @@ def cut(sets: list[np.ndarray], percent: int, step: int) -> Cells:
     ends = bands(int(sizes.max(initial=1)), percent)
     tag = np.searchsorted(ends, sizes) + step
     most = 2 * ends[tag] * (100 - percent) // (100 + percent)
-    cells = PARTS * np.where((most > 0) & (sizes > 0), (most + 2) // 2, 0)
+    cells = PARTS * np.where((most > 0) & (sizes > 0), (most + 2) // 2 + np.maximum(1, most // 8), 0)
     base = np.concatenate([[0], np.cumsum(cells)])
     items = np.concatenate([np.zeros(0, np.uint64), *sets])
     whose = np.repeat(np.arange(len(sets)), sizes)
@@ -88,7 +89,7 @@ def cut(sets: list[np.ndarray], percent: int, step: int) -> Cells:
     place = base[own] + (tk.mix(items ^ tk.mix(tag[own].astype(np.uint64))) % cells[own].astype(np.uint64)).astype(np.int64)
     total = np.zeros(base[-1], np.uint64)
     np.add.at(total, place, tk.mix(items + _U(0x2545F4914F6CDD1D)))
-    return Cells(tag, most, base, tk.mix(total))
+    return Cells(tag, most, base, tk.mix(total), total == 0)
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,12 +97,13 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for step in (0, 1):
         c = cut(sets, percent, step)
-        part = c.content.reshape(-1, PARTS)
-        of = np.repeat(np.arange(len(sets)), np.diff(c.base) // PARTS)
-        name = tk.mix(c.tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - c.base[of] // PARTS).astype(np.uint64))
-        for k, subset in enumerate(combinations(range(PARTS), PARTS - 1)):
-            held = sum(((part[:, i] * _U(2 * i + 3)) for i in subset), name + _U(k))
-            found.append((of, tk.mix(held)))
+        cells = np.diff(c.base)
+        of = np.repeat(np.arange(len(sets)), cells)
+        name = tk.mix(c.tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - c.base[of]).astype(np.uint64))
+        before = np.concatenate([[0], np.cumsum(c.empty)])
+        nth = before[:-1] - before[c.base[of]]  # of the set's empty cells
+        keep = ~c.empty | (nth >= np.maximum(0, (cells - c.most - 1) // 2)[of])
+        found.append((of[keep], tk.mix(c.content * _U(3) + name)[keep]))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
