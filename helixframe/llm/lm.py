@@ -263,10 +263,10 @@ def score(documents: DataFrame, rounds: int = 1, fold: int = 7, held: int = 2) -
     words = counts.filter(F.col("shape") < SHAPES)
     # the frequent words: those of the highest counts, by sixteenths of a doubling, as far as SENT goes
     level = F.floor(F.log2("c") * 16).cast("int")
-    cut, held = 0, 0
+    cut, taken = 0, 0
     for r in sorted(words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
-        held += r.n
-        if held > SENT:
+        taken += r.n
+        if taken > SENT:
             cut = r.level + 1
             break
     top = [(r.h, r["shape"], r.c) for r in words.filter(level >= cut).select("h", "shape", "c").collect()]
