@@ -10,11 +10,16 @@ signature. With C cells in all, C - k at least agree, so linked sets share that
 many. A set may therefore leave out (C - k - 1) / 2 signatures, and so may the
 other: empty cells, which say nothing, are left out as far as that goes.
 
-Sets are compared with hubs of signature groups, never all with all: first each
-with the hub that it shares most signatures with.
-Members that links have joined need no more comparing; groups that still hold
-several components get more hubs, HUBS times as many a round, until each group
-is one component or every member has been a hub. So no link is lost.
+Sets are compared with hubs of signature groups, never all with all. A group's
+hub is its most central member, whose other signatures have the largest groups;
+each set first meets the hub that it shares most signatures with. Members that
+links have joined need no more comparing. Sets of groups that still hold several
+components are cut again into FINE times k cells, of which C - k agree if sets
+link. So the k + 1 rarest cells of both, in one order, have one in common, and
+only those are signatures now: what most members of a group share brings no two
+together that differ in more than k cells from it. Groups of these signatures
+get hubs, HUBS times as many a round, until each is one component or every
+member has been a hub. So no link is lost.
 
 Nulls: a null text is empty; a null id takes no part and gets no component.
 Empty sets link with nothing. Repeated rows each give a row. An empty table
@@ -39,7 +44,9 @@ _U = np.uint64
 #: Cells of a first-level partition.
 PARTS = 2
 #: By how much each round has more hubs in a group that isn't one component.
-HUBS = 64
+HUBS = 8
+#: Cells of the second cut for each element that linked sets may differ in.
+FINE = 4
 #: Bits of the filter of signatures whose groups are large: 8 MB at most.
 GROUP_BITS = 1 << 25
 MARKS = "tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>"
@@ -73,14 +80,17 @@ class Cells:
     empty: np.ndarray
 
 
-def cut(sets: list[np.ndarray], percent: int, step: int) -> Cells:
+def cut(sets: list[np.ndarray], percent: int, step: int, fine: int = 0) -> Cells:
     """Contents of the cells under the tag of each set's own band (step 0) or of
-    the next one."""
+    the next one; ``fine`` cells for each element that linked sets may differ
+    in, or PARTS for each partition of the first cut."""
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = bands(int(sizes.max(initial=1)), percent)
     tag = np.searchsorted(ends, sizes) + step
     most = 2 * ends[tag] * (100 - percent) // (100 + percent)
     cells = PARTS * np.where((most > 0) & (sizes > 0), (most + 2) // 2 + np.maximum(1, most // 8), 0)
+    if fine:
+        cells = np.where(cells > 0, fine * most + 1, 0)
     base = np.concatenate([[0], np.cumsum(cells)])
     items = np.concatenate([np.zeros(0, np.uint64), *sets])
     whose = np.repeat(np.arange(len(sets)), sizes)
@@ -98,15 +108,21 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     for step in (0, 1):
         c = cut(sets, percent, step)
         cells = np.diff(c.base)
-        of = np.repeat(np.arange(len(sets)), cells)
-        name = tk.mix(c.tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - c.base[of]).astype(np.uint64))
+        of, sig = cell_names(c)
         before = np.concatenate([[0], np.cumsum(c.empty)])
         nth = before[:-1] - before[c.base[of]]  # of the set's empty cells
         keep = ~c.empty | (nth >= np.maximum(0, (cells - c.most - 1) // 2)[of])
-        found.append((of[keep], tk.mix(c.content * _U(3) + name)[keep]))
+        found.append((of[keep], sig[keep]))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
+def cell_names(c: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, signature) of every cell."""
+    of = np.repeat(np.arange(len(c.tag)), np.diff(c.base))
+    name = tk.mix(c.tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - c.base[of]).astype(np.uint64))
+    return of, tk.mix(c.content * _U(3) + name)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
@@ -136,6 +152,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], ["sig", "key"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tk.slices(batch, "text"):
+            sets = tk.shingle_sets(tk.words(part.column("text")), n)
+            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
+            for step in (0, 1):
+                c = cut(sets, percent, step, FINE)
+                of, sig = cell_names(c)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(c.tag[of]), pa.array(c.most[of]), pa.array(sig.view(np.int64))], ["key", "tag", "most", "sig"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
@@ -144,6 +171,26 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), items], ["key", "n", "items"])
 
 
+def _texts(wanted: DataFrame, rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id) of the first document of each wanted key, and their texts."""
+    lookup = rows.select("doc_id", "key").filter("doc_id is not null").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    return lookup, may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+
+
+def _central(members: DataFrame) -> DataFrame:
+    """members with how many sets, all in all, share a signature with the key."""
+    return members.join(members.groupBy("key").agg(F.sum("n").alias("central")), "key")
+
+
+def _rarest(wanted: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sig, key, n) of the fine cells that a link must share one of."""
+    lookup, texts = _texts(wanted, rows, docs)
+    cells = texts.mapInArrow(partial(_cells, n=n, percent=percent), "key long, tag long, most long, sig long").join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key", "sig"]).checkpoint()
+    counted = cells.join(cells.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig")
+    order = F.row_number().over(Window.partitionBy("key", "tag").orderBy("n", "sig"))
+    return _central(counted.withColumn("r", order).filter("r <= most + 1 and n > 1").select("sig", "key", "n")).checkpoint()
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs of keys (a, b) whose sets link. First their marks, a byte a cell,
     are compared under the tag that both have: sets differ at least once in each
@@ -159,9 +206,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percen
     may = may.when(F.col("tag1a") == F.col("tagb"), unlike("marks1a", "marksb") <= F.col("mostb")).otherwise(False)
     near = both.filter(may).select("a", "b").checkpoint()
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    lookup = rows.select("doc_id", "key").filter("doc_id is not null").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
-    texts = may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(partial(_sets, n=n), SETS).join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key"]).checkpoint()
+    lookup, texts = _texts(wanted, rows, docs)
+    sets = texts.mapInArrow(partial(_sets, n=n), SETS).join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key"]).checkpoint()
     one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
     common = F.size(F.array_intersect("ia", "ib"))
@@ -179,26 +225,32 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
     groups = sigs.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top"), F.count(F.lit(1)).alias("n")).filter("hub < top").checkpoint()
     # two rows are a pair as they stand; only larger groups are met again
     couples = groups.filter("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b")).distinct()
-    large = groups.filter("n > 2").select("sig", "hub")
-    members = may_contain(sigs, "sig", large, "sig", GROUP_BITS).join(large, "sig").select("sig", "key", "hub").checkpoint()
+    large = groups.filter("n > 2").select("sig", "n")
+    members = may_contain(sigs, "sig", large, "sig", GROUP_BITS).join(large, "sig").select("sig", "key", "n").distinct().checkpoint()
+    central = _central(members)
+    hub = central.groupBy("sig").agg(F.max_by("key", F.struct("central", "key")).alias("hub"))
     # of larger groups, each member with the hub that it shares most with
-    shares = members.filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = shares.groupBy(F.col("key").alias("b")).agg(F.max_by("hub", F.struct("n", "hub")).alias("a"))
+    shares = members.join(hub, "sig").filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = shares.groupBy("key").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     pairs = couples.unionByName(best).distinct().checkpoint()
     links = _verified(pairs, rows, docs, n, percent)
     hubs = 0
     while True:
         joined = connected_components(links)
-        named = members.select("sig", "key").join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
+        named = members.join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
         open_ = named.groupBy("sig").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").filter(F.col("m") > hubs).select("sig")
         left = named.join(open_, "sig", "left_semi").checkpoint()
         if left.isEmpty():
             return rows, joined
-        hubs = HUBS * max(1, hubs)
-        order = F.row_number().over(Window.partitionBy("sig").orderBy("key"))
-        chosen = left.withColumn("r", order).filter(f"r <= {hubs}").select("sig", F.col("key").alias("a"), F.col("component_id").alias("ca"))
-        more = left.withColumnRenamed("key", "b").join(chosen, "sig").filter("a <> b and ca <> component_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(_verified(more, rows, docs, n, percent)).checkpoint()
+        if not hubs:
+            members = _rarest(left.select("key").distinct(), rows, docs, n, percent)
+            hubs = 1
+        else:
+            hubs *= HUBS
+            order = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("central"), "key"))
+            chosen = left.withColumn("r", order).filter(f"r <= {hubs}").select("sig", F.col("key").alias("a"), F.col("component_id").alias("ca"))
+            more = left.withColumnRenamed("key", "b").join(chosen, "sig").filter("a <> b and ca <> component_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            links = links.unionByName(_verified(more, rows, docs, n, percent)).checkpoint()
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
