@@ -46,7 +46,7 @@ PARTS = 2
 #: By how much each round has more hubs in a group that isn't one component.
 HUBS = 8
 #: Cells of the second cut for each element that linked sets may differ in.
-FINE = 4
+FINE = 16
 #: Bits of the filter of signatures whose groups are large: 8 MB at most.
 GROUP_BITS = 1 << 25
 MARKS = "tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>"
