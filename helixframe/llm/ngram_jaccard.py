@@ -46,7 +46,7 @@ PARTS = 2
 #: By how much each round has more hubs in a group that isn't one component.
 HUBS = 8
 #: Cells of the second cut for each element that linked sets may differ in.
-FINE = 16
+FINE = 4
 #: Bits of the filter of signatures whose groups are large: 8 MB at most.
 GROUP_BITS = 1 << 25
 MARKS = "tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>"
@@ -160,7 +160,7 @@ def _cells(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[
             for step in (0, 1):
                 c = cut(sets, percent, step, FINE)
                 of, sig = cell_names(c)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(c.tag[of]), pa.array(c.most[of]), pa.array(sig.view(np.int64))], ["key", "tag", "most", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(c.tag[of], pa.int32()), pa.array(c.most[of], pa.int32()), pa.array(sig.view(np.int64))], ["key", "tag", "most", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -185,10 +185,13 @@ def _central(members: DataFrame) -> DataFrame:
 def _rarest(wanted: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(sig, key, n) of the fine cells that a link must share one of."""
     lookup, texts = _texts(wanted, rows, docs)
-    cells = texts.mapInArrow(partial(_cells, n=n, percent=percent), "key long, tag long, most long, sig long").join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key", "sig"]).checkpoint()
-    counted = cells.join(cells.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig")
-    order = F.row_number().over(Window.partitionBy("key", "tag").orderBy("n", "sig"))
-    return _central(counted.withColumn("r", order).filter("r <= most + 1 and n > 1").select("sig", "key", "n")).checkpoint()
+    cells = texts.mapInArrow(partial(_cells, n=n, percent=percent), "key long, tag int, most int, sig long").join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key", "sig"]).checkpoint()
+    met = cells.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cells.join(met, "sig")
+    # cells of no other set are the rarest, so they fill places without a row
+    place = F.row_number().over(Window.partitionBy("key", "tag").orderBy("n", "sig")) - F.count(F.lit(1)).over(Window.partitionBy("key", "tag"))
+    kept = shared.withColumn("r", place + FINE * F.col("most") + 1).filter("r <= most + 1").select("sig", "key", "n").checkpoint()
+    return _central(kept)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
