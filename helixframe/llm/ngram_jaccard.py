@@ -236,10 +236,9 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
     shares = members.join(hub, "sig").filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = shares.groupBy("key").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     pairs = couples.unionByName(best).distinct().checkpoint()
-    links = _verified(pairs, rows, docs, n, percent)
+    joined = connected_components(_verified(pairs, rows, docs, n, percent))
     hubs = 0
     while True:
-        joined = connected_components(links)
         named = members.join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
         open_ = named.groupBy("sig").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").filter(F.col("m") > hubs).select("sig")
         left = named.join(open_, "sig", "left_semi").checkpoint()
@@ -253,7 +252,9 @@ def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple
             order = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("central"), "key"))
             chosen = left.withColumn("r", order).filter(f"r <= {hubs}").select("sig", F.col("key").alias("a"), F.col("component_id").alias("ca"))
             more = left.withColumnRenamed("key", "b").join(chosen, "sig").filter("a <> b and ca <> component_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            links = links.unionByName(_verified(more, rows, docs, n, percent)).checkpoint()
+            links = _verified(more, rows, docs, n, percent)
+            if not links.isEmpty():
+                joined = connected_components(links.unionByName(joined.toDF("a", "b")))
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
