@@ -148,6 +148,23 @@ def test_cut_passages(docs):
     assert text[6].startswith(prose(12, 5)) and text[6].endswith(prose(40, 6)) and "zz30" not in text[6]
 
 
+def passages(spark, texts):
+    """(doc_id, words covered) of passages that earlier documents have."""
+    rows = texts.items() if isinstance(texts, dict) else texts
+    by = defaultdict(set)
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(list(rows), "doc_id long, text string")).collect():
+        by[r.doc_id] |= set(range(r.start_word, r.end_word))
+        assert r.n_words == r.end_word - r.start_word >= 50 and r.ref_end - r.ref_start >= 50 and r.similarity >= 0.8
+    return by
+
+
+def test_passages_apart_are_found_alone(spark):
+    p, q = prose(60, 20), prose(60, 21)
+    got = passages(spark, {1: f"{p} {prose(200, 22)} {q}", 2: f"{p} {prose(200, 23)} {q}", 3: f"{p} {q}"})
+    assert {*range(60), *range(260, 320)} <= got[2] and len(got[2]) < 150
+    assert set(range(120)) <= got[3]
+
+
 def test_chain_takes_the_longest_path():
     got = substring_dedup.chain([0, 5, 9, 10, 15], [100, 105, 3, 110, 115])
     assert got[0] == [0, 1, 3, 4] and got[1] == [2]
