@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helixframe.llm import bpe, cover_tree, graph_search, licences, lm, ngram_jaccard, packing, quality, substring_dedup, unigram
 from helixframe.llm import textkernel as tk
@@ -165,6 +166,31 @@ def test_passages_apart_are_found_alone(spark):
     assert set(range(120)) <= got[3]
 
 
+def test_passages_whose_parts_have_other_owners(spark):
+    a, b, c = prose(40, 31), prose(40, 32), prose(40, 33)
+    texts = {k: f"{x} {prose(30, 40 + k)}" for k, x in enumerate((a, b, c), 1)}
+    texts |= {4: f"{prose(9, 50)} {a} {b} {c}", 8: f"{a} {b} {c} {prose(9, 51)}"}
+    between = {5: f"{prose(30, 52)} {a}", 6: f"{b} {prose(30, 53)}", 7: f"{prose(9, 54)} {c}"}
+    for t in (texts, texts | between):
+        assert set(range(120)) <= passages(spark, t)[8]
+    q = prose(60, 60)
+    early = {1: " ".join(q.split()[:45]), 2: q, 3: " ".join(q.split()[:30]), 4: f"{q} {prose(9, 61)}"}
+    assert passages(spark, early) == {4: set(range(60))}
+    # an earlier place of the first document has a part
+    twice = {1: f"{' '.join(q.split()[:40])} {prose(300, 62)} {q}", 2: q}
+    assert passages(spark, twice) == {2: set(range(60))}
+
+
+def test_links_over_batches():
+    rows = [(2, 1, 0), (2, 1, 7), (2, 3, 4), (2, 3, 5), (2, 6, 1), (4, 2, 2), (4, 6, 3)]
+    want = {(3, 1, 4, 0), (3, 1, 4, 7), (3, 1, 5, 0), (3, 1, 5, 7), (6, 1, 1, 0), (6, 3, 1, 5), (6, 2, 3, 2)}
+    for size in (1, 2, 3, 7):
+        parts = [list(zip(*rows[k : k + size], strict=True)) for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32())], ["h", "doc", "pos"]) for h, d, p in parts]
+        got = [tuple(x.values()) for b in substring_dedup._links(iter(batches), 5, 50) for x in b.to_pylist()]
+        assert len(got) == len(want) and {g[:4] for g in got} == want and {g[4] for g in got} == {5}
+
+
 def test_chain_takes_the_longest_path():
     got = substring_dedup.chain([0, 5, 9, 10, 15], [100, 105, 3, 110, 115])
     assert got[0] == [0, 1, 3, 4] and got[1] == [2]
