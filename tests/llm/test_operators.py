@@ -191,6 +191,18 @@ def test_links_over_batches():
         assert len(got) == len(want) and {g[:4] for g in got} == want and {g[4] for g in got} == {5}
 
 
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 60 words of which 10 are changed, at a similarity of 0.83."""
+    g, texts = random.Random(70), {}
+    for k in range(100):
+        words = [f"w{g.randrange(10**6)}" for _ in range(60)]
+        texts[k] = " ".join(words)
+        for p in g.sample(range(60), 10):
+            words[p] = f"z{g.randrange(10**6)}"
+        texts[100 + k] = f"{prose(20, 200 + k)} {' '.join(words)} {prose(20, 400 + k)}"
+    assert len(passages(spark, texts)) >= 95
+
+
 def test_chain_takes_the_longest_path():
     got = substring_dedup.chain([0, 5, 9, 10, 15], [100, 105, 3, 110, 115])
     assert got[0] == [0, 1, 3, 4] and got[1] == [2]
