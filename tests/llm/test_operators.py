@@ -186,11 +186,20 @@ def test_links_over_batches():
     want = {(3, 1, 4, 0), (3, 1, 4, 7), (3, 1, 5, 0), (3, 1, 5, 7), (6, 1, 1, 0), (6, 3, 1, 5), (6, 2, 3, 2)}
     for size in (1, 2, 3, 7):
         parts = [list(zip(*rows[k : k + size], strict=True)) for k in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32())], ["h", "doc", "pos"]) for h, d, p in parts]
+        batches = [pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64())], ["h", "doc", "pos"]) for h, d, p in parts]
         got = [tuple(x.values()) for b in substring_dedup._links(iter(batches), 5, 50) for x in b.to_pylist()]
         assert len(got) == len(want) and {g[:4] for g in got} == want and {g[4] for g in got} == {5}
 
 
+def test_texts_of_one_id_are_cut_alone(spark):
+    p, q, mine, short = prose(60, 80), prose(60, 81), prose(100, 82), prose(5, 83)
+    rows = [(1, p), (2, q), (7, f"{mine} {p}"), (7, f"{q} {prose(30, 84)}"), (7, short), (7, f"{mine} {p}"), (None, p), (None, q)]
+    assert len(passages(spark, rows)[7]) == 120
+    out = [tuple(r) for r in substring_dedup.cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, p), (2, q), (7, f"{mine} "), (7, f"{mine} "), (7, prose(30, 84)), (7, short), (None, p), (None, q)]
+    assert sorted(out, key=repr) == sorted(want, key=repr)
+
+
 def test_recall_of_fuzzy_passages(spark):
     """Passages of 60 words of which 10 are changed, at a similarity of 0.83."""
     g, texts = random.Random(70), {}
