@@ -1,13 +1,18 @@
 """Licence scan: a trained paragraph classifier, scored by SQL functions alone.
 
-A paragraph is a line. Its distinct words and word pairs are the features of a
-multinomial logistic regression over licence families and "unknown", trained on
-variations of the notices below (numpy, on the driver, no corpus data; the
-weights are a table of bounded size). Probabilities are calibrated by a
-temperature fitted on variations kept apart. A family is reported if its
-calibrated probability is at least ``least`` and the paragraph has at least
-``cover`` of the words of one of the family's notices. Every notice has one of
-``MARKERS``, so a paragraph without any can't be confirmed and isn't scored.
+A paragraph is a line, or neighbouring lines without a blank one between them
+over which a notice may be wrapped: of the first and last line the words next
+to the others, as many as the longest notice has, and fewer than those between.
+Its distinct words and word pairs are the features of a multinomial logistic
+regression over licence families and "unknown", trained on variations of the
+notices below (numpy, on the driver, no corpus data; the weights are a table of
+bounded size). Probabilities are calibrated by a temperature fitted on
+variations kept apart. A family is reported if its calibrated probability is at
+least ``least`` and the paragraph has at least ``cover`` of the words of one of
+the family's notices. Shorter paragraphs go first; one that overlaps another of
+its family doesn't count. Of each notice so many words are markers that
+``cover`` of it can't do without all of them, so texts and lines without a
+marker can't be confirmed and aren't scored.
 
 All of it is one projection of each row: no join, no shuffle, no Python on the
 executors. Nulls: a null text has no paragraphs; a null id is carried along.
@@ -45,8 +50,6 @@ OTHERS = [
     "The museum owns the copyright of the painting.", "The public debate about licensing went on for weeks.", "They redistribute the wealth of the region.", "The software was free and everyone used it.", "Permission was granted by the owner of the house.", "The Apache helicopter landed at noon.",
     "She studied at MIT for four years.", "A creative commons for the arts was opened downtown.", "The general public was invited to the opening.", "Domain names are sold to the public.", "See the terms of service for details.", "The version 3 of the plan was approved.", "A work by an unknown author.", "Rights of way are reserved for walkers.",
 ]
-#: Each notice has one of these in lower case.
-MARKERS = ("licen", "copyright", "public domain", "redistribut", "permission is hereby", "mozilla public")
 FAMILIES = ["unknown", *NOTICES]
 #: Words and pairs with weights: at most so many.
 VOCABULARY = 1500
@@ -57,6 +60,27 @@ def words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
+#: Words of the longest notice.
+LONGEST = max(len(words(t)) for texts in NOTICES.values() for t in texts)
+#: Frequent words, markers only if a notice has no others.
+FREQUENT = {"a", "all", "and", "any", "as", "by", "file", "in", "is", "it", "no", "not", "of", "or", "out", "part", "the", "this", "to", "under", "use", "with", "without", "work", "you", "may", "can"}
+
+
+def needed(text: str, cover: float) -> int:
+    """Distinct words of a notice that confirm it."""
+    size = len(set(words(text)))
+    return next(n for n in range(size + 1) if n >= cover * size)
+
+
+def markers(cover: float) -> list[str]:
+    """Words of which any text with cover of a notice has one."""
+    found = set()
+    for text in (t for texts in NOTICES.values() for t in texts):
+        w = sorted(set(words(text)), key=lambda x: (x in FREQUENT, -len(x), x))
+        found |= set(w[: len(w) - needed(text, cover) + 1])
+    return sorted(found)
+
+
 def grams(w: list[str]) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
 
@@ -131,18 +155,27 @@ def licence_scan(documents: DataFrame, least: float = 0.5, cover: float = 0.7) -
     sorted) of each row of documents."""
     weights, bias, heat = model()
     table = "map(" + ", ".join(f"{_quoted(f)}, {_numbers(w)}" for f, w in weights.items()) + ")"
-    notices = "array(" + ", ".join(f"struct({k} as family, array({', '.join(_quoted(w) for w in sorted(set(words(t))))}) as words)" for k, name in enumerate(FAMILIES) for t in NOTICES.get(name, ())) + ")"
+    notices = "array(" + ", ".join(f"struct({k} as family, {needed(t, cover)} as need, array({', '.join(_quoted(w) for w in sorted(set(words(t))))}) as words)" for k, name in enumerate(FAMILIES) for t in NOTICES.get(name, ())) + ")"
     names = "array(" + ", ".join(map(_quoted, FAMILIES)) + ")"
-    marked = lambda c: " or ".join(f"contains({c}, {_quoted(m)})" for m in MARKERS)
+    marks = markers(cover)
+    marked = " or ".join(f"contains(low, {_quoted(m)})" for m in marks if not any(o in m for o in marks if o != m))
+    has_mark = f"arrays_overlap(u.words, array({', '.join(map(_quoted, marks))}))"
+    covers = "size(array_intersect(u.words, n.words)) >= n.need"
+    joined = f"concat(slice(lines[s], greatest(size(lines[s]) - {LONGEST - 1}, 1), {LONGEST}), flatten(slice(lines, s + 2, e - s - 1)), slice(lines[e], 1, {LONGEST}))"
+    ends = f"filter(sequence(s, least(s + {LONGEST}, size(lines) - 1)), e -> e = s or (not exists(slice(lines, s + 1, e - s + 1), l -> size(l) = 0) and (e = s + 1 or size(flatten(slice(lines, s + 2, e - s - 1))) < {LONGEST})))"
+    kept = "array<struct<len:int,s:int,p:double,name:string>>"
     steps = [
         ("low", "lower(cast(text as string))"),
-        ("lines", f"case when {marked('low')} then filter(split(low, '\\n'), l -> {marked('l')}) else array() end"),
-        ("found", f"transform(lines, l -> regexp_extract_all(l, '{WORD}', 0))"),
-        ("found", "transform(found, w -> struct(array_distinct(w) as words, array_distinct(concat(w, case when size(w) > 1 then transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i])) else array() end)) as grams))"),
-        ("found", f"transform(found, f -> struct(f.words as words, aggregate(filter(transform(f.grams, g -> try_element_at({table}, g)), w -> w is not null), {_numbers(bias)}, (a, w) -> zip_with(a, w, (x, y) -> x + y)) as z))"),
-        ("found", f"transform(found, f -> struct(f.words as words, array_position(f.z, array_max(f.z)) - 1 as family, 1 / aggregate(transform(f.z, x -> exp((x - array_max(f.z)) / {heat}D)), 0D, (a, x) -> a + x) as p))"),
-        ("found", f"filter(found, f -> f.family > 0 and f.p >= {least}D and exists({notices}, n -> n.family = f.family and size(array_intersect(f.words, n.words)) >= {cover}D * size(n.words)))"),
-        ("found", f"transform(found, f -> struct(f.p as p, {names}[cast(f.family as int)] as name))"),
+        ("lines", f"case when {marked} then transform(split(low, '\n'), l -> regexp_extract_all(l, '{WORD}', 0)) else array() end"),
+        ("found", f"case when size(lines) > 0 then flatten(transform(sequence(0, size(lines) - 1), s -> transform({ends}, e -> struct(e - s as len, s as s, case when e = s then lines[s] else {joined} end as words)))) else array() end"),
+        ("found", f"filter(found, u -> {has_mark} and exists({notices}, n -> {covers}))"),
+        ("found", "transform(found, u -> struct(u.len as len, u.s as s, array_distinct(u.words) as words, array_distinct(concat(u.words, case when size(u.words) > 1 then transform(sequence(1, size(u.words) - 1), i -> concat(u.words[i - 1], ' ', u.words[i])) else array() end)) as grams))"),
+        ("found", f"transform(found, f -> struct(f.len as len, f.s as s, f.words as words, aggregate(filter(transform(f.grams, g -> try_element_at({table}, g)), w -> w is not null), {_numbers(bias)}, (a, w) -> zip_with(a, w, (x, y) -> x + y)) as z))"),
+        ("found", f"transform(found, f -> struct(f.len as len, f.s as s, f.words as words, array_position(f.z, array_max(f.z)) - 1 as family, 1 / aggregate(transform(f.z, x -> exp((x - array_max(f.z)) / {heat}D)), 0D, (a, x) -> a + x) as p))"),
+        ("found", f"filter(found, u -> u.family > 0 and u.p >= {least}D and exists({notices}, n -> n.family = u.family and {covers}))"),
+        ("found", f"array_sort(cast(transform(found, f -> struct(f.len as len, f.s as s, f.p as p, {names}[cast(f.family as int)] as name)) as {kept}))"),
+        ("found", f"aggregate(found, cast(array() as {kept}), (a, f) -> case when exists(a, o -> o.name = f.name and o.s <= f.s + f.len and f.s <= o.s + o.len) then a else concat(a, array(f)) end)"),
+        ("found", "transform(found, f -> struct(f.p as p, f.name as name))"),
     ]
     out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     for name, code in steps:
@@ -159,15 +192,23 @@ def licence_scan(documents: DataFrame, least: float = 0.5, cover: float = 0.7) -
 def scan_text(text: str | None, least: float = 0.5, cover: float = 0.7) -> tuple[str | None, float | None, int, list[str]]:
     """The same of one text in plain Python, as a check of the SQL."""
     weights, bias, heat = model()
-    found = []
-    for line in (text or "").lower().split("\n"):
-        if not any(m in line for m in MARKERS):
-            continue
-        w = words(line)
+    lines = [words(line) for line in (text or "").lower().split("\n")]
+    units = [(0, s, w) for s, w in enumerate(lines)]
+    for s, w in enumerate(lines):
+        between: list[str] = []
+        for e in range(s + 1, min(s + LONGEST, len(lines) - 1) + 1):
+            if not w or not lines[e] or len(between) >= LONGEST:
+                break
+            units.append((e - s, s, w[-LONGEST:] + between + lines[e][:LONGEST]))
+            between += lines[e]
+    kept: list[tuple[float, str, int, int]] = []
+    for size, s, w in sorted(units, key=lambda u: u[:2]):
         z = sum((weights[g] for g in grams(w) if g in weights), bias.copy())
         p = np.exp((z - z.max()) / heat)
         k = int(z.argmax())
         if k and 1 / p.sum() >= least and any(len(set(words(t)) & set(w)) >= cover * len(set(words(t))) for t in NOTICES[FAMILIES[k]]):
-            found.append((1 / p.sum(), FAMILIES[k]))
+            if not any(n == FAMILIES[k] and a <= s + size and s <= a + m for _, n, a, m in kept):
+                kept.append((1 / p.sum(), FAMILIES[k], s, size))
+    found = [(p, n) for p, n, _, _ in kept]
     best = max(found, default=(None, None))
     return best[1], best[0] and round(best[0], 6), len(found), sorted({f for _, f in found})

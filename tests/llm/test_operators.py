@@ -353,6 +353,18 @@ def test_licence_scan(spark, none):
     assert licences.licence_scan(none).count() == 0
 
 
+def test_licences_without_marker_and_wrapped(spark):
+    texts = [
+        "(c) 2024 Foo. All rights reserved.", "Foo 1.0\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation",
+        "\n".join("This project is licensed under the MIT License.".split()), "Licensed under the Apache\n\nLicense, Version 2.0.", "Released under the MIT License.\nReleased under the\nMIT License.\n\nReleased under the MIT\nLicense.", "The rights of walkers\nwere reserved", f"{prose(40, 1)} Released under\nthe MIT License. {prose(40, 2)}",
+    ]
+    got = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, r in got.items():
+        assert (r.licence, r.probability, r.n_paragraphs, r.families) == licences.scan_text(texts[k]), k
+    assert [got[k].licence for k in (0, 1, 2, 3, 4, 6, 7)] == ["proprietary", "mit", "gpl-3.0", "mit", None, None, "mit"]
+    assert got[5].n_paragraphs == 3 and got[1].n_paragraphs == got[2].n_paragraphs == 1
+
+
 def test_quality_learns_held_out_labels(spark, none):
     good = [(2 * k, prose(40 + k % 50, 100 + k)) for k in range(300)]
     bad = [(2 * k + 1, prose(40, 900 + k).replace(" ", "!! ").upper() if k % 2 else prose(40, 900 + k).replace(" ", " | ")) for k in range(100)]
