@@ -3,34 +3,39 @@
 Sets of size s fall in bands whose upper ends grow by the factor 1/threshold,
 so linked sets lie in one band or in two neighbours. Under the tag of a band
 with upper end u, linked sets differ in at most k = (1-t)/(1+t) * 2u elements.
-The feature domain is cut into n1 partitions, each cut again into two cells;
-n1 is more than k/2, so some partition holds at most one difference and one of
-its cells, the subset without the other, none. Each cell's content is a
-signature. With C cells in all, C - k at least agree, so linked sets share that
-many. A set may therefore leave out (C - k - 1) / 2 signatures, and so may the
-other: empty cells, which say nothing, are left out as far as that goes.
-
-Sets are compared with hubs of signature groups, never all with all. A group's
-hub is its most central member, whose other signatures have the largest groups;
-each set first meets the hub that it shares most signatures with. Members that
-links have joined need no more comparing. Sets of groups that still hold several
-components are cut again into FINE times k cells, of which C - k agree if sets
-link. So the k + 1 rarest cells of both, in one order, have one in common, and
-only those are signatures now: what most members of a group share brings no two
-together that differ in more than k cells from it. Groups of these signatures
-get hubs, HUBS times as many a round, until each is one component or every
-member has been a hub. So no link is lost.
+The feature domain is cut into n1 partitions and each of those into n2 cells;
+n1 * (k2 + 1) is more than k, so some partition has at most k2 differing cells,
+and one subset of n2 - k2 of its cells agrees. Each subset's content is a
+signature. Of SCHEMES a band takes the one whose signatures cover most and
+number at most BUDGET; the last one, of single cells, is for large sets.
+
+Signatures find partners in three steps, none of which compares all members of
+a group. First, linked sets share a known number of signatures (``agreeing``),
+so a set stays only if so many of its own are shared with any other set: a
+count, which groups of any size meet as sums. A set may leave out signatures of
+empty cells, which say nothing, as far as that number allows. Second, the sets
+that stay are cut into FINE * k + 1 cells, of which linked sets differ in k at
+most. Rarest first, the k + 1 foremost cells of both have one in common; only
+these make edges, from each set to the least one of a cell's group. Third, what
+edges connect is a cluster. A cluster is one unit of work, in which exact
+intersections are counted by products of matrices; a larger one than UNIT
+elements is compared with its hubs first, and only the sets outside its largest
+component meet the others, block by block. So no link is lost.
 
 Nulls: a null text is empty; a null id takes no part and gets no component.
-Empty sets link with nothing. Repeated rows each give a row. An empty table
-gives an empty result. Columns besides id and text are never looked at.
+Empty sets link with nothing. Documents are their ids: repeated rows each give
+a row, and texts that share an id share its component. Texts are taken whole,
+however long. A set is named by 127 bits. An empty table gives an empty result.
+Columns besides id and text are never looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +43,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import connected_components, may_contain, prepare
+from .common import by_group, connected_components, may_contain, prepare
 
 _U = np.uint64
-#: Cells of a first-level partition.
-PARTS = 2
-#: By how much each round has more hubs in a group that isn't one component.
-HUBS = 8
+#: (n2, k2): cells of a partition, and how many of them a subset lacks.
+SCHEMES = ((6, 3), (4, 2), (2, 1))
+#: Signatures of a set under one tag that schemes before the last may take.
+BUDGET = 64
 #: Cells of the second cut for each element that linked sets may differ in.
-FINE = 4
-#: Bits of the filter of signatures whose groups are large: 8 MB at most.
+FINE = 2
+#: Signatures that a task holds to see which of them it has twice.
+CHUNK = 1 << 20
+#: Elements of the sets of a unit of work, or of a block of a larger cluster.
+UNIT = 1 << 20
+#: Bits of the filter of cells that several sets have: 8 MB at most.
 GROUP_BITS = 1 << 25
-MARKS = "tag long, most long, marks array<tinyint>, tag1 long, most1 long, marks1 array<tinyint>"
-ROWS = "doc_id long, n_shingles long, key long, " + MARKS
-SETS = "key long, n int, items array<long>"
+#: Elements with more sets than this are counted by products of matrices.
+COMMON = 48
+ROWS = "doc_id long, n_shingles long, key long, key2 long"
+SETS = "key long, key2 long, n int, items array<long>"
 
 
 def bands(limit: int, percent: int) -> np.ndarray:
@@ -63,15 +73,41 @@ def bands(limit: int, percent: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int(tk.mix(np.array([np.add.reduce(tk.mix(s ^ _U(0x5851F42D4C957F2D))) + _U(len(s))], np.uint64))[0])
+@lru_cache(1 << 16)
+def scheme(most: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, agreeing) for sets that differ in at most ``most`` elements;
+    agreeing: the signatures that they share at least. That is least when the
+    differing cells are spread evenly, as the subsets left are convex in them."""
+    if most <= 0:
+        return 0, 2, 1, 0
+    for n2, k2 in SCHEMES:
+        spare = max(1, most // 8) if (n2, k2) == SCHEMES[-1] else 1
+        n1 = -(-(most + 1) // (k2 + 1)) + spare
+        if n1 * comb(n2, k2) <= BUDGET:
+            break
+    each, more = divmod(most, n1)
+    left = lambda gone: comb(n2 - gone, n2 - k2) if gone <= k2 else 0
+    return n1, n2, k2, (n1 - more) * left(each) + more * left(each + 1)
+
+
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each set: 63 bits, then 64; the first one's low bit is 0."""
+    out = np.zeros((2, len(sets)), np.uint64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        items = np.concatenate(sets)
+        start = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+        for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            out[k, some] = np.add.reduceat(tk.mix(items ^ _U(salt)), start)
+    names = tk.mix(out + sizes.astype(np.uint64))
+    return (names[0] & ~_U(1)).view(np.int64), names[1].view(np.int64)
 
 
 @dataclass
 class Cells:
-    """Sets cut under one tag: set k has the cells base[k]..base[k + 1], PARTS
-    for each first-level partition; linked sets differ in ``most`` at most."""
+    """Sets cut under one tag: set k has the cells base[k]..base[k + 1]; linked
+    sets differ in ``most`` at most."""
 
     tag: np.ndarray
     most: np.ndarray
@@ -82,15 +118,17 @@ class Cells:
 
 def cut(sets: list[np.ndarray], percent: int, step: int, fine: int = 0) -> Cells:
     """Contents of the cells under the tag of each set's own band (step 0) or of
-    the next one; ``fine`` cells for each element that linked sets may differ
-    in, or PARTS for each partition of the first cut."""
+    the next one: those of its scheme, or ``fine`` for each element that linked
+    sets may differ in, and one."""
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = bands(int(sizes.max(initial=1)), percent)
     tag = np.searchsorted(ends, sizes) + step
-    most = 2 * ends[tag] * (100 - percent) // (100 + percent)
-    cells = PARTS * np.where((most > 0) & (sizes > 0), (most + 2) // 2 + np.maximum(1, most // 8), 0)
+    most = np.where(sizes > 0, 2 * ends[tag] * (100 - percent) // (100 + percent), 0)
     if fine:
-        cells = np.where(cells > 0, fine * most + 1, 0)
+        cells = np.where(most > 0, fine * most + 1, 0)
+    else:
+        kinds, of = np.unique(most, return_inverse=True)
+        cells = np.array([s[0] * s[1] for s in map(scheme, kinds.tolist())], np.int64)[of]
     base = np.concatenate([[0], np.cumsum(cells)])
     items = np.concatenate([np.zeros(0, np.uint64), *sets])
     whose = np.repeat(np.arange(len(sets)), sizes)
@@ -102,170 +140,338 @@ def cut(sets: list[np.ndarray], percent: int, step: int, fine: int = 0) -> Cells
     return Cells(tag, most, base, tk.mix(total), total == 0)
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of every signature, under both tags."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-    for step in (0, 1):
-        c = cut(sets, percent, step)
-        cells = np.diff(c.base)
-        of, sig = cell_names(c)
-        before = np.concatenate([[0], np.cumsum(c.empty)])
-        nth = before[:-1] - before[c.base[of]]  # of the set's empty cells
-        keep = ~c.empty | (nth >= np.maximum(0, (cells - c.most - 1) // 2)[of])
-        found.append((of[keep], sig[keep]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
-
 def cell_names(c: Cells) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of every cell."""
+    """(index of the set, signature) of every single cell."""
     of = np.repeat(np.arange(len(c.tag)), np.diff(c.base))
     name = tk.mix(c.tag[of].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (np.arange(len(of)) - c.base[of]).astype(np.uint64))
     return of, tk.mix(c.content * _U(3) + name)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tk.slices(batch, "text"):
-            sets = tk.shingle_sets(tk.words(part.column("text")), n)
-            columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64))]
-            for step in (0, 1):
-                c = cut(sets, percent, step)
-                marks = (c.content & _U(255)).astype(np.uint8).view(np.int8)
-                columns += [pa.array(c.tag), pa.array(c.most), pa.ListArray.from_arrays(pa.array(c.base, pa.int32()), pa.array(marks))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "tag", "most", "marks", "tag1", "most1", "marks1"])
+def tagged(sets: list[np.ndarray], percent: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, signature) under one tag, and of each set how many of
+    its signatures a linked set has at least."""
+    c = cut(sets, percent, step)
+    plans = np.array([scheme(m) for m in c.most.tolist()], np.int64).reshape(-1, 4)
+    room = np.maximum(0, (plans[:, 3] - 1) // 2)
+    found, blank = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], np.zeros(len(sets), np.int64)
+    left = np.zeros(len(sets), np.int64)
+    for n2, k2 in SCHEMES:
+        some = np.flatnonzero((plans[:, 1] == n2) & (plans[:, 0] > 0))
+        if not len(some):
+            continue
+        n1 = plans[some, 0]
+        parts = np.repeat(some, n1)
+        nth = np.arange(len(parts)) - np.repeat(np.cumsum(n1) - n1, n1)
+        cells = (c.base[parts] + nth * n2)[:, None] + np.arange(n2)
+        content, empty = c.content[cells], c.empty[cells]
+        name = tk.mix(c.tag[parts].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * _U(0xD1342543DE82EF95) + _U(n2))
+        of, sig, void = [], [], []
+        for j, subset in enumerate(combinations(range(n2), n2 - k2)):
+            h = name + _U(j)
+            for x in subset:
+                h = tk.mix(h * _U(3) + content[:, x])
+            of.append(parts)
+            sig.append(h)
+            void.append(empty[:, list(subset)].all(1))
+        of, sig, void = np.concatenate(of), np.concatenate(sig), np.concatenate(void)
+        blank += np.bincount(of[void], minlength=len(sets))
+        order = np.flatnonzero(void)
+        order = order[np.argsort(of[order], kind="stable")]
+        rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        keep = np.ones(len(of), bool)
+        keep[order[rank < room[of[order]]]] = False
+        left += np.bincount(of[~keep], minlength=len(sets))
+        found.append((of[keep], sig[keep]))
+    # what either side leaves out is among this set's empty ones
+    least = plans[:, 3] - np.minimum(blank, left + room)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), least
 
 
-def _new(keys: list[int], sets: list[np.ndarray], seen: set[int]) -> list[int]:
-    """Places of non-empty sets that this task sees first."""
-    return [k for k, key in enumerate(keys) if len(sets[k]) and not (key in seen or seen.add(key))]
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, signature) of every signature, under both tags."""
+    both = [tagged(sets, percent, step)[:2] for step in (0, 1)]
+    return np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+def _shingles(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in tk.slices(batch, "text"):
-            sets = tk.shingle_sets(tk.words(part.column("text")), n)
-            keys = [set_key(s) for s in sets]
-            new = _new(keys, sets, seen)
-            of, sig = signatures([sets[k] for k in new], percent)
-            key = np.array([keys[k] for k in new], np.uint64).view(np.int64)[of] if new else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], ["sig", "key"])
+            yield part, tk.shingle_sets(tk.words(part.column("text")), n)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tk.slices(batch, "text"):
-            sets = tk.shingle_sets(tk.words(part.column("text")), n)
-            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
-            for step in (0, 1):
-                c = cut(sets, percent, step, FINE)
-                of, sig = cell_names(c)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(c.tag[of], pa.int32()), pa.array(c.most[of], pa.int32()), pa.array(sig.view(np.int64))], ["key", "tag", "most", "sig"])
+def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for part, sets in _shingles(batches, n):
+        key, key2 = set_names(sets)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(key), pa.array(key2)], ["doc_id", "n_shingles", "key", "key2"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tk.slices(batch, "text"):
-            sets = tk.shingle_sets(tk.words(part.column("text")), n)
-            items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), items], ["key", "n", "items"])
+def _met(sig: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Signatures with a low bit that says whether this chunk has them of several
+    sets. All but one row of those get a place of their own, so that a group
+    has a row for each chunk at most, however many sets share it."""
+    order = np.lexsort((name, sig))
+    s, n = sig[order], name[order]
+    fresh = np.concatenate([[True], s[1:] != s[:-1]])
+    start = np.flatnonzero(fresh)
+    many = np.repeat(np.diff(np.concatenate([start, [len(s)]])) > 1, np.diff(np.concatenate([start, [len(s)]])))
+    out = np.where(many & ~fresh, tk.mix(s ^ tk.mix(n)), s) & ~_U(1) | many.astype(np.uint64)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
-def _texts(wanted: DataFrame, rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id) of the first document of each wanted key, and their texts."""
-    lookup = rows.select("doc_id", "key").filter("doc_id is not null").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).checkpoint()
-    return lookup, may_contain(docs, "doc_id", lookup, "doc_id").join(lookup.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(sig, name, c): name is a set's key with the step as its low bit, c is 1;
+    or, once a name, the negative of what ``tagged`` says of it."""
+    seen: set[int] = set()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rows(sig: np.ndarray, name: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(name.view(np.int64)), pa.array(c.astype(np.int32))], ["sig", "name", "c"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            sig, name = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            yield rows(_met(sig, name), name, np.ones(len(sig)))
+
+    for _, sets in _shingles(batches, n):
+        keys = set_names(sets)[0]
+        new = [k for k, key in enumerate(keys.tolist()) if len(sets[k]) and not (key in seen or seen.add(key))]
+        if not new:
+            continue
+        mine = [sets[k] for k in new]
+        for step in (0, 1):
+            of, sig, least = tagged(mine, percent, step)
+            name = keys[new].view(np.uint64) | _U(step)
+            held.append((sig, name[of]))
+            some = least > 0
+            yield rows(tk.mix(name[some]) | _U(1), name[some], -least[some])
+        if sum(len(s) for s, _ in held) >= CHUNK:
+            yield from flush()
+    yield from flush()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (sig without its low bit, name), the sums of c of those
+    whose signature several sets have. One row is kept between batches."""
+    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, name, c = (np.concatenate([a, batch.column(x).to_numpy().astype(np.int64)]) for a, x in zip(kept, ("sig", "name", "c"), strict=True))
+        group, known = sig >> 1, sig & 1
+        again = np.concatenate([[False], (group[1:] == group[:-1]) & (name[1:] == name[:-1])])
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        width = np.diff(np.concatenate([start, [len(group)]]))
+        shared = (np.maximum.reduceat(known, start) > 0) | (np.add.reduceat((~again).astype(np.int64), start) > 1)
+        use = np.repeat(shared, width) & ~again
+        names, of = np.unique(name[use], return_inverse=True)
+        total = np.bincount(of, c[use], len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["name", "c"])
+        last = shared[-1]
+        kept = (sig[-1:] | int(last), name[-1:], c[-1:] * 0 if last else c[start[-1] : start[-1] + 1])
 
 
-def _central(members: DataFrame) -> DataFrame:
-    """members with how many sets, all in all, share a signature with the key."""
-    return members.join(members.groupBy("key").agg(F.sum("n").alias("central")), "key")
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for _, sets in _shingles(batches, n):
+        key, key2 = set_names(sets)
+        items = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key2), pa.array([len(s) for s in sets], pa.int32()), items], ["key", "key2", "n", "items"])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and where each list begins."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy()
+    return flat, np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(sig, name, most) of the fine cells; name is 2 * sid + step."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            flat, base = _lists(batch.column("items"))
+            sets = [flat[a:b].view(np.uint64) for a, b in zip(base[:-1], base[1:], strict=True)]
+            sid = batch.column("sid").to_numpy()
+            for step in (0, 1):
+                c = cut(sets, percent, step, FINE)
+                of, sig = cell_names(c)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(2 * sid[of] + step), pa.array(c.most[of], pa.int32())], ["sig", "name", "most"])
 
 
-def _rarest(wanted: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, key, n) of the fine cells that a link must share one of."""
-    lookup, texts = _texts(wanted, rows, docs)
-    cells = texts.mapInArrow(partial(_cells, n=n, percent=percent), "key long, tag int, most int, sig long").join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key", "sig"]).checkpoint()
-    met = cells.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cells.join(met, "sig")
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (least places of what is joined) after joining i with j."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+
+
+def linked_labels(flat: np.ndarray, base: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """For each set flat[base[k]:base[k + 1]] the least place that links reach:
+    of the sets not ``second`` with those that are, or among all if none is."""
+    m, sizes = len(base) - 1, np.diff(base)
+    whose = np.repeat(np.arange(m), sizes)
+    _, item, count = np.unique(flat, return_inverse=True, return_counts=True)
+    use = count[item] > 1
+    whose, item = whose[use], item[use]
+    often = count[item] > COMMON
+    dense = np.unique(item[often])
+    order = np.argsort(item[~often], kind="stable")
+    post, post_item = whose[~often][order], item[~often][order]
+    first = np.searchsorted(post_item, np.arange(len(count) + 1))
+    rare_of, rare_item = whose[~often], item[~often]
+    rare_base = np.searchsorted(rare_of, np.arange(m + 1))
+    often_of, often_item = whose[often], np.searchsorted(dense, item[often])
+    by_item = np.argsort(often_item, kind="stable")
+    often_of, often_item = often_of[by_item], often_item[by_item]
+    label = np.arange(m)
+    left = np.flatnonzero(~second)
+    right = np.flatnonzero(second) if second.any() else left
+    column = np.full(m, -1)
+    column[right] = np.arange(len(right))
+    high = max(1, (1 << 21) // max(1, len(right)))
+    wide = max(1, (1 << 22) // max(1, m))
+    for at in range(0, len(left), high):
+        rows = left[at : at + high]
+        common = np.zeros(len(rows) * len(right), np.float32)
+        take = np.concatenate([np.arange(rare_base[r], rare_base[r + 1]) for r in rows])
+        row = np.repeat(np.arange(len(rows)), rare_base[rows + 1] - rare_base[rows])
+        for a in range(0, len(take), 1 << 16):
+            e, r = rare_item[take[a : a + (1 << 16)]], row[a : a + (1 << 16)]
+            width = first[e + 1] - first[e]
+            index = np.repeat(first[e] - np.cumsum(width) + width, width) + np.arange(width.sum())
+            col, r = column[post[index]], np.repeat(r, width)
+            common += np.bincount((r * len(right) + col)[col >= 0], minlength=len(common)).astype(np.float32)
+        common = common.reshape(len(rows), len(right))
+        for a in range(0, len(dense), wide):
+            lo, hi = np.searchsorted(often_item, [a, a + wide])
+            has = np.zeros((m, min(wide, len(dense) - a)), np.float32)
+            has[often_of[lo:hi], often_item[lo:hi] - a] = 1
+            common += has[rows] @ has[right].T
+        both = sizes[rows][:, None] + sizes[right][None, :]
+        i, j = np.nonzero((100 + percent) * common >= percent * both - 0.5)
+        exact = (100 + percent) * common[i, j].astype(np.int64) >= percent * both[i, j]
+        label = united(label, rows[i[exact]], right[j[exact]])
+    return label
+
+
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each unit's links, as pairs of documents."""
+    keys = ["cluster", "lo", "hi"]
+
+    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = group.combine_chunks()
+        k = np.stack([group.column(c).to_numpy() for c in keys])
+        cuts = np.flatnonzero((np.diff(k, axis=1) != 0).any(0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, k.shape[1]], strict=True):
+            unit = group.slice(a, b - a)
+            flat, base = _lists(unit.column("items"))
+            second = unit.column("second").to_numpy(zero_copy_only=False).astype(bool)
+            if k[1, a] != k[2, a] and (second.all() or not second.any()):
+                continue
+            label = linked_labels(flat, base, second, percent)
+            doc, moved = unit.column("rep").to_numpy(), np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[moved]), pa.array(doc[label[moved]])], ["a", "b"])
+
+    yield from by_group(batches, keys, work)
+
+
+def _candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sid, rep, n, items) of the sets of which enough signatures are shared;
+    rep is the least document with that set."""
+    found = docs.filter("doc_id is not null").select("text").mapInArrow(partial(_signatures, n=n, percent=percent), "sig long, name long, c int")
+    place = F.shiftright("sig", 1)
+    shared = found.repartition(place).sortWithinPartitions(place, "name").mapInArrow(_shared, "name long, c long")
+    alive = shared.groupBy("name").agg(F.sum("c").alias("c")).filter("c >= 0").select(F.expr("shiftleft(shiftright(name, 1), 1)").alias("key")).distinct()
+    reps = rows.filter("doc_id is not null and n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))
+    wanted = reps.join(alive, "key", "left_semi").checkpoint()
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    texts = may_contain(docs, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(partial(_sets, n=n), SETS).join(wanted, ["key", "key2"]).dropDuplicates(["key", "key2"])
+    return sets.select(F.monotonically_increasing_id().alias("sid"), "rep", "n", "items").checkpoint()
+
+
+def _edges(sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, sid): each set with the least one of each group of its foremost
+    fine cells."""
+    cells = sets.select("sid", "items").mapInArrow(partial(_cells, percent=percent), "sig long, name long, most int")
+    met = cells.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
+    shared = may_contain(cells, "sig", met, "sig", GROUP_BITS).join(met, "sig")
     # cells of no other set are the rarest, so they fill places without a row
-    place = F.row_number().over(Window.partitionBy("key", "tag").orderBy("n", "sig")) - F.count(F.lit(1)).over(Window.partitionBy("key", "tag"))
-    kept = shared.withColumn("r", place + FINE * F.col("most") + 1).filter("r <= most + 1").select("sig", "key", "n").checkpoint()
-    return _central(kept)
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of keys (a, b) whose sets link. First their marks, a byte a cell,
-    are compared under the tag that both have: sets differ at least once in each
-    cell whose marks differ, so more such cells than linked sets may differ in
-    settle a pair. Whole sets are made and travel for the others alone."""
-    names = ["tag", "most", "marks", "tag1", "marks1"]
-    marked = rows.filter("doc_id is not null").dropDuplicates(["key"])
-    side = lambda k: marked.select(F.col("key").alias(k), *[F.col(c).alias(c + k) for c in names])
-    unlike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.when(u == v, 0).otherwise(1)), F.lit(0), lambda t, u: t + u)
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    may = F.when(F.col("taga") == F.col("tagb"), unlike("marksa", "marksb") <= F.col("mosta"))
-    may = may.when(F.col("taga") == F.col("tag1b"), unlike("marksa", "marks1b") <= F.col("mosta"))
-    may = may.when(F.col("tag1a") == F.col("tagb"), unlike("marks1a", "marksb") <= F.col("mostb")).otherwise(False)
-    near = both.filter(may).select("a", "b").checkpoint()
-    wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    lookup, texts = _texts(wanted, rows, docs)
-    sets = texts.mapInArrow(partial(_sets, n=n), SETS).join(lookup.select("key"), "key", "left_semi").dropDuplicates(["key"]).checkpoint()
-    one = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    two = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    common = F.size(F.array_intersect("ia", "ib"))
-    return near.join(one, "a").join(two, "b").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").checkpoint()
+    own = Window.partitionBy("name")
+    place = F.row_number().over(own.orderBy("n", "sig")) - F.count(F.lit(1)).over(own)
+    kept = shared.withColumn("r", place + FINE * F.col("most") + 1).filter("r <= most + 1").select("sig", F.shiftright("name", 1).alias("sid")).checkpoint()
+    hub = kept.groupBy("sig").agg(F.min("sid").alias("hub"), F.max("sid").alias("top")).filter("hub < top").drop("top")
+    return kept.join(hub, "sig").filter("sid <> hub").select("hub", "sid").distinct().checkpoint()
 
 
-def set_components(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(rows, components): rows (doc_id, n_shingles, key) for every document,
-    and (id, component_id) over the keys of sets that link with another set."""
-    spark = prepare(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(partial(_rows, n=n, percent=percent), ROWS).checkpoint()
-    some = docs.filter("doc_id is not null").select("text")
-    sigs = some.mapInArrow(partial(_signatures, n=n, percent=percent), "sig long, key long")
-    groups = sigs.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top"), F.count(F.lit(1)).alias("n")).filter("hub < top").checkpoint()
-    # two rows are a pair as they stand; only larger groups are met again
-    couples = groups.filter("n = 2").select(F.col("hub").alias("a"), F.col("top").alias("b")).distinct()
-    large = groups.filter("n > 2").select("sig", "n")
-    members = may_contain(sigs, "sig", large, "sig", GROUP_BITS).join(large, "sig").select("sig", "key", "n").distinct().checkpoint()
-    central = _central(members)
-    hub = central.groupBy("sig").agg(F.max_by("key", F.struct("central", "key")).alias("hub"))
-    # of larger groups, each member with the hub that it shares most with
-    shares = members.join(hub, "sig").filter("key <> hub").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = shares.groupBy("key").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    pairs = couples.unionByName(best).distinct().checkpoint()
-    joined = connected_components(_verified(pairs, rows, docs, n, percent))
-    hubs = 0
-    while True:
-        named = members.join(joined.withColumnRenamed("id", "key"), "key", "left").withColumn("component_id", F.coalesce("component_id", "key"))
-        open_ = named.groupBy("sig").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").filter(F.col("m") > hubs).select("sig")
-        left = named.join(open_, "sig", "left_semi").checkpoint()
-        if left.isEmpty():
-            return rows, joined
-        if not hubs:
-            members = _rarest(left.select("key").distinct(), rows, docs, n, percent)
-            hubs = 1
-        else:
-            hubs *= HUBS
-            order = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("central"), "key"))
-            chosen = left.withColumn("r", order).filter(f"r <= {hubs}").select("sig", F.col("key").alias("a"), F.col("component_id").alias("ca"))
-            more = left.withColumnRenamed("key", "b").join(chosen, "sig").filter("a <> b and ca <> component_id").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            links = _verified(more, rows, docs, n, percent)
-            if not links.isEmpty():
-                joined = connected_components(links.unionByName(joined.toDF("a", "b")))
-
-
-def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges whose sets link."""
+    one = sets.select(F.col("sid").alias("hub"), F.col("n").alias("na"), F.col("items").alias("ia"))
+    two = sets.select("sid", F.col("n").alias("nb"), F.col("items").alias("ib"))
+    common = F.size(F.array_intersect("ia", "ib"))
+    return edges.join(one, "hub").join(two, "sid").filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("hub", "sid").checkpoint()
+
+
+def set_links(docs: DataFrame, rows: DataFrame, n: int, percent: int, unit: int = UNIT) -> DataFrame:
+    """(a, b): a spanning forest of the links between documents' sets, each set
+    named by its least document."""
+    sets = _candidates(docs, rows, n, percent)
+    edges = _edges(sets, percent)
+    of = connected_components(edges, "hub", "sid").select(F.col("id").alias("sid"), F.col("component_id").alias("cluster")).checkpoint()
+    sized = of.join(sets.select("sid", "n"), "sid").checkpoint()
+    total = sized.groupBy("cluster").agg(F.sum("n").alias("total"))
+    large = total.filter(F.col("total") > unit).select("cluster")
+    one = lambda d: d.withColumn("open", F.lit(1)).withColumn("closed", F.lit(0)).withColumn("own", F.lit(0))
+    members, links = one(sized.join(large, "cluster", "left_anti")), None
+    if not large.isEmpty():
+        # hubs first; then the sets outside a cluster's largest component meet all
+        star = _verified(edges.join(sized.join(large, "cluster", "left_semi").select("sid"), "sid", "left_semi"), sets, percent)
+        core = connected_components(star, "hub", "sid").select(F.col("id").alias("sid"), F.col("component_id").alias("core"))
+        named = sized.join(large, "cluster", "left_semi").join(core, "sid", "left").withColumn("core", F.coalesce("core", "sid")).checkpoint()
+        width = named.groupBy("cluster", "core").agg(F.sum("n").alias("w"))
+        main = width.groupBy("cluster").agg(F.max_by("core", F.struct("w", "core")).alias("main"))
+        named = named.join(main, "cluster").withColumn("settled", F.col("core") == F.col("main"))
+        blocks = lambda c: F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / unit).cast("int")
+        shape = named.groupBy("cluster").agg(blocks(~F.col("settled")).alias("open"), blocks(F.col("settled")).alias("closed"))
+        dealt = named.join(shape, "cluster").filter("open > 0")
+        deal = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
+        members = members.unionByName(dealt.withColumn("own", F.when(F.col("settled"), F.col("open") + deal("closed")).otherwise(deal("open"))).select(members.columns))
+        by = sets.select("sid", "rep")
+        links = star.join(by, "sid").select("hub", F.col("rep").alias("b")).join(by.select(F.col("sid").alias("hub"), F.col("rep").alias("a")), "hub").select("a", "b")
+    last = F.when(F.col("own") < F.col("open"), F.col("open") + F.col("closed")).otherwise(F.col("open")) - 1
+    units = members.withColumn("to", F.explode(F.sequence(F.lit(0), last)))
+    units = units.select("sid", "cluster", F.least("own", "to").alias("lo"), F.greatest("own", "to").alias("hi"), (F.col("own") > F.col("to")).alias("second"))
+    dealt = units.join(sets.select("sid", "rep", "items"), "sid").repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    found = dealt.mapInArrow(partial(_links, percent=percent), "a long, b long")
+    return (found if links is None else found.unionByName(links)).checkpoint()
+
+
+def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80, unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of documents: documents
     link when ``100 * intersection >= percent * union`` of their sets of n-word
     shingles; component_id is the smallest doc_id that links reach."""
-    rows, joined = set_components(documents, n, percent)
-    named = rows.select("doc_id", "n_shingles", "key").join(joined.withColumnRenamed("id", "key").withColumnRenamed("component_id", "set_id"), "key", "left")
-    named = named.withColumn("set_id", F.when(F.col("n_shingles") > 0, F.coalesce("set_id", "key")))
-    least = named.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    prepare(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.mapInArrow(partial(_rows, n=n), ROWS).checkpoint()
+    links = set_links(docs, rows, n, percent, unit)
+    # copies of one set link too, and so do the texts of one id
+    reps = rows.filter("doc_id is not null and n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("doc_id")
+    named = rows.join(reps, ["key", "key2"], "left")
+    same = named.filter("doc_id is not null and rep is not null").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    joined = connected_components(links.unionByName(same)).withColumnRenamed("id", "rep")
+    return named.join(joined, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id"))
 
 
 def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
