@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,15 +15,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: documents may be long, so batches are short.
 BATCH_ROWS = 1000
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 24
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Short Arrow batches, and a folder for checkpoints where none is set."""
+    """Short Arrow batches, and the folder for checkpoints: the one that
+    spark.checkpoint.dir names. Only a session whose tasks run in the driver's
+    own process may go without; it gets a folder on its disk."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"{os.getcwd()}/spark-warehouse/checkpoints"
+        context.setCheckpointDir(folder)
     return spark
 
 
@@ -58,17 +66,32 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[
         yield from work(pa.Table.from_batches(held))
 
 
-def may_contain(df: DataFrame, column: str, ids: DataFrame, id_column: str, size: int = FILTER_BITS) -> DataFrame:
-    """Rows of df whose id may be in ids: all that are, and a few others.
-
-    One bit for each hash value of an id, ``size`` bits whatever the data; so
+def _bits(ids: DataFrame, id_column: str, size: int) -> DataFrame:
+    """One bit for each hash value of an id, ``size`` bits whatever the data; so
     what is broadcast is at most size / 64 rows of 16 bytes."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    word = lambda c: F.shiftright(place(c), 6)
-    bit = lambda c: F.expr("shiftleft(1L, cast(p % 64 as int))")
-    bits = ids.select(place(F.col(id_column)).alias("p")).select(F.shiftright("p", 6).alias("_word"), bit("p").alias("_b")).groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
-    hit = F.getbit("_bits", F.pmod(F.xxhash64(F.col(column)), F.lit(64)).cast("int")) == 1
-    return df.join(F.broadcast(bits), word(F.col(column)) == F.col("_word"), "inner").filter(hit).drop("_word", "_bits")
+    place = ids.select(F.pmod(F.xxhash64(id_column), F.lit(size)).alias("p"))
+    return place.select(F.shiftright("p", 6).alias("_word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("_b")).groupBy("_word").agg(F.bit_or("_b").alias("_bits"))
+
+
+def _marked(df: DataFrame, column: str, ids: DataFrame, id_column: str, size: int, how: str) -> DataFrame:
+    key = F.xxhash64(F.col(column))
+    return df.join(F.broadcast(_bits(ids, id_column, size)), F.shiftright(F.pmod(key, F.lit(size)), 6) == F.col("_word"), how).withColumn("_hit", F.coalesce(F.getbit("_bits", F.pmod(key, F.lit(64)).cast("int")) == 1, F.lit(False)))
+
+
+def may_contain(df: DataFrame, column: str, ids: DataFrame, id_column: str, size: int = FILTER_BITS) -> DataFrame:
+    """Rows of df whose id may be in ids: all that are, and a few others; with
+    many more ids than ``size`` bits, most others. Follow it with an inner join:
+    the optimizer would put a semi-join in front."""
+    return _marked(df, column, ids, id_column, size, "inner").filter("_hit").drop("_word", "_bits", "_hit")
+
+
+def without(df: DataFrame, column: str, ids: DataFrame, id_column: str, size: int = FILTER_BITS) -> DataFrame:
+    """Rows of df whose id isn't in ids (distinct), null ids included. Only rows
+    that may be in ids are shuffled to meet them."""
+    marked = _marked(df, column, ids, id_column, size, "left")
+    there = ids.select(F.col(id_column).alias("_id"), F.lit(True).alias("_there"))
+    met = marked.filter("_hit").join(there, F.col(column) == F.col("_id"), "left").filter("_there is null")
+    return marked.filter("not _hit").select(df.columns).unionByName(met.select(df.columns))
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

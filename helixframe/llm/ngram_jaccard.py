@@ -39,11 +39,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import by_group, connected_components, may_contain, prepare
+from .common import by_group, connected_components, may_contain, prepare, without
 
 _U = np.uint64
 #: (n2, k2): cells of a partition, and how many of them a subset lacks.
@@ -52,8 +53,9 @@ SCHEMES = ((6, 3), (4, 2), (2, 1))
 BUDGET = 64
 #: Cells of the second cut for each element that linked sets may differ in.
 FINE = 2
-#: Signatures that a task holds to see which of them it has twice.
-CHUNK = 1 << 20
+#: Signatures that a task holds to see which of them it has twice; signatures of
+#: a bucket.
+CHUNK, BUCKET = 1 << 20, 1 << 21
 #: Elements of the sets of a unit of work, or of a block of a larger cluster.
 UNIT = 1 << 20
 #: Bits of the filter of cells that several sets have: 8 MB at most.
@@ -212,28 +214,40 @@ def _met(sig: np.ndarray, name: np.ndarray) -> np.ndarray:
     order = np.lexsort((name, sig))
     s, n = sig[order], name[order]
     fresh = np.concatenate([[True], s[1:] != s[:-1]])
-    start = np.flatnonzero(fresh)
-    many = np.repeat(np.diff(np.concatenate([start, [len(s)]])) > 1, np.diff(np.concatenate([start, [len(s)]])))
+    width = np.diff(np.concatenate([np.flatnonzero(fresh), [len(s)]]))
+    many = np.repeat(width > 1, width)
     out = np.where(many & ~fresh, tk.mix(s ^ tk.mix(n)), s) & ~_U(1) | many.astype(np.uint64)
     back = np.empty_like(out)
     back[order] = out
     return back
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(sig, name, c): name is a set's key with the step as its low bit, c is 1;
-    or, once a name, the negative of what ``tagged`` says of it."""
+def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (bucket, sig, name, least): the signatures of a chunk that fall in
+    a bucket, and whose they are: a set's key with the step as its low bit. Or,
+    in the bucket of a name, what ``tagged`` says of it. In binary columns, so a
+    signature costs its own bytes and no row."""
     seen: set[int] = set()
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def rows(sig: np.ndarray, name: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(name.view(np.int64)), pa.array(c.astype(np.int32))], ["sig", "name", "c"])
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if held:
-            sig, name = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            yield rows(_met(sig, name), name, np.ones(len(sig)))
+        if not held:
+            return
+        sig, name, least = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        true = least == 0
+        sig[true] = _met(sig[true], name[true])
+        place = ((sig >> _U(1)) % _U(buckets)).astype(np.int64)
+        order = np.lexsort((sig, place))
+        sig, name, least, place = sig[order], name[order], least[order], place[order]
+        cuts = np.searchsorted(place, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)):
+            some = slice(cuts[b], cuts[b + 1])
+            names, of = np.unique(name[some], return_inverse=True)
+            columns = [sig[some].astype("<u8"), names.astype("<u8"), of.astype("<u4"), least[some].astype("<i4")]
+            # byte by byte: high bytes of sorted numbers, and zeros, take next to nothing then
+            packed = [pa.array([x.view(np.uint8).reshape(len(x), -1).T.tobytes()], pa.binary()) for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *packed], ["bucket", "sig", "names", "name", "least"])
 
     for _, sets in _shingles(batches, n):
         keys = set_names(sets)[0]
@@ -244,33 +258,42 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iter
         for step in (0, 1):
             of, sig, least = tagged(mine, percent, step)
             name = keys[new].view(np.uint64) | _U(step)
-            held.append((sig, name[of]))
+            held.append((sig, name[of], np.zeros(len(of), np.int64)))
             some = least > 0
-            yield rows(tk.mix(name[some]) | _U(1), name[some], -least[some])
-        if sum(len(s) for s, _ in held) >= CHUNK:
+            held.append((tk.mix(name[some]) | _U(1), name[some], least[some]))
+        if sum(len(s) for s, *_ in held) >= CHUNK:
             yield from flush()
     yield from flush()
 
 
+def shared_count(sig: np.ndarray, name: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, count) of a bucket's rows: how many of its signatures another name
+    has too, minus what ``tagged`` asks for. Rows that copies repeat count once."""
+    order = np.lexsort((least, name, sig >> _U(1)))
+    group, known, name, least = (sig >> _U(1))[order], (sig & _U(1))[order].astype(np.int64), name[order], least[order]
+    if not len(group):
+        return name, least
+    again = np.concatenate([[False], (group[1:] == group[:-1]) & (name[1:] == name[:-1])])
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    shared = (np.maximum.reduceat(known, start) > 0) | (np.add.reduceat((~again).astype(np.int64), start) > 1)
+    use = np.repeat(shared, np.diff(np.concatenate([start, [len(group)]]))) & ~again
+    names, of = np.unique(name[use], return_inverse=True)
+    return names, np.bincount(of, np.where(least[use] > 0, -least[use], 1), len(names)).astype(np.int64)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig without its low bit, name), the sums of c of those
-    whose signature several sets have. One row is kept between batches."""
-    kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, name, c = (np.concatenate([a, batch.column(x).to_numpy().astype(np.int64)]) for a, x in zip(kept, ("sig", "name", "c"), strict=True))
-        group, known = sig >> 1, sig & 1
-        again = np.concatenate([[False], (group[1:] == group[:-1]) & (name[1:] == name[:-1])])
-        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        width = np.diff(np.concatenate([start, [len(group)]]))
-        shared = (np.maximum.reduceat(known, start) > 0) | (np.add.reduceat((~again).astype(np.int64), start) > 1)
-        use = np.repeat(shared, width) & ~again
-        names, of = np.unique(name[use], return_inverse=True)
-        total = np.bincount(of, c[use], len(names)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["name", "c"])
-        last = shared[-1]
-        kept = (sig[-1:] | int(last), name[-1:], c[-1:] * 0 if last else c[start[-1] : start[-1] + 1])
+    def numbers(cell: pa.Scalar, kind: str) -> np.ndarray:
+        raw = np.frombuffer(cell.as_py(), np.uint8)
+        return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in group.column("bucket").unique():
+            rows = group.filter(pc.equal(group.column("bucket"), b))
+            sig, names, of, least = ([numbers(x, kind) for x in rows.column(c)] for c, kind in (("sig", "<u8"), ("names", "<u8"), ("name", "<u4"), ("least", "<i4")))
+            found = shared_count(np.concatenate(sig), np.concatenate([x[y] for x, y in zip(names, of, strict=True)]), np.concatenate(least).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], ["name", "c"])
+
+    yield from by_group(batches, ["bucket"], work)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -389,14 +412,16 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def _candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """(sid, rep, n, items) of the sets of which enough signatures are shared;
     rep is the least document with that set."""
-    found = docs.filter("doc_id is not null").select("text").mapInArrow(partial(_signatures, n=n, percent=percent), "sig long, name long, c int")
-    place = F.shiftright("sig", 1)
-    shared = found.repartition(place).sortWithinPartitions(place, "name").mapInArrow(_shared, "name long, c long")
+    elements = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    # two tags, and a quarter more signatures than differences
+    buckets = 1 + int(elements * 5 * (100 - percent) / (100 + percent)) // BUCKET
+    found = docs.filter("doc_id is not null").select("text").mapInArrow(partial(_signatures, n=n, percent=percent, buckets=buckets), "bucket int, sig binary, names binary, name binary, least binary")
+    shared = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "name long, c long")
     alive = shared.groupBy("name").agg(F.sum("c").alias("c")).filter("c >= 0").select(F.expr("shiftleft(shiftright(name, 1), 1)").alias("key")).distinct()
     reps = rows.filter("doc_id is not null and n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))
     wanted = reps.join(alive, "key", "left_semi").checkpoint()
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    texts = may_contain(docs, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_semi").select("text")
+    texts = may_contain(docs, "doc_id", ids, "doc_id").join(ids, "doc_id").select("text")
     sets = texts.mapInArrow(partial(_sets, n=n), SETS).join(wanted, ["key", "key2"]).dropDuplicates(["key", "key2"])
     return sets.select(F.monotonically_increasing_id().alias("sid"), "rep", "n", "items").checkpoint()
 
@@ -478,4 +503,4 @@ def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     """documents without those that a component's smallest doc_id stands for;
     rows with a null id, and repeated rows of one id, stay."""
     gone = jaccard_components(documents, n, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    return without(documents, "doc_id", gone.checkpoint(), "doc_id")

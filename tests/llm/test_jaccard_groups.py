@@ -79,16 +79,13 @@ def test_every_scheme_finds_linked_sets():
     assert used == {2, 4, 6}
 
 
-def test_shared_signatures_over_batches():
-    import pyarrow as pa
-
-    # (sig, name, c): groups 5 (two names), 7 (one, twice), 9 (known), 11 (one)
-    rows = [(10, 2, 1), (10, 4, 1), (14, 6, 1), (14, 6, 1), (18, 8, 1), (19, 8, 1), (22, 12, 1), (25, 12, -3)]
-    for size in (1, 2, 3, 8):
-        parts = [list(zip(*rows[k : k + size], strict=True)) for k in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in p], ["sig", "name", "c"]) for p in parts]
-        total = {}
-        for b in ngram_jaccard._shared(iter(batches)):
-            for r in b.to_pylist():
-                total[r["name"]] = total.get(r["name"], 0) + r["c"]
-        assert {k: v for k, v in total.items() if v} == {2: 1, 4: 1, 8: 1, 12: -3}, size
+def test_shared_signatures_are_counted_once():
+    # (sig, name, least): groups 5 (two names), 7 (one, twice), 9 (known), 11 (one)
+    rows = [(10, 2, 0), (10, 4, 0), (14, 6, 0), (14, 6, 0), (18, 8, 0), (19, 8, 0), (22, 12, 0), (25, 12, 3), (25, 12, 3)]
+    for order in (rows, rows[::-1]):
+        sig, name, least = (np.array(x) for x in zip(*order, strict=True))
+        names, count = ngram_jaccard.shared_count(sig.astype(np.uint64), name.astype(np.uint64), least)
+        assert dict(zip(names.tolist(), count.tolist(), strict=True)) == {2: 1, 4: 1, 8: 1, 12: -3}
+    # of a group of this chunk, one row keeps the signature and all know
+    met = ngram_jaccard._met(np.array([8, 8, 8, 20], np.uint64), np.array([1, 2, 3, 4], np.uint64))
+    assert sorted(x & np.uint64(1) for x in met) == [0, 1, 1, 1] and sum(x >> np.uint64(1) == 4 for x in met) == 1
