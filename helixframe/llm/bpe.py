@@ -34,6 +34,8 @@ from .common import prepare
 
 #: Most words and pieces that a task keeps ids of.
 KEPT = 400_000
+#: Words above so many bytes are never merged pair by pair.
+LONG = 256
 #: White space of Unicode that ``str.split`` knows and ASCII's six don't.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PIECE = re.compile("[^ \t\n\r\x0b\x0c]+")
@@ -251,7 +253,10 @@ class Encoder:
                 self.table[as_bytes[b]] = np.array(ids, "<u4").tobytes()
                 self.decoded[as_bytes[b]] = " ".join([strings[i] for i in ids])
         else:
-            self.table.update((as_bytes[b], ids) for b, ids in v.merge_words(set(as_bytes)).items())
+            # merging is quadratic in a word's length, the walk linear
+            long = {b for b in as_bytes if len(b) > LONG}
+            self.table.update((as_bytes[b], np.array(ids, "<u4").tobytes()) for b, ids in v.encode_words(long).items())
+            self.table.update((as_bytes[b], ids) for b, ids in v.merge_words(set(as_bytes) - long).items())
         for piece, f in zip(parts, found, strict=True):
             self.table[piece] = b"".join([self.table[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in f])
             if self.walk:
