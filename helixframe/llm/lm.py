@@ -2,20 +2,28 @@
 contrastive estimation.
 
 A token's probability is P(class | two classes before) * P(token | class). The
-most frequent tokens are classes of their own; the others fall in classes by
-their last bytes. The first factor is log-bilinear: the classes before are
-embedded, mapped linearly and multiplied with the class's own vector. It is
-trained in numpy, on every training token: each partition runs its tokens
-through noise-contrastive steps from common parameters, the results are averaged
-by tokens, and that is repeated. Sums of two terms make the normaliser of all
+OWN most frequent tokens are classes of their own, with vectors of their own;
+the others fall in SHAPES classes by their last bytes. The first factor is
+log-bilinear: the classes before are embedded, mapped linearly and multiplied
+with the class's own vector. Sums of two terms make the normaliser of all
 contexts one matrix product. The second factor, and the base score, are add-one
 estimates from counts of all training tokens; counts of frequent tokens go to
 the tasks (a bounded table), those of the others meet the texts in a join.
 
+The first factor is trained in numpy, on every training token. Documents are
+dealt by a hash to shards of about SHARE tokens, so their number follows the
+data, and to ROUNDS parts of each shard. In a round every shard runs its part
+through noise-contrastive steps, from the parameters and the step sizes that the
+round before left; their means by tokens are what the next round begins with.
+Neither files nor partitions decide who learns what, and a shard's steps are as
+many however large the corpus is.
+
 Nulls: a null text is empty, so its one token is the end. A null id is never
-learned from and counts as held out. Repeated rows are learned from and scored
-each. An empty table gives an empty result; without training text, N and V are
-0. Columns besides doc_id and text are never looked at.
+learned from and counts as held out. Texts are taken whole, however long.
+Repeated rows are learned from and scored each; of equally frequent tokens those
+of the least hash come first. An empty table gives an empty result; without
+training text, N and V are 0. Columns besides doc_id and text are never looked
+at.
 """
 
 from __future__ import annotations
@@ -33,7 +41,11 @@ from .common import prepare
 
 #: Tokens that are classes of their own; classes of other tokens; length of
 #: vectors; noise samples a step; tokens a step; tokens whose counts are sent.
-OWN, SHAPES, WIDTH, NOISE, STEP, SENT = 768, 255, 16, 64, 512, 1 << 16
+OWN, SHAPES, WIDTH, NOISE, STEP, SENT = 1792, 255, 24, 64, 512, 1 << 16
+#: Tokens of a shard; rounds of training; a step's size.
+SHARE, ROUNDS, RATE = 1 << 22, 8, 0.3
+#: Tasks whose parameters are added up before they come to the driver.
+SUMS = 16
 END = np.uint64(0x656E64)  # the end token's name; words' names are scrambled
 _U = np.uint64
 #: Classes: OWN tokens, SHAPES, end (last of the outputs), start (context alone).
@@ -122,16 +134,17 @@ class Lexicon:
         return np.where(rank >= 0, rank, OWN + shapes(w)), at
 
 
-def contexts(w: tk.Words, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(first: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, class, class before, class two before) of every token, ends
-    included; before the first stands the start class."""
-    n = len(w.first) - 1
-    place = np.arange(len(kinds)) + w.doc
+    included; before the first stands the start class. Document d has the words
+    first[d]:first[d + 1]."""
+    n = len(first) - 1
+    own = np.repeat(np.arange(n), np.diff(first))
     size = len(kinds) + n
     out = np.full(size, CLASSES - 1)
-    out[place] = kinds
-    ends = w.first[1:] + np.arange(n)
-    doc = np.repeat(np.arange(n), np.diff(w.first) + 1)
+    out[np.arange(len(kinds)) + own] = kinds
+    ends = first[1:] + np.arange(n)
+    doc = np.repeat(np.arange(n), np.diff(first) + 1)
     begin = np.concatenate([[0], ends[:-1] + 1]) if n else np.zeros(0, np.int64)
     one = np.concatenate([[CLASSES], out[:-1]]) if size else out
     one[begin] = CLASSES
@@ -145,8 +158,9 @@ class Model:
 
     SHAPE = {"R": (CLASSES + 1, WIDTH), "Q": (CLASSES, WIDTH), "A": (WIDTH, WIDTH), "B": (WIDTH, WIDTH), "bias": (CLASSES, 1)}
 
-    def __init__(self, values: dict[str, np.ndarray]):
+    def __init__(self, values: dict[str, np.ndarray], grown: dict[str, np.ndarray] | None = None):
         self.values = values
+        self.grown = grown or {k: np.full(s, 1e-3) for k, s in self.SHAPE.items()}
 
     @classmethod
     def fresh(cls, noise: np.ndarray) -> Model:
@@ -156,11 +170,25 @@ class Model:
         v["bias"] = np.log(noise)[:, None]
         return cls(v)
 
-    def train(self, rate: float, noise: np.ndarray):
+    def packed(self) -> np.ndarray:
+        """All parameters, then their step sizes, as one vector."""
+        return np.concatenate([x.ravel() for part in (self.values, self.grown) for x in part.values()])
+
+    @classmethod
+    def unpacked(cls, flat: np.ndarray) -> Model:
+        parts, at = [], 0
+        for _ in range(2):
+            part = {}
+            for k, s in cls.SHAPE.items():
+                part[k] = flat[at : at + s[0] * s[1]].reshape(s).astype(np.float64)
+                at += s[0] * s[1]
+            parts.append(part)
+        return cls(*parts)
+
+    def train(self, rate: float, noise: np.ndarray, seed: int = 11):
         """A function that takes a step on tokens (class, before, two before)."""
-        v = self.values
-        grown = {k: np.full(s, 1e-3) for k, s in self.SHAPE.items()}
-        g = np.random.default_rng(11)
+        v, grown = self.values, self.grown
+        g = np.random.default_rng(seed)
         cumulative = np.cumsum(noise)
         shift = np.log(NOISE * noise)
 
@@ -185,7 +213,7 @@ class Model:
             grad["bias"] = (np.bincount(c, gu, CLASSES) + np.bincount(other, gd.sum(0), CLASSES))[:, None]
             for k, x in grad.items():
                 x /= len(c)
-                grown[k] = grown[k] + x * x
+                grown[k] += x * x
                 v[k] -= rate * x / np.sqrt(grown[k])
 
         return step
@@ -201,33 +229,108 @@ class Model:
         return one, two, norm
 
 
-def _trained(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: Model, rate: float) -> Iterator[pa.RecordBatch]:
-    step = model.train(rate, lexicon.noise)
-    tokens = 0
-    for _, w in _batches(batches):
-        _, c, a, b = contexts(w, lexicon.classes(w)[0])
+def _coded(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, shards: int) -> Iterator[pa.RecordBatch]:
+    """(shard, part, place, kinds): a document's classes, 16 bits each."""
+    for part, w in _batches(batches):
+        kinds = lexicon.classes(w)[0].astype("<u2")
+        place = part.column("place").to_numpy()
+        name = tk.mix(place.view(np.uint64))
+        rows = [kinds[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array((name % _U(shards)).astype(np.int64)), pa.array((tk.mix(name) % _U(ROUNDS)).astype(np.int32)), pa.array(place), pa.array(rows, pa.binary())], ["shard", "part", "place", "kinds"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, flat: bytes, turn: int) -> Iterator[pa.RecordBatch]:
+    """(x, w): the mean by tokens of the models of this task's shards, which come
+    one after the other, and their tokens."""
+    start = np.frombuffer(flat, np.float32)
+    total, tokens = np.zeros(len(start)), 0
+    shard, step, model, held, size, own = None, None, None, [], 0, 0
+
+    def learn() -> None:
+        nonlocal held, size, own
+        if not held:
+            return
+        kinds = [np.frombuffer(x, "<u2") for x in held]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in kinds])])
+        _, c, a, b = contexts(first, np.concatenate(kinds).astype(np.int64))
         order = np.random.default_rng(len(c)).permutation(len(c))
         for at in range(0, len(c), STEP):
             k = order[at : at + STEP]
             step(c[k], a[k], b[k])
-        tokens += len(c)
+        own += len(c)
+        held, size = [], 0
+
+    def close() -> None:
+        nonlocal total, tokens, own
+        learn()
+        if own:
+            total += own * model.packed()
+            tokens += own
+        own = 0
+
+    for batch in batches:
+        for number, kinds in zip(batch.column("shard").to_pylist(), batch.column("kinds"), strict=True):
+            if number != shard:
+                close()
+                shard, model = number, Model.unpacked(start)
+                step = model.train(RATE, lexicon.noise, number * ROUNDS + turn)
+            held.append(kinds.as_py())
+            size += len(held[-1])
+            if size >= 64 * STEP:
+                learn()
+    close()
     if tokens:
-        for name, x in model.values.items():
-            row, col = np.indices(x.shape)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * x.size), pa.array(row.ravel().astype(np.int32)), pa.array(col.ravel().astype(np.int32)), pa.array((x * tokens).ravel()), pa.array(np.full(x.size, float(tokens)))], ["name", "i", "j", "x", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["x", "w"])
 
 
-_tables: dict[int, tuple] = {}
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, tokens = 0.0, 0
+    for batch in batches:
+        for x, w in zip(batch.column("x"), batch.column("w").to_pylist(), strict=True):
+            total, tokens = total + w * np.frombuffer(x.as_py(), "<f4").astype(np.float64), tokens + w
+    if tokens:
+        yield pa.RecordBatch.from_arrays([pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["x", "w"])
+
+
+def fit(learn: DataFrame, lexicon: Lexicon, share: int = SHARE) -> Model:
+    """Train on all of learn (place, text); place is a hash that orders them."""
+    model = Model.fresh(lexicon.noise)
+    if not lexicon.docs:
+        return model
+    shards = max(1, -(-(lexicon.total + lexicon.docs) // share))
+    coded = learn.mapInArrow(partial(_coded, lexicon=lexicon, shards=shards), "shard long, part int, place long, kinds binary")
+    coded = coded.repartition("shard").sortWithinPartitions("part", "shard", "place", "kinds").checkpoint()
+    for turn in range(ROUNDS):
+        flat = model.packed().astype("<f4").tobytes()
+        rows = coded.filter(F.col("part") == turn).mapInArrow(partial(_trained, lexicon=lexicon, flat=flat, turn=turn), "x binary, w long")
+        # SUMS rows of the size of the model at most
+        found = rows.repartition(SUMS, F.pmod(F.xxhash64("x"), F.lit(SUMS))).mapInArrow(_summed, "x binary, w long").collect()
+        if found:
+            mean = sum(r.w * np.frombuffer(r.x, "<f4").astype(np.float64) for r in sorted(found, key=lambda r: r.x))
+            model = Model.unpacked(mean / sum(r.w for r in found))
+    return model
+
+
+_tables: dict[bytes, tuple] = {}
+
+
+def _tables_of(model: Model) -> tuple:
+    """The model's tables, once a worker."""
+    key = model.packed().tobytes()
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = model.tables()
+    return _tables[key]
 
 
 def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: Model) -> Iterator[pa.RecordBatch]:
-    one, two, norm = model.tables()
+    one, two, norm = _tables_of(model)
     whole = np.log10(lexicon.total + lexicon.docs + lexicon.distinct + (lexicon.docs > 0) + 1)
     names = ["kind", "h", "rid", "doc_id", "m", "n_tokens", "n_known", "base", "score"]
     for part, w in _batches(batches):
         n = part.num_rows
         kinds, at = lexicon.classes(w)
-        doc, c, a, b = contexts(w, kinds)
+        doc, c, a, b = contexts(w.first, kinds)
         sums = lambda index, x: np.bincount(index, x, n)[:n]
         score = sums(doc, (one[a, c] + two[b, c] - norm[a, b]) / np.log(10))
         tokens = np.diff(w.first) + 1
@@ -251,15 +354,15 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, model: Model) -
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(h[first].view(np.int64)), rid.take(pa.array(d[first])), no(pa.int64()), pa.array(m), no(pa.int64()), no(pa.int64()), no(pa.float64()), no(pa.float64())], names)
 
 
-def score(documents: DataFrame, rounds: int = 1, fold: int = 7, held: int = 2) -> DataFrame:
+def score(documents: DataFrame, fold: int = 7, held: int = 2, share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     (log10 probability of the whole text) of each row. Rows whose crc32 of the
     id modulo ``fold`` is ``held`` are held out of all learning."""
     prepare(documents.sparkSession)
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learn = docs.filter(~crc).select("text")
-    counts = learn.mapInArrow(_counted, "h long, shape int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape")).checkpoint()
+    learn = docs.filter(~crc).select(F.xxhash64("doc_id", "text").alias("place"), "text")
+    counts = learn.select("text").mapInArrow(_counted, "h long, shape int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape")).checkpoint()
     words = counts.filter(F.col("shape") < SHAPES)
     # the frequent words: those of the highest counts, by sixteenths of a doubling, as far as SENT goes
     level = F.floor(F.log2("c") * 16).cast("int")
@@ -274,14 +377,7 @@ def score(documents: DataFrame, rounds: int = 1, fold: int = 7, held: int = 2) -
     totals = [tuple(r) for r in words.groupBy("shape").agg(F.sum("c"), F.count(F.lit(1))).collect()]
     docs_learned = counts.filter(F.col("shape") == SHAPES).agg(F.sum("c")).first()[0] or 0
     lexicon = Lexicon(top, totals).with_docs(docs_learned)
-    model = Model.fresh(lexicon.noise)
-    for turn in range(rounds if docs_learned else 0):
-        rows = learn.mapInArrow(partial(_trained, lexicon=lexicon, model=model, rate=0.2 / (turn + 1)), "name string, i int, j int, x double, w double")
-        mean = rows.groupBy("name", "i", "j").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()  # as many rows as the model has parameters
-        values = {k: np.zeros(s) for k, s in Model.SHAPE.items()}
-        for k, x in mean.groupby("name"):
-            values[k][x["i"].to_numpy(), x["j"].to_numpy()] = x["x"].to_numpy()
-        model = Model(values)
+    model = fit(learn, lexicon, share)
     rare = words.select(F.lit(1).alias("kind"), "h", "c")
     named = docs.withColumn("rid", F.monotonically_increasing_id())
     parts = named.mapInArrow(partial(_scored, lexicon=lexicon, model=model), OUT).join(rare, ["kind", "h"], "left")
