@@ -1,19 +1,24 @@
 """Approximate nearest neighbours in robust-pruned directed graphs.
 
-Vectors are dealt to shards of bounded size. Each shard gets a directed graph:
-points are inserted in batches; a greedy beam search from the middle of the
-shard proposes neighbours, and relaxed pruning keeps a candidate unless a kept,
-nearer one is ``alpha`` times closer to it than the point is. Kept edges go back
-too, and full lists are pruned anew. Every query is searched for in each shard
-by beam search; scores of what is found are exact, in double precision, and the
-best of all shards stay. Every vector is indexed; queries stream past a shard's
-graph, so memory holds one shard and one batch.
+Equal vectors are one node, with as many of their smallest ids as an answer can
+hold; so a vector that most rows have doesn't crowd a graph, and ties between
+copies go to the smaller ids exactly. Nodes are dealt to shards as large as a
+task's memory takes. Each shard gets a directed graph: points are inserted in
+batches; a greedy beam search from the middle of the shard proposes neighbours,
+and relaxed pruning keeps a candidate unless a kept, nearer one is ``alpha``
+times closer to it than the point is. Kept edges go back too, and full lists are
+pruned anew. Every query is searched for in each shard by beam search, once for
+rows of equal id and vector; scores of what is found are exact, in double
+precision, and the best of all shards stay. Every vector is indexed; queries
+stream past a shard's graph, so memory holds one shard and one batch. A search
+visits a number of nodes that grows as the logarithm of its shard.
 
 Vectors null, empty, zero or with null or non-finite components take no part,
 nor do null ids. A query meets vectors of its own length alone. Repeated ids:
 each row is a candidate of its own, but never for a query of the same id, and a
-query is asked once for each row. Empty tables give an empty result; columns
-besides vec_id and embedding are never looked at.
+query is asked once for each row. Ties between different vectors go to smaller
+ids among what is found. Empty tables give an empty result; columns besides
+vec_id and embedding are never looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .cover_tree import valid_vector
 
-HITS = "query_id long, asked long, vec_id long, score double"
+HITS = "query_id long, asked long, vec_id long, m int, score double"
 
 
 class Graph:
@@ -137,7 +142,8 @@ class Graph:
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by shard, candidates before queries."""
+    """Rows come by shard, candidates before queries. Of a node that is found
+    its ids follow, each with the number of rows that have it."""
     shard, ids, parts, graph, exact = None, [], [], None, None
     matrix = lambda b: b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
     for batch in batches:
@@ -150,41 +156,67 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa
             if (own := tuple(key[:2, a])) != shard:
                 shard, ids, parts, graph, exact = own, [], [], None, None
             if not key[2, a]:
-                ids.append(part.column("vec_id").to_numpy())
+                ids.append(part.column("ids"))
                 parts.append(matrix(part))
                 continue
             if not ids:
                 continue
             if graph is None:
-                exact, names = np.concatenate(parts), np.concatenate(ids)
+                exact, lists = np.concatenate(parts), pa.chunked_array(ids).combine_chunks()
+                names = lists.flatten().field("id").to_numpy()
+                rows = lists.flatten().field("m").to_numpy()
+                base = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
                 graph = Graph(exact)
             for at in range(0, part.num_rows, 256):
                 some = part.slice(at, 256)
                 q, own_id, asked = matrix(some), some.column("vec_id").to_numpy(), some.column("asked").to_numpy()
                 found, _ = graph.search(q.astype(np.float32), max(beam, k + 1))
                 r, c = np.nonzero(found >= 0)
-                hit = found[r, c]
+                node = found[r, c]
+                d = np.sqrt(((q[r] - exact[node]) ** 2).sum(1))
+                width = base[node + 1] - base[node]
+                hit = np.repeat(base[node] - np.cumsum(width) + width, width) + np.arange(width.sum())
+                r, d = np.repeat(r, width), np.repeat(d, width)
                 keep = names[hit] != own_id[r]
-                r, hit = r[keep], hit[keep]
-                d = np.sqrt(((q[r] - exact[hit]) ** 2).sum(1))
+                r, hit, d = r[keep], hit[keep], d[keep]
                 order = np.lexsort((names[hit], d, r))
                 r, hit, d = r[order], hit[order], d[order]
                 place = np.arange(len(r)) - np.searchsorted(r, r)
                 best = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(own_id[r[best]]), pa.array(asked[r[best]]), pa.array(names[hit[best]]), pa.array(d[best])], ["query_id", "asked", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(own_id[r[best]]), pa.array(asked[r[best]]), pa.array(names[hit[best]]), pa.array(rows[hit[best]], pa.int32()), pa.array(d[best])], ["query_id", "asked", "vec_id", "m", "score"])
 
 
-def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, shard: int = 2048, beam: int = 96) -> DataFrame:
+def nodes(rows: DataFrame, k: int) -> DataFrame:
+    """(dim, v, ids): each distinct vector with its k + 1 smallest ids and how
+    many rows have them (k at most count). No more can be among the k nearest
+    of any query, which leaves out its own id alone."""
+    each = rows.groupBy("dim", "v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
+    few = each.withColumn("r", rank).filter(f"r <= {k + 1}")
+    return few.groupBy("dim", "v").agg(F.array_sort(F.collect_list(F.struct(F.col("vec_id").alias("id"), "m"))).alias("ids"))
+
+
+def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, shard: int = 32_768, beam: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean) of the k nearest found for each
     row whose vec_id is divisible by ``every``; ties go to the smaller vec_id.
-    ``shard`` is about the number of vectors of one graph."""
+    ``shard`` is about the number of distinct vectors of one graph."""
     prepare(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(valid_vector("v") & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
-    shards = max(1, -(-rows.count() // shard))
-    candidates = rows.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), F.lit(0).alias("query"), F.lit(0).cast("long").alias("asked"), "vec_id", "v")
-    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("asked", F.monotonically_increasing_id()).checkpoint()
-    queries = asked.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("query"), "asked", "vec_id", "v")
+    # -0.0 and 0.0 are one number
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    points = nodes(rows, k).checkpoint()
+    shards = max(1, -(-points.count() // shard))
+    where = lambda d: d.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
+    no = F.lit(0).cast("long")
+    candidates = where(points).select("dim", "shard", F.lit(0).alias("query"), no.alias("asked"), no.alias("vec_id"), "v", "ids")
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("dim", "vec_id", "v").agg(F.count(F.lit(1)).alias("times")).withColumn("asked", F.monotonically_increasing_id()).checkpoint()
+    queries = asked.select("dim", F.explode(F.sequence(no, F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("query"), "asked", "vec_id", "v", F.lit(None).cast("array<struct<id:long,m:int>>").alias("ids"))
     dealt = candidates.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "query")
     hits = dealt.mapInArrow(partial(_search, k=k, beam=beam), HITS)
+    # rows that repeat a candidate, then rows that repeat a query
+    each = hits.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
     rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy("score", "vec_id"))
-    return hits.withColumn("rank", rank).filter(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = each.withColumn("rank", rank).filter(f"rank <= {k}")
+    times = asked.filter("times > 1").select("asked", "times")
+    best = best.join(times, "asked", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1)))))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
