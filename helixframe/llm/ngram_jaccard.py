@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import by_group, connected_components, may_contain, prepare, without
+from .common import by_group, connected_components, may_contain, prepare, release, without
 
 _U = np.uint64
 #: (n2, k2): cells of a partition, and how many of them a subset lacks.
@@ -409,9 +409,9 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield from by_group(batches, keys, work)
 
 
-def _candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sid, rep, n, items) of the sets of which enough signatures are shared;
-    rep is the least document with that set."""
+def _wanted(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, key2, rep) of the sets of which enough signatures are shared; rep
+    is the least document with that set."""
     elements = rows.agg(F.sum("n_shingles")).first()[0] or 0
     # two tags, and a quarter more signatures than differences
     buckets = 1 + int(elements * 5 * (100 - percent) / (100 + percent)) // BUCKET
@@ -419,7 +419,13 @@ def _candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataF
     shared = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "name long, c long")
     alive = shared.groupBy("name").agg(F.sum("c").alias("c")).filter("c >= 0").select(F.expr("shiftleft(shiftright(name, 1), 1)").alias("key")).distinct()
     reps = rows.filter("doc_id is not null and n_shingles > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"))
-    wanted = reps.join(alive, "key", "left_semi").checkpoint()
+    return reps.join(alive, "key", "left_semi").checkpoint()
+
+
+def _candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(sid, rep, n, items) of the wanted sets."""
+    wanted = _wanted(docs, rows, n, percent)
+    release(docs.sparkSession)
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     texts = may_contain(docs, "doc_id", ids, "doc_id").join(ids, "doc_id").select("text")
     sets = texts.mapInArrow(partial(_sets, n=n), SETS).join(wanted, ["key", "key2"]).dropDuplicates(["key", "key2"])
@@ -453,6 +459,7 @@ def set_links(docs: DataFrame, rows: DataFrame, n: int, percent: int, unit: int
     named by its least document."""
     sets = _candidates(docs, rows, n, percent)
     edges = _edges(sets, percent)
+    release(docs.sparkSession)
     of = connected_components(edges, "hub", "sid").select(F.col("id").alias("sid"), F.col("component_id").alias("cluster")).checkpoint()
     sized = of.join(sets.select("sid", "n"), "sid").checkpoint()
     total = sized.groupBy("cluster").agg(F.sum("n").alias("total"))
