@@ -41,7 +41,7 @@ from .common import prepare
 
 #: Tokens that are classes of their own; classes of other tokens; length of
 #: vectors; noise samples a step; tokens a step; tokens whose counts are sent.
-OWN, SHAPES, WIDTH, NOISE, STEP, SENT = 1792, 255, 24, 64, 512, 1 << 16
+OWN, SHAPES, WIDTH, NOISE, STEP, SENT = 1792, 255, 16, 64, 512, 1 << 16
 #: Tokens of a shard; rounds of training; a step's size.
 SHARE, ROUNDS, RATE = 1 << 22, 8, 0.3
 #: Tasks whose parameters are added up before they come to the driver.
