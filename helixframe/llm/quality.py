@@ -1,16 +1,22 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A text is a bag of passages of ``PASSAGE`` words. Each passage is encoded from
-its writing (lengths, letter cases, marks, repeated words); a gated attention,
-learned from document labels alone, weighs the passages, and the weighted sum of
-their hidden vectors gives the score. Labels, language, source and id are no
-inputs. The model is trained in numpy on at most ``sample`` labelled documents
-(those of the least hash), none of them held out.
+A text is a bag of passages of ``PASSAGE`` words. A passage is encoded by what
+it says, hashed counts of its words and of the letters' trigrams in them, and by
+how it is written: lengths, kinds of characters, repeated words. A linear layer
+that is learned embeds both. Gated attention, learned from document labels alone,
+weighs the passages, and the weighted sum of their hidden vectors gives the
+score. Labels, language, source and id are no inputs. The model is trained in
+numpy on at most ``sample`` labelled documents (those of the least hash), none
+of them held out, one text an id and ``BAG`` evenly spread passages a text; so
+what comes to the driver is bounded. Scores take every passage of every text.
 
 Nulls: a null text is empty; an empty text is one passage of zeros. A null id
-has no label and counts as held out. Ids that labels repeat take the mean label.
+has no label and counts as held out. Ids that labels repeat take the mean label,
+half and more count as 1; of different texts of an id one is learned from.
 Without labels of both classes every score is the share of class 1 (0.5 without
-any). Repeated rows are scored each; an empty table gives an empty result.
+any). Texts of any length are scored whole, in slices. Repeated rows are scored
+each and alike; an empty table gives an empty result. Other columns are never
+looked at, and ``keep_good`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,17 +34,18 @@ from .common import prepare
 
 PASSAGE = 64
 HIDDEN = 16
+#: Buckets of words and of trigrams; passages of a text that are learned from.
+WORDS, LETTERS, BAG = 128, 128, 32
 _U = np.uint64
-#: Kinds of bytes: upper case, digit, bar, exclamation, sentence mark, other mark.
-_KIND = np.zeros((7, 256))
+#: Kinds of bytes: upper case, digit, sentence mark, other mark, beyond ASCII.
+_KIND = np.zeros((5, 256))
 _KIND[0, 65:91] = 1
 _KIND[1, 48:58] = 1
-_KIND[2, 124] = 1
-_KIND[3, 33] = 1
-_KIND[4, [44, 46, 58, 59, 63]] = 1
-_KIND[5, [x for x in range(34, 127) if not chr(x).isalnum() and x not in (44, 46, 58, 59, 63, 124)]] = 1
-_KIND[6, 128:] = 1
-FEATURES = 18
+_KIND[2, [33, 44, 46, 58, 59, 63]] = 1
+_KIND[3, [x for x in range(34, 127) if not chr(x).isalnum() and x not in (44, 46, 58, 59, 63)]] = 1
+_KIND[4, 128:] = 1
+STYLE = 14
+FEATURES = STYLE + WORDS + LETTERS
 
 
 def passages(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +54,10 @@ def passages(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(w.first)
     count = np.maximum(1, -(-sizes // PASSAGE))
     doc = np.repeat(np.arange(n), count)
-    x = np.zeros((len(doc), FEATURES))
+    x = np.zeros((len(doc), FEATURES), np.float32)
     if not len(w.hash):
         return doc, x
-    first = np.concatenate([[0], np.cumsum(count)[:-1]]) if n else np.zeros(0, np.int64)
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
     of = first[w.doc] + (np.arange(len(w.hash)) - w.first[w.doc]) // PASSAGE
     total = len(doc)
     add = lambda values: np.bincount(of, values, total)
@@ -63,19 +70,28 @@ def passages(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
         per_word.append(flags[w.end] - flags[w.start])
     for k, v in enumerate(per_word):
         x[:, k] = add(v) / bytes_in
-    x[:, 7] = add(size) / words_in
-    x[:, 8] = np.sqrt(np.maximum(0, add(size * size) / words_in - x[:, 7] ** 2))
-    x[:, 9] = add((per_word[2] > 0) & (size == 1)) / words_in
-    x[:, 10] = add((per_word[5] >= 2) | (per_word[3] >= 2)) / words_in
-    x[:, 11] = add(per_word[4] > 0) / words_in
-    x[:, 12] = add(per_word[0] * 2 > size) / words_in
-    x[:, 13] = add(per_word[1] * 2 > size) / words_in
+    mean = add(size) / words_in
+    x[:, 5] = mean
+    x[:, 6] = np.sqrt(np.maximum(0, add(size * size) / words_in - mean**2))
+    x[:, 7] = add((per_word[2] + per_word[3]) == size) / words_in
+    x[:, 8] = add(per_word[0] * 2 > size) / words_in
+    x[:, 9] = add(per_word[1] * 2 > size) / words_in
     _, at = np.unique(w.hash + of.astype(np.uint64) * _U(0x9E3779B97F4A7C15), return_index=True)
-    x[:, 14] = np.bincount(of[at], minlength=total) / words_in
+    x[:, 10] = np.bincount(of[at], minlength=total) / words_in
     _, at = np.unique(w.hash + w.doc.astype(np.uint64) * _U(0x9E3779B97F4A7C15), return_index=True)
-    x[:, 15] = np.bincount(of[at], minlength=total) / words_in
-    x[:, 16] = np.log1p(words_in)
-    x[:, 17] = np.log1p(sizes[doc])
+    x[:, 11] = np.bincount(of[at], minlength=total) / words_in
+    x[:, 12] = np.log1p(words_in)
+    x[:, 13] = np.log1p(sizes[doc])
+    table = np.bincount(of * WORDS + (tk.mix(w.hash) % _U(WORDS)).astype(np.int64), minlength=total * WORDS)
+    x[:, STYLE : STYLE + WORDS] = np.sqrt(table.reshape(total, WORDS) / words_in[:, None])
+    # trigrams inside words
+    width = np.maximum(0, w.end - w.start - 2)
+    at = np.repeat(w.start - np.cumsum(width) + width, width) + np.arange(width.sum())
+    if len(at):
+        low = tk._LOWER[w.data].astype(np.uint32)
+        code = (low[at] * np.uint32(0x9E3779B1) + low[at + 1] * np.uint32(0x85EBCA77) + low[at + 2] * np.uint32(0xC2B2AE3D)) >> np.uint32(25)
+        index = np.repeat(of, width) * LETTERS + code
+        x[:, STYLE + WORDS :] = np.sqrt(np.bincount(index, minlength=total * LETTERS).reshape(total, LETTERS) / bytes_in[:, None])
     return doc, x
 
 
@@ -105,46 +121,56 @@ class Attention:
         return self.forward(doc, (x - self.mean) / self.scale, n)["y"]
 
 
-def train(doc: np.ndarray, x: np.ndarray, label: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-3) -> Attention:
-    """Full-batch Adam on the log loss of bags."""
+def train(doc: np.ndarray, x: np.ndarray, label: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.01, decay: float = 3e-4) -> Attention:
+    """Adam on the log loss of batches of bags; doc is sorted."""
     share = float(label.mean()) if len(label) else 0.5
     g = np.random.default_rng(3)
-    v = {"W": g.normal(0, 0.3, (FEATURES, HIDDEN)), "w": np.zeros(HIDDEN), "V": g.normal(0, 0.3, (HIDDEN, HIDDEN)), "U": g.normal(0, 0.3, (HIDDEN, HIDDEN)), "t": g.normal(0, 0.3, HIDDEN), "c": g.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
-    mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
-    model = Attention(v, mean, scale, share, 0 < share < 1)
+    v = {"W": g.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, HIDDEN)), "w": np.zeros(HIDDEN), "V": g.normal(0, 0.3, (HIDDEN, HIDDEN)), "U": g.normal(0, 0.3, (HIDDEN, HIDDEN)), "t": g.normal(0, 0.3, HIDDEN), "c": g.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
+    mean, scale = (x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-2) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+    model = Attention(v, mean, scale, share, len(label) > 0 and 0 < share < 1)
     if not model.trained:
         return model
-    x = (x - mean) / scale
-    n = len(label)
+    every = (x - mean) / scale
+    cuts = np.searchsorted(doc, np.arange(len(label) + 1))
     one, two = ({k: np.zeros_like(a) for k, a in v.items()} for _ in range(2))
-    for step in range(1, steps + 1):
-        f = model.forward(doc, x, n)
-        dy = (f["y"] - label) / n
-        d = {"c": f["z"].T @ dy, "b": np.array([dy.sum()])}
-        dz = dy[:, None] * v["c"]
-        da = np.einsum("ij,ij->i", dz[doc], f["h"])
-        ds = f["a"] * (da - np.bincount(doc, f["a"] * da, n)[doc])
-        dpg = ds[:, None] * v["t"]
-        d["t"] = (f["p"] * f["g"]).T @ ds
-        dp, dg = dpg * f["g"] * (1 - f["p"] ** 2), dpg * f["p"] * f["g"] * (1 - f["g"])
-        d["V"], d["U"] = f["h"].T @ dp, f["h"].T @ dg
-        dh = (f["a"][:, None] * dz[doc] + dp @ v["V"].T + dg @ v["U"].T) * (1 - f["h"] ** 2)
-        d["W"], d["w"] = x.T @ dh, dh.sum(0)
-        for k in v:
-            grad = d[k] + decay / len(v) * v[k]
-            one[k] = 0.9 * one[k] + 0.1 * grad
-            two[k] = 0.999 * two[k] + 0.001 * grad**2
-            v[k] = v[k] - rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+    total, step = epochs * -(-len(label) // batch), 0
+    for _ in range(epochs):
+        order = g.permutation(len(label))
+        for at in range(0, len(order), batch):
+            step += 1
+            some = order[at : at + batch]
+            x = np.concatenate([every[cuts[d] : cuts[d + 1]] for d in some])
+            bag, n, y = np.repeat(np.arange(len(some)), cuts[some + 1] - cuts[some]), len(some), label[some]
+            f = model.forward(bag, x, n)
+            dy = (f["y"] - y) / n
+            d = {"c": f["z"].T @ dy, "b": np.array([dy.sum()])}
+            dz = dy[:, None] * v["c"]
+            da = np.einsum("ij,ij->i", dz[bag], f["h"])
+            ds = f["a"] * (da - np.bincount(bag, f["a"] * da, n)[bag])
+            dpg = ds[:, None] * v["t"]
+            d["t"] = (f["p"] * f["g"]).T @ ds
+            dp, dg = dpg * f["g"] * (1 - f["p"] ** 2), dpg * f["p"] * f["g"] * (1 - f["g"])
+            d["V"], d["U"] = f["h"].T @ dp, f["h"].T @ dg
+            dh = (f["a"][:, None] * dz[bag] + dp @ v["V"].T + dg @ v["U"].T) * (1 - f["h"] ** 2)
+            d["W"], d["w"] = x.T @ dh, dh.sum(0)
+            now = rate * (1 - step / (total + 1))
+            for k in v:
+                grad = d[k] + decay * v[k]
+                one[k] = 0.9 * one[k] + 0.1 * grad
+                two[k] = 0.999 * two[k] + 0.001 * grad**2
+                v[k] = v[k] - now * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, y, x): at most BAG passages of each text, evenly spread."""
     for batch in batches:
         for part in tk.slices(batch, "text"):
             doc, x = passages(tk.words(part.column("text")))
             cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            rows = [x[a:b].astype("<f8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(rows, pa.binary())], ["y", "x"])
+            spread = lambda a, b: np.unique(np.linspace(a, b - 1, min(BAG, b - a)).astype(np.int64))
+            rows = [x[spread(a, b)].astype("<f2").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sample: int = 4000) -> Attention:
@@ -154,29 +180,37 @@ def fit(documents: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, s
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y is not null").filter(crc)
     known = known.groupBy("doc_id").agg(F.when(F.avg("y") >= 0.5, 1.0).otherwise(0.0).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(_features, "y double, x binary").collect()
-    bags = [np.frombuffer(r.x, "<f8").reshape(-1, FEATURES) for r in rows]
-    order = sorted(range(len(rows)), key=lambda k: (len(bags[k]), rows[k].y, rows[k].x))
-    bags = [bags[k] for k in order]
+    found = docs.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y double, x binary")
+    rows = found.groupBy("doc_id").agg(F.max(F.struct("y", "x")).alias("r")).select("doc_id", "r.y", "r.x").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    bags = [np.frombuffer(r.x, "<f2").reshape(-1, FEATURES).astype(np.float32) for r in rows]
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return train(doc, np.concatenate(bags) if bags else np.zeros((0, FEATURES)), np.array([rows[k].y for k in order]))
+    return train(doc, np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), np.array([r.y for r in rows]))
+
+
+def _score(batch: pa.RecordBatch, model: Attention) -> np.ndarray:
+    scores = [np.zeros(0)]
+    for part in tk.slices(batch, "text"):
+        doc, x = passages(tk.words(part.column("text")))
+        scores.append(model.score(doc, x, part.num_rows))
+    return np.concatenate(scores)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Attention) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        scores = [np.zeros(0)]
-        for part in tk.slices(batch, "text"):
-            doc, x = passages(tk.words(part.column("text")))
-            scores.append(model.score(doc, x, part.num_rows))
-        keep = [n for n in batch.schema.names if n != "score"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(np.concatenate(scores))], [*keep, "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_score(batch, model))], ["doc_id", "score"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch], model: Attention, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(_score(batch, model) >= threshold)).select(["row"])
 
 
 def scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: int = 4, held: int = 2, sample: int = 4000) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of documents."""
     model = fit(documents, labels, fold, held, sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.mapInArrow(partial(_scores, model=model), "doc_id long, text string, score double").drop("text")
+    found = docs.mapInArrow(partial(_scores, model=model), "doc_id long, score double")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == held, F.lit(True))
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -187,5 +221,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, *
     names = documents.columns
     keyed = documents.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text").cast("string").alias("text"))
     kind = keyed.schema["row"].dataType.simpleString()
-    scored = keyed.mapInArrow(partial(_scores, model=model), f"row {kind}, text string, score double")
-    return scored.filter(F.col("score") >= threshold).select("row.*")
+    return keyed.mapInArrow(partial(_kept, model=model, threshold=threshold), f"row {kind}").select("row.*")
