@@ -1,21 +1,28 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-Equal vectors are one point with a weight. The points of a label are dealt to
-blocks of bounded size; each pair of blocks is one unit of work, so a label that
-holds most rows is spread over many tasks. In a unit every block has a cover
-tree: nodes cover their points within a radius that halves from level to level,
-and a child per centre. Two trees are walked together: with centres d apart and
-true covering radii p and q, a pair of nodes has no linked points if d - p - q
-is more than the distance that the least cosine allows, and only linked points
-if d + p + q is no more. The other pairs go on to their children, and single
-points are compared in double precision. A unit tells for each point the weight
-of what it links with, and a spanning forest of its links, never all pairs.
+Equal vectors are one point with a weight. The upper levels of a cover tree come
+first: of the points of a label that don't fit one block, centres are taken from
+a sample, each the farthest from those before, at most LEVEL of them. Every point
+falls to the nearest centre's cell, whose true radius is known then, and two cells
+only meet if their centres are as near as both radii and the distance that the
+least cosine allows; other pairs of cells shuffle nothing. Crowded cells are cut
+into blocks of bounded size. Each pair of blocks that meets is one unit of work,
+so a label that holds most rows is spread over many tasks. In a unit every block
+has a cover tree: nodes cover their points within a radius that halves from level
+to level, and a child per centre. Two trees are walked together: with centres d
+apart and true covering radii p and q, a pair of nodes has no linked points if
+d - p - q is more than the distance that the least cosine allows, and only linked
+points if d + p + q is no more. The other pairs go on to their children, and
+single points are compared in double precision. A unit tells for each point the
+weight of what it links with, and a spanning forest of its links, never all pairs.
 
 Nulls, zero vectors and vectors with null or non-finite components link with
 nothing, as do rows with a null label or id; they keep a row (component_id is
-their own id). Only vectors of one length are compared. Repeated rows count as
-vectors each. An empty table gives an empty result; other columns are never
-looked at.
+their own id). Labels are compared as they are written, whatever their type. Only
+vectors of one length are compared. Repeated rows count as vectors each. A cosine
+at the bound links. An empty table gives an empty result; other columns are never
+looked at. Where all vectors are about equally far from each other no cells can
+be told apart, and the work of an exact join is quadratic in a label.
 """
 
 from __future__ import annotations
@@ -25,12 +32,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_group, connected_components, prepare
 
 FOUND = "id long, other long, weight long"
+CELLS = "label string, dim int, cell int, id long, weight long, v array<double>, far double, centre array<double>"
+#: Centres of a label; points of a label that they are chosen from.
+LEVEL, SAMPLE = 256, 2048
 #: Slack of distances in double precision; within it, cosines decide.
 SLACK = 1e-9
 
@@ -111,15 +121,80 @@ def linked(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tu
         stack.extend(zip(ps[(rest := np.nonzero(near & ~inside))[0]].tolist(), qs[rest[1]].tolist(), strict=True))
 
 
+def unit_vectors(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def spread_centres(x: np.ndarray, count: int) -> np.ndarray:
+    """Places of ``count`` rows, the first and then each the farthest from those
+    before; fewer if the others equal them."""
+    chosen, far = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < count and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return np.array(chosen)
+
+
+def _groups(group: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    group = group.combine_chunks()
+    same = np.ones(max(group.num_rows - 1, 0), bool)
+    for c in keys:
+        k = group.column(c)
+        k = np.array(k.to_pylist(), object) if pa.types.is_string(k.type) else k.to_numpy()
+        same &= k[1:] == k[:-1]
+    cuts = np.flatnonzero(~same) + 1
+    for a, b in zip([0, *cuts], [*cuts, group.num_rows], strict=True):
+        yield group.slice(a, b - a)
+
+
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centres of each label out of its sample."""
+
+    def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(group, ["label", "dim"]):
+            x = unit_vectors(rows.column("v"), rows.num_rows)
+            some = spread_centres(x, min(LEVEL, rows.column("blocks")[0].as_py()))
+            part = rows.take(pa.array(some))
+            yield from part.select(["label", "dim", "blocks"]).append_column("cell", pa.array(np.arange(len(some)), pa.int32())).append_column("v", pa.array(list(x[some]), pa.list_(pa.float64()))).combine_chunks().to_batches()
+
+    yield from by_group(batches, ["label", "dim"], work)
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by label, length and salt, centres (point false) before points.
+    Each point with the nearest centre, the first of equally near ones."""
+    own, parts, centres = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for rows in _groups(pa.Table.from_batches([batch]), ["label", "dim", "salt", "point"]):
+            key = tuple(rows.column(c)[0].as_py() for c in ("label", "dim", "salt"))
+            if key != own:
+                own, parts, centres = key, [], None
+            x = unit_vectors(rows.column("v"), rows.num_rows)
+            if not rows.column("point")[0].as_py():
+                parts.append((rows.column("cell").to_numpy(), x))
+                continue
+            if centres is None:
+                cells, centres = (np.concatenate(p) for p in zip(*parts, strict=True))
+                order = np.argsort(cells)
+                centres = centres[order]
+            near = (x @ centres.T).argmax(1)
+            far = np.sqrt(((x - centres[near]) ** 2).sum(1))
+            columns = [rows.column("label"), rows.column("dim"), pa.array(near, pa.int32()), rows.column("id"), rows.column("weight"), rows.column("v"), pa.array(far), pa.array(list(centres[near]), pa.list_(pa.float64()))]
+            yield from pa.table(columns, names=["label", "dim", "cell", "id", "weight", "v", "far", "centre"]).combine_chunks().to_batches()
+
+
 def _unit(rows: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, other, weight) of a unit: forest links and weights of links."""
     ids = rows.column("id").to_numpy()
     weight = rows.column("weight").to_numpy()
     second = rows.column("second").to_numpy(zero_copy_only=False)
-    values = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = values.reshape(len(ids), -1)
-    x = x / np.abs(x).max(1, keepdims=True)
-    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x = unit_vectors(rows.column("v"), len(ids))
     one = np.flatnonzero(~second)
     two = np.flatnonzero(second)
     same = not len(two)
@@ -156,39 +231,80 @@ def _units(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
     keys = ["label", "dim", "lo", "hi"]
 
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        group = group.combine_chunks()
-        k = np.stack([group.column(c).to_numpy() for c in keys])
-        cuts = np.flatnonzero((np.diff(k, axis=1) != 0).any(0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, k.shape[1]], strict=True):
-            found = _unit(group.slice(a, b - a), cosine)
+        for rows in _groups(group, keys):
+            if rows.column("lo")[0] != rows.column("hi")[0] and len(rows.column("second").unique()) < 2:
+                continue
+            found = _unit(rows, cosine)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["id", "other", "weight"])
 
     yield from by_group(batches, keys, work)
 
 
+def _cells(points: DataFrame, reach: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs): points (label, dim, cell, id, weight, v) and the pairs of
+    cells (label, dim, a, b, na, nb; a <= b) that may have links, with the blocks
+    of both. Labels that fit a block are one cell."""
+    size = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).checkpoint()
+    one = size.filter("blocks = 1").select("label", "dim")
+    rows = points.join(one, ["label", "dim"]).select("label", "dim", F.lit(0).alias("cell"), "id", "weight", "v")
+    pairs = one.select("label", "dim", *[F.lit(x).alias(n) for n, x in (("a", 0), ("b", 0), ("na", 1), ("nb", 1))])
+    many = size.filter("blocks > 1").select("label", "dim", "blocks")
+    if many.isEmpty():
+        return rows, pairs
+    rest = points.join(many, ["label", "dim"])
+    rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("id"), "id"))
+    sample = rest.withColumn("r", rank).filter(f"r <= {SAMPLE}").select("label", "dim", "blocks", "r", "v")
+    centres = sample.repartition("label", "dim").sortWithinPartitions("label", "dim", "r").mapInArrow(_chosen, "label string, dim int, blocks int, cell int, v array<double>").checkpoint()
+    # every salt of a label gets all of its centres, LEVEL at most
+    none = F.lit(None).cast("long")
+    first = centres.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(False).alias("point"), "cell", none.alias("id"), none.alias("weight"), "v")
+    dealt = first.unionByName(rest.select("label", "dim", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("salt"), F.lit(True).alias("point"), F.lit(0).alias("cell"), "id", "weight", "v"))
+    found = dealt.repartition("label", "dim", "salt").sortWithinPartitions("label", "dim", "salt", "point").mapInArrow(_assigned, CELLS).checkpoint()
+    cells = found.groupBy("label", "dim", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"), F.first("centre").alias("centre"))
+    side = lambda k: cells.select("label", "dim", F.col("cell").alias(k), F.col("radius").alias("r" + k), F.col("n").alias("n" + k), F.col("centre").alias("c" + k))
+    apart = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    near = side("a").join(side("b"), ["label", "dim"]).filter("a <= b").filter(apart - F.col("ra") - F.col("rb") <= reach + SLACK)
+    return rows.unionByName(found.select(rows.columns)), pairs.unionByName(near.select(pairs.columns))
+
+
 def valid_vector(c: str) -> F.Column:
     """Not null or empty, all components finite, one not zero."""
     fine = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(F.col(c).isNotNull() & fine & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, block: int = 1024) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, block: int = 8192) -> DataFrame:
     """vec_id, n_links (other vectors of that label with at least that cosine),
     component_id (smallest vec_id that links reach), kept (whether that is the
-    row's own). ``block`` bounds the points of a block."""
+    row's own). ``block`` bounds the points of a block, about."""
     prepare(embeddings.sparkSession)
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.withColumn("fit", valid_vector("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    # -0.0 and 0.0 are one number
+    rows = rows.withColumn("fit", valid_vector("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     fit = rows.filter("fit").select("vec_id", "label", "v")
-    points = fit.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("v")).checkpoint()
-    blocks = points.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = points.join(blocks, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("label", "dim", F.least("own", "to").alias("lo"), F.greatest("own", "to").alias("hi"), (F.col("own") > F.col("to")).alias("second"), "id", "weight", "v")
+    points = fit.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("v"))
+    # ids may repeat with other vectors: points have names of their own
+    points = points.withColumnRenamed("id", "vid").withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    cells, pairs = _cells(points, float(np.sqrt(max(0.0, 2 - 2 * cosine))), block)
+    pairs = pairs.checkpoint()
+    # a point of a pair's first cell goes to its block of that cell against every
+    # block of the other; within a cell, to the units of its own block
+    sub = lambda c: F.pmod(F.xxhash64("id", "v"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    name = lambda cell, part: F.concat_ws(".", cell, part)
+    far = pairs.filter("a <> b")
+    to = lambda mine, other: cells.join(far, (cells["label"] == far["label"]) & (cells["dim"] == far["dim"]) & (cells["cell"] == far[mine])).select(cells["label"], cells["dim"], "a", "b", sub("n" + mine).alias("own"), every("n" + other).alias("to"), "id", "weight", "v")
+    left = to("a", "b").select("label", "dim", name("a", "own").alias("lo"), name("b", "to").alias("hi"), F.lit(False).alias("second"), "id", "weight", "v")
+    right = to("b", "a").select("label", "dim", name("a", "to").alias("lo"), name("b", "own").alias("hi"), F.lit(True).alias("second"), "id", "weight", "v")
+    self_ = pairs.filter("a = b").select("label", "dim", F.col("a").alias("cell"), "na")
+    own = cells.join(self_, ["label", "dim", "cell"]).withColumn("own", sub("na")).withColumn("to", every("na"))
+    own = own.select("label", "dim", name("cell", F.least("own", "to")).alias("lo"), name("cell", F.greatest("own", "to")).alias("hi"), (F.col("own") > F.col("to")).alias("second"), "id", "weight", "v")
+    met = own.unionByName(left).unionByName(right)
     found = met.repartition("label", "dim", "lo", "hi").sortWithinPartitions("label", "dim", "lo", "hi").mapInArrow(partial(_units, cosine=cosine), FOUND).checkpoint()
     total = found.groupBy("id").agg(F.sum("weight").alias("linked"))
-    joined = connected_components(found.select("id", "other"), "id", "other")
-    named = points.join(total, "id", "left").join(joined, "id", "left").select("label", "v", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    vid = lambda k: points.select(F.col("id").alias(k), F.col("vid").alias("v" + k))
+    joined = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")).join(vid("a"), "a").join(vid("b"), "b"), "va", "vb").withColumnRenamed("id", "vid")
+    named = points.join(total, "id", "left").join(joined, "vid", "left").select("label", "v", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "vid").alias("component_id"))
     out = fit.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.filter("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
