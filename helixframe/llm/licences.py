@@ -6,18 +6,20 @@ to the others, as many as the longest notice has, and fewer than those between.
 Its distinct words and word pairs are the features of a multinomial logistic
 regression over licence families and "unknown", trained on variations of the
 notices below (numpy, on the driver, no corpus data; the weights are a table of
-bounded size). Probabilities are calibrated by a temperature fitted on
-variations kept apart. A family is reported if its calibrated probability is at
-least ``least`` and the paragraph has at least ``cover`` of the words of one of
-the family's notices. Shorter paragraphs go first; one that overlaps another of
-its family doesn't count. Of each notice so many words are markers that
-``cover`` of it can't do without all of them, so texts and lines without a
-marker can't be confirmed and aren't scored.
+bounded size). Probabilities are calibrated by a temperature fitted on notices
+and sentences that training never sees. A family is reported if its calibrated
+probability is at least ``least``, the paragraph has at least ``cover`` of the
+words of one of the family's notices, and it doesn't name another version of the
+licence alone. Shorter paragraphs go first; one that overlaps another of its
+family doesn't count; of equally sure families the last by name is the licence.
+Of each notice so many words are markers that ``cover`` of it can't do without
+all of them, so texts and lines without a marker can't be confirmed and aren't
+scored.
 
 All of it is one projection of each row: no join, no shuffle, no Python on the
 executors. Nulls: a null text has no paragraphs; a null id is carried along.
-Repeated rows each give a row; an empty table gives an empty result; other
-columns are never looked at.
+Texts are scanned whole, however long. Repeated rows each give a row; an empty
+table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -32,19 +34,45 @@ from pyspark.sql import functions as F
 
 #: Notices by family (public texts; the part that names or grants the licence).
 NOTICES = {
-    "mit": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only"],
-    "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "bsd-3-clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "mit": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "lgpl-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "bsd-2-clause": ["Released under the BSD 2-Clause License.", "Licensed under the simplified BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "bsd-3-clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "SPDX-License-Identifier: BSD-3-Clause"],
+    "mpl-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1", "SPDX-License-Identifier: MPL-1.1"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "epl-1.0": ["Licensed under the Eclipse Public License, version 1.0.", "SPDX-License-Identifier: EPL-1.0"],
+    "epl-2.0": ["Licensed under the Eclipse Public License, version 2.0.", "made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "cc-by-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa-3.0": ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under the CC0 license."],
+    "public-domain": ["This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under the CC0 license.", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["Copyright. All rights reserved.", "Copyright holder. All rights reserved. No part of this publication may be reproduced without permission."],
 }
+#: Notices that calibrate and that training never sees.
+CALIBRATION = {
+    "mit": ["The code is available under the terms of the MIT License."], "apache-2.0": ["Distributed under Apache License 2.0."], "gpl-2.0": ["This program comes under the GNU General Public License, version 2."], "gpl-3.0": ["This program comes under the GNU General Public License, version 3."],
+    "lgpl-2.1": ["Distributed under the GNU Lesser General Public License, version 2.1."], "lgpl-3.0": ["Distributed under the GNU Lesser General Public License, version 3."], "agpl-3.0": ["Distributed under the GNU Affero General Public License, version 3."], "bsd-2-clause": ["Distributed under the BSD 2-Clause License."],
+    "bsd-3-clause": ["Distributed under the BSD 3-Clause License."], "mpl-1.1": ["Distributed under the Mozilla Public License 1.1."], "mpl-2.0": ["Distributed under the Mozilla Public License 2.0."], "epl-1.0": ["Distributed under the Eclipse Public License 1.0."], "epl-2.0": ["Distributed under the Eclipse Public License 2.0."],
+    "isc": ["Distributed under the ISC License."], "cc-by-3.0": ["Text available under CC BY 3.0."], "cc-by-4.0": ["Text available under CC BY 4.0."], "cc-by-sa-3.0": ["Text available under CC BY-SA 3.0."], "cc-by-sa-4.0": ["Text available under CC BY-SA 4.0."], "cc-by-nc-4.0": ["Text available under CC BY-NC 4.0."],
+    "public-domain": ["This work was released into the public domain by its author."], "proprietary": ["2021 Example Press. All rights reserved."],
+}
+UNKNOWN_CALIBRATION = [
+    "The licensing board met on Tuesday.", "A hunting license is valid for one season.", "The public library is open until eight.", "All seats are reserved for members.", "Version 2 of the game was sold out.", "The terms of the contract were not published.", "The software needs 3 gigabytes of memory.", "She wrote free verse and distributed it to friends.",
+    "A general strike was called by the unions.", "The foundation published its yearly report.",
+]
+#: Families that differ in their version alone: the numbers that name each.
+VERSIONS = [
+    {"gpl-2.0": ["2", "2.0"], "gpl-3.0": ["3", "3.0"]}, {"lgpl-2.1": ["2.1", "2"], "lgpl-3.0": ["3", "3.0"]}, {"bsd-2-clause": ["2", "two"], "bsd-3-clause": ["3", "three"]}, {"mpl-1.1": ["1.1", "1.0"], "mpl-2.0": ["2.0", "2"]}, {"epl-1.0": ["1.0", "1"], "epl-2.0": ["2.0", "2"]},
+    {"cc-by-3.0": ["3.0", "3"], "cc-by-4.0": ["4.0", "4"]}, {"cc-by-sa-3.0": ["3.0", "3"], "cc-by-sa-4.0": ["4.0", "4"]}, {"apache-2.0": ["2.0", "2"], "": ["1.0", "1.1", "1"]}, {"agpl-3.0": ["3", "3.0"], "": ["1", "1.0"]}, {"cc-by-nc-4.0": ["4.0", "4"], "": ["3.0", "3", "2.0"]},
+]
 OTHERS = [
     "A driver's license is required to rent a car.", "The fishing license costs ten dollars a year.", "The city council reviewed the liquor license of the restaurant.", "He lost his licence after the accident.", "Poetic license lets a writer bend the rules.", "Copyright law differs from country to country.",
     "The museum owns the copyright of the painting.", "The public debate about licensing went on for weeks.", "They redistribute the wealth of the region.", "The software was free and everyone used it.", "Permission was granted by the owner of the house.", "The Apache helicopter landed at noon.",
@@ -52,8 +80,9 @@ OTHERS = [
 ]
 FAMILIES = ["unknown", *NOTICES]
 #: Words and pairs with weights: at most so many.
-VOCABULARY = 1500
+VOCABULARY = 2000
 WORD = "[a-z0-9]+(?:[.][0-9]+)*"
+DECIMAL = "^[0-9]+[.][0-9]+$"
 
 
 def words(text: str) -> list[str]:
@@ -81,25 +110,39 @@ def markers(cover: float) -> list[str]:
     return sorted(found)
 
 
+def foreign(family: str) -> tuple[list[str], list[str]]:
+    """(numbers of a family's own version, numbers of its other versions)."""
+    for group in VERSIONS:
+        if family in group:
+            return group[family], sorted({n for name, numbers in group.items() if name != family for n in numbers} - set(group[family]))
+    return [], []
+
+
+def of_version(family: str, w: list[str]) -> bool:
+    """Whether words name the family's version, or none."""
+    own, other = foreign(family)
+    return bool(set(own) & set(w)) or not (set(other) & set(w) or (own and any(re.search(DECIMAL, x) for x in w)))
+
+
 def grams(w: list[str]) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
 
 
 def _varied(text: str, g: random.Random, filler: list[str]) -> list[str]:
     w = words(text)
-    w = [x for x in w if g.random() > 0.08] or w
+    w = [x for x in w if g.random() > 0.08 or x[0].isdigit()] or w
     before = [g.choice(filler) for _ in range(g.choice((0, 0, 0, 2, 5)))]
     after = [g.choice(filler) for _ in range(g.choice((0, 0, 0, 3, 8)))]
     return before + w + after
 
 
-def _examples(seed: int, copies: int) -> list[tuple[set[str], int]]:
+def _examples(notices: dict[str, list[str]], others: list[str], seed: int, copies: int) -> list[tuple[set[str], int]]:
     g = random.Random(seed)
-    filler = [w for t in OTHERS for w in words(t)]
+    filler = [w for t in others for w in words(t)]
     out = []
     for k, family in enumerate(FAMILIES):
-        texts = NOTICES.get(family, OTHERS)
-        out += [(grams(_varied(t, g, filler)), k) for t in texts for _ in range(copies * 4 // len(texts))]
+        texts = notices.get(family, others)
+        out += [(grams(_varied(t, g, filler)), k) for t in texts for _ in range(max(1, copies * 4 // len(texts)))]
     out += [(grams([g.choice(filler) for _ in range(g.randrange(3, 20))]), 0) for _ in range(copies)]
     return out
 
@@ -107,7 +150,7 @@ def _examples(seed: int, copies: int) -> list[tuple[set[str], int]]:
 @lru_cache(1)
 def model() -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """(weights by feature, bias, temperature): deterministic."""
-    train, check = _examples(1, 40), _examples(2, 20)
+    train, check = _examples(NOTICES, OTHERS, 1, 24), _examples(CALIBRATION, UNKNOWN_CALIBRATION, 2, 10)
     count: dict[str, int] = {}
     for x, _ in train:
         for f in x:
@@ -157,6 +200,9 @@ def licence_scan(documents: DataFrame, least: float = 0.5, cover: float = 0.7) -
     table = "map(" + ", ".join(f"{_quoted(f)}, {_numbers(w)}" for f, w in weights.items()) + ")"
     notices = "array(" + ", ".join(f"struct({k} as family, {needed(t, cover)} as need, array({', '.join(_quoted(w) for w in sorted(set(words(t))))}) as words)" for k, name in enumerate(FAMILIES) for t in NOTICES.get(name, ())) + ")"
     names = "array(" + ", ".join(map(_quoted, FAMILIES)) + ")"
+    lists = lambda which: "array(" + ", ".join(f"cast(array({', '.join(map(_quoted, foreign(f)[which]))}) as array<string>)" for f in FAMILIES) + ")"
+    own, other = (f"{lists(k)}[cast(u.family as int)]" for k in (0, 1))
+    version = f"(arrays_overlap(u.words, {own}) or not (arrays_overlap(u.words, {other}) or (size({own}) > 0 and exists(u.words, w -> w rlike '{DECIMAL}'))))"
     marks = markers(cover)
     marked = " or ".join(f"contains(low, {_quoted(m)})" for m in marks if not any(o in m for o in marks if o != m))
     has_mark = f"arrays_overlap(u.words, array({', '.join(map(_quoted, marks))}))"
@@ -172,7 +218,7 @@ def licence_scan(documents: DataFrame, least: float = 0.5, cover: float = 0.7) -
         ("found", "transform(found, u -> struct(u.len as len, u.s as s, array_distinct(u.words) as words, array_distinct(concat(u.words, case when size(u.words) > 1 then transform(sequence(1, size(u.words) - 1), i -> concat(u.words[i - 1], ' ', u.words[i])) else array() end)) as grams))"),
         ("found", f"transform(found, f -> struct(f.len as len, f.s as s, f.words as words, aggregate(filter(transform(f.grams, g -> try_element_at({table}, g)), w -> w is not null), {_numbers(bias)}, (a, w) -> zip_with(a, w, (x, y) -> x + y)) as z))"),
         ("found", f"transform(found, f -> struct(f.len as len, f.s as s, f.words as words, array_position(f.z, array_max(f.z)) - 1 as family, 1 / aggregate(transform(f.z, x -> exp((x - array_max(f.z)) / {heat}D)), 0D, (a, x) -> a + x) as p))"),
-        ("found", f"filter(found, u -> u.family > 0 and u.p >= {least}D and exists({notices}, n -> n.family = u.family and {covers}))"),
+        ("found", f"filter(found, u -> u.family > 0 and u.p >= {least}D and exists({notices}, n -> n.family = u.family and {covers}) and {version})"),
         ("found", f"array_sort(cast(transform(found, f -> struct(f.len as len, f.s as s, f.p as p, {names}[cast(f.family as int)] as name)) as {kept}))"),
         ("found", f"aggregate(found, cast(array() as {kept}), (a, f) -> case when exists(a, o -> o.name = f.name and o.s <= f.s + f.len and f.s <= o.s + o.len) then a else concat(a, array(f)) end)"),
         ("found", "transform(found, f -> struct(f.p as p, f.name as name))"),
@@ -206,7 +252,7 @@ def scan_text(text: str | None, least: float = 0.5, cover: float = 0.7) -> tuple
         z = sum((weights[g] for g in grams(w) if g in weights), bias.copy())
         p = np.exp((z - z.max()) / heat)
         k = int(z.argmax())
-        if k and 1 / p.sum() >= least and any(len(set(words(t)) & set(w)) >= cover * len(set(words(t))) for t in NOTICES[FAMILIES[k]]):
+        if k and 1 / p.sum() >= least and any(len(set(words(t)) & set(w)) >= cover * len(set(words(t))) for t in NOTICES[FAMILIES[k]]) and of_version(FAMILIES[k], w):
             if not any(n == FAMILIES[k] and a <= s + size and s <= a + m for _, n, a, m in kept):
                 kept.append((1 / p.sum(), FAMILIES[k], s, size))
     found = [(p, n) for p, n, _, _ in kept]
