@@ -7,7 +7,8 @@ which a nested loop never is."""
 
 from __future__ import annotations
 
-import tempfile
+import os
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,12 +49,14 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], start: str, end
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, value: str, width: float) -> DataFrame:
     """points with max_value, the greatest value of the intervals that hold the
-    point (start included, end not); null outside of all."""
+    point (start included, end not); null outside of all. Null columns and equal
+    points keep their rows."""
     spread = intervals.filter(F.col(start) < F.col(end)).withColumn("_bin", F.explode(F.sequence(_bin(F.col(start), width), _bin(F.col(end) - 1e-9, width))))
-    p = points.withColumn("_row", F.monotonically_increasing_id())
+    p = checkpointed(points.withColumn("_row", F.monotonically_increasing_id()))
     hit = p.withColumn("_bin", _bin(F.col(at), width)).join(spread.select(*keys, "_bin", F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v")), [*keys, "_bin"]).filter((F.col("_s") <= F.col(at)) & (F.col(at) < F.col("_e")))
-    best = hit.groupBy(*points.columns).agg(F.max("_v").alias("max_value"))
-    return points.join(best, points.columns, "left")
+    # points of no interval go round the shuffle; of the others the columns are carried
+    best = hit.groupBy("_row").agg(F.max("_v").alias("max_value"))
+    return p.join(best, "_row", "left").drop("_row")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -86,11 +89,34 @@ def same_sets(left: DataFrame, right: DataFrame, group: str, member: str) -> Dat
     return key(left, "left_group").join(key(right, "right_group"), "members")
 
 
+def nearest_hamming(queries: DataFrame, rows: DataFrame, id_: str, value: str, block: int = 512) -> DataFrame:
+    """(id, other, distance) of each query's nearest rows of another value and
+    id, all of them on ties. Queries come in blocks, each one row of an equi-join,
+    and pairs are reduced to a minimum before anything is shuffled."""
+    from ..functions.sequence import hamming
+
+    queries = queries.select(id_, value).distinct()
+    blocks = max(1, -(-queries.count() // block))
+    part = F.pmod(F.xxhash64(id_, value), F.lit(blocks))
+    q = queries.select(part.alias("_block"), F.struct(F.col(id_).alias("i"), F.col(value).alias("v")).alias("q")).groupBy("_block").agg(F.collect_list("q").alias("_q"))
+    r = rows.select(F.col(id_).alias("other"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    pairs = r.join(q, "_block").withColumn("_q", F.explode("_q")).filter((F.col("_q.i") != F.col("other")) & (F.col("_q.v") != F.col("_v")))
+    pairs = pairs.select(F.col("_q.i").alias(id_), "other", hamming(F.col("_q.v"), F.col("_v")).alias("distance")).filter("distance is not null")
+    least = pairs.groupBy(id_).agg(F.min("distance").alias("distance"))
+    return pairs.join(least, [id_, "distance"]).select(id_, "other", "distance")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the cluster names."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names.
+    Only a session whose tasks run in the driver's process may go without."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"{os.getcwd()}/spark-warehouse/checkpoints"
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
