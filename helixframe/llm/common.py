@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: documents may be long, so batches are short.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 FILTER_BITS = 1 << 24
 
 
@@ -24,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.checkpoint.dir names. Only a session whose tasks run in the driver's
     own process may go without; it gets a folder on its disk."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,8 +39,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver collects what referred to them; after a
-    large step that was checkpointed that shouldn't wait for a full heap."""
+    large step that was checkpointed that shouldn't wait for a full heap. The
+    scheduler forgets a job once another has run, and the thread that tells the
+    JVM what Python has dropped looks once a second."""
+    spark.range(1).count()
     gc.collect()
+    time.sleep(1.1)
     spark.sparkContext._jvm.System.gc()
 
 

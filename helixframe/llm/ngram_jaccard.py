@@ -55,7 +55,7 @@ BUDGET = 64
 FINE = 2
 #: Signatures that a task holds to see which of them it has twice; signatures of
 #: a bucket.
-CHUNK, BUCKET = 1 << 20, 1 << 21
+CHUNK, BUCKET = 1 << 19, 1 << 20
 #: Elements of the sets of a unit of work, or of a block of a larger cluster.
 UNIT = 1 << 20
 #: Bits of the filter of cells that several sets have: 8 MB at most.

@@ -141,7 +141,7 @@ def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 * WINDOW):
+def slices(batch: pa.RecordBatch, column: str, limit: int = WINDOW):
     """The batch in runs of rows with about ``limit`` bytes of text at most."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
