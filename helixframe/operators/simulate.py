@@ -35,27 +35,36 @@ def circuit_arrays(spec: dict) -> dict:
     return {k: np.asarray(v, float) for k, v in spec.items() if k != "genes"}
 
 
+def rk4_step(state: np.ndarray, f, h) -> np.ndarray:
+    a = f(state)
+    b = f(state + h / 2 * a)
+    c = f(state + h / 2 * b)
+    d = f(state + h * c)
+    return np.clip(state + h / 6 * (a + 2 * b + 2 * c + d), 0, 1)
+
+
 def rk4(state: np.ndarray, f, hours: float, steps: int) -> np.ndarray:
-    h = hours / steps
     for _ in range(steps):
-        a = f(state)
-        b = f(state + h / 2 * a)
-        c = f(state + h / 2 * b)
-        d = f(state + h * c)
-        state = np.clip(state + h / 6 * (a + 2 * b + 2 * c + d), 0, 1)
+        state = rk4_step(state, f, hours / steps)
     return state
 
 
-def adaptive_rk4(state: np.ndarray, f, hours: float, tolerance: float = 1e-8) -> np.ndarray:
-    """Step doubling: a step is taken where one full and two half steps agree."""
-    t, h = 0.0, min(0.1, hours)
-    while t < hours - 1e-12:
-        h = min(h, hours - t)
-        one, two = rk4(state, f, h, 1), rk4(state, f, h, 2)
-        error = float(np.abs(one - two).max(initial=0)) / 15
-        if error <= tolerance or h < 1e-6:
-            state, t = two, t + h
-        h *= min(4.0, max(0.2, 0.9 * (tolerance / max(error, 1e-16)) ** 0.2))
+def adaptive_rk4(state: np.ndarray, f, hours: float, tolerance: float = 1e-8, by_row: bool = False) -> np.ndarray:
+    """Step doubling: a step is taken where one full and two half steps agree.
+    Each row has steps of its own, so its result doesn't depend on the rows that
+    it shares a batch with. ``by_row``: f(state, rows) gives those rows' rates."""
+    rows = np.arange(len(state))
+    state = state.astype(float).copy()
+    t, h = np.zeros(len(state)), np.full(len(state), min(0.1, hours))
+    while len(rows := np.flatnonzero(t < hours - 1e-12)):
+        step = np.minimum(h[rows], hours - t[rows])[:, None]
+        g = (lambda s, rows=rows: f(s, rows)) if by_row else f
+        one, two = rk4_step(state[rows], g, step), rk4_step(rk4_step(state[rows], g, step / 2), g, step / 2)
+        error = np.abs(one - two).max(1, initial=0) / 15
+        good = (error <= tolerance) | (step[:, 0] < 1e-6)
+        state[rows[good]] = two[good]
+        t[rows[good]] += step[good, 0]
+        h[rows] = step[:, 0] * np.clip(0.9 * (tolerance / np.maximum(error, 1e-16)) ** 0.2, 0.2, 4.0)
     return state
 
 
@@ -64,7 +73,7 @@ def _steady(batches: Iterator[pa.RecordBatch], spec: dict, hours: float, genes:
     for b in batches:
         ratio, signal = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ratio", "signal"))
         start = np.zeros((len(ratio), len(genes)))
-        out = adaptive_rk4(start, lambda s: rates(s, signal, ratio, arrays), hours) if len(ratio) else start
+        out = adaptive_rk4(start, lambda s, k: rates(s, signal[k], ratio[k], arrays), hours, by_row=True) if len(ratio) else start
         yield pa.RecordBatch.from_arrays([b.column("ratio"), b.column("signal"), pa.array(list(out), pa.list_(pa.float64()))], ["ratio", "signal", "state"])
 
 
@@ -104,6 +113,36 @@ def spikes(cells: list[int], contacts: list[tuple[int, int]], stimuli: list[tupl
     return out
 
 
+def network_spikes(stimuli: DataFrame, contacts: DataFrame, **options) -> DataFrame:
+    """(network, time, cell): spikes of every network by itself, on the cluster.
+    stimuli: network, time, cell, jump; contacts: network, source, target."""
+    both = stimuli.select("network", F.lit(0).alias("kind"), F.col("time").cast("double").alias("time"), F.col("cell").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("jump").cast("double").alias("jump")).unionByName(
+        contacts.select("network", F.lit(1).alias("kind"), F.lit(0.0).alias("time"), F.col("source").cast("long").alias("a"), F.col("target").cast("long").alias("b"), F.lit(0.0).alias("jump"))
+    )
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by([("kind", "ascending"), ("time", "ascending"), ("a", "ascending"), ("b", "ascending")]).to_pylist()
+        pairs = [(r["a"], r["b"]) for r in rows if r["kind"]]
+        jumps = [(r["time"], r["a"], r["jump"]) for r in rows if not r["kind"]]
+        cells = sorted({c for p in pairs for c in p} | {c for _, c, _ in jumps})
+        out = spikes(cells, pairs, jumps, **options)
+        return pa.table({"network": pa.array([rows[0]["network"]] * len(out), t.schema.field("network").type), "time": pa.array([float(x) for x, _ in out], pa.float64()), "cell": pa.array([c for _, c in out], pa.int64())})
+
+    return both.groupBy("network").applyInArrow(run, f"network {stimuli.schema['network'].dataType.simpleString()}, time double, cell long")
+
+
+def trace_faults(events: DataFrame, trace: str) -> DataFrame:
+    """(trace, fault) of every construction trace, each on its own task: events
+    with seq, event, step, cell and target."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("seq").to_pylist()
+        out = validate_trace(rows)
+        return pa.table({"trace": pa.array([rows[0][trace]] * len(out), t.schema.field(trace).type), "fault": pa.array(out, pa.string())})
+
+    return events.groupBy(trace).applyInArrow(run, f"trace {events.schema[trace].dataType.simpleString()}, fault string")
+
+
 def dinucleotide_shuffle(s: str, seed: int) -> str:
     """A random string with the same dinucleotide counts, first and last letter:
     a random Eulerian walk. Last edges are drawn until they lead to the end."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import col
+from .joins import checkpointed
 
 
 def two_level_mean(df: DataFrame, family: str, value: str | Column) -> DataFrame:
@@ -44,13 +45,50 @@ def pearson(x, y, w=None) -> Column:
     return F.when((vx > 0) & (vy > 0), F.try_divide(cov, F.sqrt(vx * vy)))
 
 
+def running_total(df: DataFrame, order: str | list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """df with ``name``, the sum of value over rows up to and with each one in a
+    total order, without a sort in one task: a range partition sorts, and the
+    totals of the partitions before (a row a partition) are joined back."""
+    order = [order] if isinstance(order, str) else order
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    s = checkpointed(s)
+    own = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    totals = s.groupBy("_p").agg(F.sum(value).alias("_t"))
+    before = totals.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_b"))
+    return s.withColumn(name, own).join(F.broadcast(before), "_p").withColumn(name, F.col(name) + F.col("_b")).drop("_p", "_b")
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by, a column for each name of qs): linear-interpolated quantiles of the
+    values that aren't null. Counts of distinct values are numbered by a range
+    partition, so neither a group nor the table meets in one task."""
+    by = by or []
+    n = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    r = running_total(n, [*by, value], "_n", "_to")
+    g = r.groupBy(*by).agg(F.sum("_n").alias("_t"), F.min(F.col("_to") - F.col("_n")).alias("_o"))
+    r = r.join(g, by) if by else r.crossJoin(F.broadcast(g))
+    first, last = F.col("_to") - F.col("_n") - F.col("_o"), F.col("_to") - F.col("_o") - 1
+    columns = []
+    for name, q in qs.items():
+        at = (F.col("_t") - 1) * q
+        low = F.floor(at)
+        here = lambda k: F.max(F.when((first <= k) & (k <= last), F.col(value)))
+        a, b = here(low), here(F.least(low + 1, F.col("_t") - 1))
+        columns.append((a + (b - a) * F.max(at - low)).alias(name))
+    return r.groupBy(*by).agg(*columns)
+
+
 def mean_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Ranks from 1 with ties averaged. Ranks come from counts of distinct
-    values, so a global ranking sorts values, not rows."""
+    values, so a ranking sorts values, not rows."""
     by = by or []
     n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = n.withColumn(name, before - (F.col("_n") - 1) / 2.0).drop("_n")
+    if by:
+        n = n.withColumn("_to", F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        n = running_total(n, value, "_n", "_to")
+    ranks = n.withColumn(name, F.col("_to") - (F.col("_n") - 1) / 2.0).drop("_n", "_to")
     return df.join(ranks, [*by, value])
 
 
@@ -60,8 +98,8 @@ def spearman(df: DataFrame, x: str, y: str, ties: str = "mean", order: str | Non
     if ties == "mean":
         r = mean_ranks(mean_ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_rx"), y, "_ry")
     else:
-        rank = lambda c: F.row_number().over(Window.orderBy(c, order))
-        r = df.withColumn("_rx", rank(x)).withColumn("_ry", rank(y))
+        one = df.withColumn("_one", F.lit(1).cast("long"))
+        r = running_total(running_total(one, [x, order], "_one", "_rx"), [y, order], "_one", "_ry")
     return r.agg(pearson("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
@@ -101,7 +139,8 @@ def panel(df: DataFrame, family: str, score: str, id_: str, size: int) -> DataFr
 def top_k_utility(df: DataFrame, family: str, score: str, truth: str, id_: str, copies: str, k: float) -> DataFrame:
     """Mean of sign(score) * truth over the k best families with copies; the
     last one counts in part."""
-    one = one_per_family(df, family, score, id_)
+    # no more than k families have a part, as each has one copy at least
+    one = one_per_family(df, family, score, id_).filter(F.col(copies) >= 1).orderBy(F.abs(score).desc(), id_).limit(int(-(-k // 1)))
     before = F.sum(copies).over(Window.orderBy(F.abs(score).desc(), id_).rowsBetween(Window.unboundedPreceding, -1))
     part = F.least(F.greatest(k - F.coalesce(before, F.lit(0)), F.lit(0)), F.col(copies))
     return one.withColumn("_p", part).agg((F.sum(F.col("_p") * F.signum(score) * F.col(truth)) / k).alias("utility"), F.sum("_p").alias("used"))
@@ -119,6 +158,19 @@ def top1_shared(df: DataFrame, group: str, score: str, truth: str) -> DataFrame:
     return df.join(m, group).filter(F.col(score) == F.col("_m")).groupBy(group).agg(F.avg(F.col(truth).cast("double")).alias("share"))
 
 
+def pairwise_accuracy(df: DataFrame, group: str, order: str, score: str, truth: str, by: list[str]) -> DataFrame:
+    """(by, n, accuracy): share of a group's pairs with different truths that the
+    scores put in the same order. Groups are small by their nature (the rivals of
+    one choice); a group's rows meet in one array, and pairs are counted there."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col(score).cast("double").alias("s"), F.col(truth).cast("double").alias("t"))))
+    g = df.groupBy(group, *by).agg(rows.alias("_r"))
+    other = lambda a: F.filter("_r", lambda b: (b["i"] > a["i"]) & (b["t"] != a["t"]))
+    right = lambda a: F.size(F.filter(other(a), lambda b: F.signum(a["t"] - b["t"]) == F.signum(a["s"] - b["s"])))
+    count = lambda f: F.aggregate(F.transform("_r", f), F.lit(0), lambda t, x: t + x)
+    n = g.select(*by, count(lambda a: F.size(other(a))).alias("_n"), count(right).alias("_k")).filter("_n > 0")
+    return n.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum("_k") / F.sum("_n")).alias("accuracy"))
+
+
 def leave_one_out(df: DataFrame, value: str) -> DataFrame:
     """Each row with the mean of the others."""
     total = df.agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
@@ -151,9 +203,10 @@ def effective_size(w) -> Column:
 
 def hash_draws(families: DataFrame, family: str, draws: int, seed: str) -> DataFrame:
     """(draw, slot, family): whole families drawn with replacement, as many as
-    there are. Slots hash to places, so any engine draws the same."""
-    n = families.select(family).distinct()
-    numbered = n.withColumn("_i", F.row_number().over(Window.orderBy(family)) - 1)
+    there are. Slots hash to places, so any engine draws the same; families are
+    numbered by a range partition."""
+    n = families.select(family).distinct().withColumn("_one", F.lit(1).cast("long"))
+    numbered = running_total(n, family, "_one", "_i").withColumn("_i", F.col("_i") - 1).drop("_one")
     total = n.agg(F.count(F.lit(1)).alias("_n"))
     grid = families.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     pick = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "draw", "slot").cast("binary"), 256), 1, 12), 16, 10).cast("long") % F.col("_n")
@@ -168,6 +221,23 @@ def bootstrap(df: DataFrame, family: str, value: str, draws: int, seed: str) ->
     return copies.join(means, family).groupBy("draw").agg((F.sum(F.col("_c") * F.col("_m")) / F.sum("_c")).alias("mean"))
 
 
+def smallest_means(df: DataFrame, by: list[str], key: str, value: str, size: int, digits: int = 3) -> DataFrame:
+    """(by, q): the mean value of each group's ``size`` rows of the least key (a
+    lower-case hexadecimal hash). Counts of the key's first digits tell which
+    rows are in, and only those that share the last prefix are sorted, so no
+    group is."""
+    p = df.withColumn("_p", F.substring(key, 1, digits))
+    n = p.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    w = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumn("_to", F.sum("_n").over(w))  # 16 ** digits rows a group at most
+    whole = n.filter(F.col("_to") <= size).groupBy(*by).agg(F.sum("_s").alias("_s"), F.max("_to").alias("_c"))
+    cut = n.filter((F.col("_to") > size) & (F.col("_to") - F.col("_n") < size)).select(*by, "_p", (F.col("_to") - F.col("_n")).alias("_b"))
+    rest = p.join(cut, [*by, "_p"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(key)) + F.col("_b")).filter(F.col("_r") <= size)
+    part = rest.groupBy(*by).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c")).withColumn("_part", F.lit(True))
+    both = whole.select(*by, "_s", "_c").unionByName(part.select(*by, "_s", "_c"))
+    return both.groupBy(*by).agg((F.sum("_s") / F.sum("_c")).alias("q"))
+
+
 def order_interval(df: DataFrame, value: str, low: int, high: int) -> DataFrame:
     """The low-th and high-th smallest of a bounded number of draws (from 0)."""
     a = df.agg(F.array_sort(F.collect_list(value)).alias("a"))
@@ -191,20 +261,12 @@ def ridge(df: DataFrame, xs: list[str], y: str, penalty: float | list[float], we
     return np.linalg.solve(g + np.diag(np.broadcast_to(penalty, len(xs))), c)
 
 
-def leave_group_out_ridge(df: DataFrame, group: str, xs: list[str], y: str, penalty: float) -> dict:
-    """Coefficients without each group: total sums minus the group's."""
-    n = len(xs)
-    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"g{k}") for k, (a, b) in enumerate(pairs)] + [F.sum(F.col(a) * F.col(y)).alias(f"c{k}") for k, a in enumerate(xs)]
-    rows = {r[0]: np.array(r[1:], float) for r in df.groupBy(group).agg(*sums).collect()}
-    total = sum(rows.values())
-    out = {}
-    for name, own in rows.items():
-        v = total - own
-        g = np.zeros((n, n))
-        g[np.triu_indices(n)] = v[: len(pairs)]
-        out[name] = np.linalg.solve(g + np.triu(g, 1).T + penalty * np.eye(n), v[len(pairs) :])
-    return out
+def leave_group_out_ridge(df: DataFrame, group: str, xs: list[str], y: str, penalty: float) -> DataFrame:
+    """(group, coefficients) without each group: total sums minus the group's,
+    solved where the groups are."""
+    from .models import leave_group_out
+
+    return leave_group_out(df, group, xs, y, penalty)
 
 
 def logistic(df: DataFrame, xs: list[str], y: str, penalty: float, rounds: int = 25, weight: str | None = None) -> np.ndarray:

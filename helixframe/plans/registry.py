@@ -204,8 +204,8 @@ def hamming_nearest(spark, d):
 
 @query("select p_brand, (dense_rank() over (order by p_brand) - 1)::int as code, n from (select p_brand, count(*) as n from part group by 1)")
 def dictionary_encode(spark, d):
-    n = t(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("p_brand", (F.dense_rank().over(Window.orderBy("p_brand")) - 1).alias("code"), "n")
+    n = t(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1).cast("long"))
+    return Q.running_total(n, "p_brand", "one", "code").select("p_brand", (F.col("code") - 1).cast("int").alias("code"), "n")
 
 
 @query("select user_id, bit_or(1 << (case event_type when 'click' then 0 when 'view' then 1 when 'purchase' then 2 else 3 end))::bigint as mask, count(*) as n from events group by 1")
@@ -289,7 +289,7 @@ def transition_matrix(spark, d):
 @query("with m as (select median(value) as m from events where value > 0) select event_id, round(asinh(value / m) / ln(2), 8) as y from events, m where value is not null")
 def median_scale_asinh(spark, d):
     e = t(spark, d, "events").filter("value is not null").select("event_id", "value")
-    m = e.filter("value > 0").agg(F.median("value").alias("m"))
+    m = Q.exact_quantiles(e.filter("value > 0"), "value", {"m": 0.5})
     return e.crossJoin(F.broadcast(m)).select("event_id", F.round(A.asinh_log2("value", "m"), 8).alias("y"))
 
 
@@ -302,19 +302,20 @@ def paired_positive_contrast(spark, d):
 
 @query("select percentile as q, round(value, 6) as value from (select unnest([0.05, 0.5, 0.95]) as percentile, unnest(quantile_cont(l_extendedprice, [0.05, 0.5, 0.95])) as value from lineitem)")
 def linear_quantiles(spark, d):
-    q = F.percentile("l_extendedprice", [0.05, 0.5, 0.95])
-    return t(spark, d, "lineitem").agg(q.alias("v")).select(F.explode(F.arrays_zip(F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)).alias("q"), F.col("v"))).alias("z")).select("z.q", F.round("z.v", 6).alias("value"))
+    q = Q.exact_quantiles(t(spark, d, "lineitem"), "l_extendedprice", {"a": 0.05, "b": 0.5, "c": 0.95})
+    return q.select(F.expr("stack(3, 0.05D, a, 0.5D, b, 0.95D, c) as (q, value)")).select("q", F.round("value", 6).alias("value"))
 
 
 @query("select c_mktsegment, count(*) as n, round(avg(c_acctbal), 6) as mean, round(stddev_pop(c_acctbal), 6) as sd, max(c_acctbal) as top, round(median(c_acctbal), 6) as middle from customer group by 1")
 def mean_pstdev_median(spark, d):
-    b = F.col("c_acctbal")
-    return t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(b), 6).alias("mean"), F.round(F.stddev_pop(b), 6).alias("sd"), F.max(b).alias("top"), F.round(F.median(b), 6).alias("middle"))
+    b, c = F.col("c_acctbal"), t(spark, d, "customer")
+    g = c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(b), 6).alias("mean"), F.round(F.stddev_pop(b), 6).alias("sd"), F.max(b).alias("top"))
+    return g.join(Q.exact_quantiles(c, "c_acctbal", {"middle": 0.5}, ["c_mktsegment"]), "c_mktsegment").withColumn("middle", F.round("middle", 6))
 
 
 @query("with g as (select n_regionkey, c_nationkey, count(*) as n, avg(c_acctbal) as m from customer join nation on c_nationkey = n_nationkey group by 1, 2) select n_regionkey, round(avg(m), 6) as mean, sum(n)::bigint as n from g group by 1 union all select null, round(avg(m), 6), sum(n)::bigint from g")
 def study_group_rollup(spark, d):
-    c = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     g = c.groupBy("n_regionkey", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("m"))
     return g.rollup("n_regionkey").agg(F.round(F.avg("m"), 6).alias("mean"), F.sum("n").alias("n"))
 
@@ -335,8 +336,8 @@ def leave_one_out_range(spark, d):
 @query("select l_quantity, round(sum(n) over (order by l_quantity) / sum(n) over (), 10) as cdf from (select l_quantity, count(*) as n from lineitem group by 1)")
 def prefix_cdf(spark, d):
     n = t(spark, d, "lineitem").groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"))
-    c = F.sum("n").over(Window.orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())
-    return n.select("l_quantity", F.round(c, 10).alias("cdf"))
+    total = n.agg(F.sum("n").alias("t"))
+    return Q.running_total(n, "l_quantity", "n", "to").crossJoin(F.broadcast(total)).select("l_quantity", F.round(F.col("to") / F.col("t"), 10).alias("cdf"))
 
 
 @query("""with h as (select l_quantity as x, count(*)::double as m from lineitem group by 1), p as (select x, m / (select sum(m) from h) as p from h)
@@ -459,8 +460,7 @@ def permutation_p(spark, d):
     n = c.agg(F.count_if("y").alias("n"), F.avg(F.when(F.col("y"), F.col("v"))).alias("m"))
     draws = c.select("k", "v", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("draw"))
     key = F.sha2(F.concat_ws(":", F.lit("p"), "draw", "k").cast("binary"), 256)
-    r = draws.withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy(key)))
-    q = r.crossJoin(F.broadcast(n)).filter("r <= n").groupBy("draw", "m").agg(F.avg("v").alias("q"))
+    q = Q.smallest_means(draws.withColumn("h", key), ["draw"], "h", "v", n.first()["n"]).crossJoin(F.broadcast(n))
     return q.agg(F.round((1 + F.count_if(F.col("q") >= F.col("m"))) / (1 + F.count(F.lit(1))), 8).alias("p"))
 
 
@@ -482,8 +482,7 @@ def ridge_2feature(spark, d):
  select k as held_out, round((s.u - g.u) / (s.a - g.a + 1), 6) as slope from g, s""")
 def loo_group_ridge(spark, d):
     g = Q.leave_group_out_ridge(t(spark, d, "lineitem"), "l_returnflag", ["l_quantity"], "l_extendedprice", 1.0)
-    rows = F.array(*[F.struct(F.lit(k).alias("held_out"), F.lit(float(v[0])).alias("slope")) for k, v in sorted(g.items())])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.held_out", F.round("r.slope", 6).alias("slope"))
+    return g.select(F.col("group").alias("held_out"), F.round(F.col("coefficients")[0], 6).alias("slope"))
 
 
 # Simulators: rows are checked by invariants in the tests
@@ -503,8 +502,11 @@ def ode_steady_state(spark, d):
 
 @query()
 def lif_spikes(spark, d):
-    out = X.spikes([0, 1, 2, 3], [(0, 1), (1, 2), (2, 3), (0, 2)], [(float(k), 0, 0.7) for k in range(0, 60, 2)])
-    return spark.createDataFrame([(float(a), int(b)) for a, b in out], "time double, cell int")
+    """A network for each nation: its customers' balances stimulate cells."""
+    c = t(spark, d, "customer")
+    jumps = c.select(F.col("c_nationkey").alias("network"), (F.col("c_custkey") % 60).cast("double").alias("time"), (F.col("c_custkey") % 5).alias("cell"), F.lit(0.7).alias("jump"))
+    pairs = t(spark, d, "nation").select(F.col("n_nationkey").alias("network"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("source")).withColumn("target", (F.col("source") + F.col("network") + 1) % 5)
+    return X.network_spikes(jumps, pairs.filter("source <> target"))
 
 
 @query()

@@ -218,7 +218,10 @@ def parse_genbank(data: bytes) -> Iterator[tuple]:
             raise FormatError("no LOCUS line")
         name, size, _, topology, division, day, month, year = m.groups()
         version = re.search(r"^VERSION\s+(\S+)", body, re.M)
-        date = datetime.date(int(year), months[month], int(day))
+        try:
+            date = datetime.date(int(year), months[month], int(day))
+        except (KeyError, ValueError):
+            raise FormatError(f"no such day: {day}-{month}-{year}") from None
         head, _, rest = body.partition("\nORIGIN")
         sequence = re.sub(r"[^A-Za-z]", "", "".join(line for line in rest.split("\n")[1:])).upper()
         if len(sequence) != int(size) or not _IUPAC.fullmatch(sequence):

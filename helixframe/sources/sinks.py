@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zipfile
 
@@ -37,10 +38,60 @@ def write_sealed(spark: SparkSession, value: dict, path: str) -> dict:
     return sealed
 
 
+def write_report(spark: SparkSession, rows: DataFrame, path: str, title: str) -> dict:
+    """A bounded result as sealed JSON and as an HTML table, each one text file
+    below a new folder; returns what was sealed."""
+    from html import escape
+
+    found = [r.asDict(recursive=True) for r in rows.collect()]
+    sealed = write_sealed(spark, {"title": title, "columns": rows.columns, "rows": [json.loads(json.dumps(r, default=str)) for r in found]}, f"{path}/json")
+    head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
+    body = "".join("<tr>" + "".join(f"<td>{escape(str(r[c]))}</td>" for c in rows.columns) + "</tr>" for r in found)
+    page = f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1><table><tr>{head}</tr>{body}</table><p>{sealed['artifact_sha256']}</p>"
+    spark.range(1).select(F.lit(page).alias("value")).coalesce(1).write.mode("errorifexists").text(f"{path}/html")
+    return sealed
+
+
+#: Columns of a trace's events.
+TRACE = "trace string, seq long, event string, step long, cell long, target long, length double"
+
+
+def write_trace(events: DataFrame, path: str) -> None:
+    """Events as JSON lines, each trace's in order within its files."""
+    events.repartition("trace").sortWithinPartitions("trace", "seq").write.mode("errorifexists").json(path)
+
+
+def read_trace(spark: SparkSession, path: str) -> DataFrame:
+    """Events of JSON lines under the fixed schema; a line that breaks it raises."""
+    return spark.read.schema(TRACE).option("mode", "FAILFAST").json(path)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """A finished folder under its final name, all or nothing: one rename of the
+    store that holds both. A name that exists is an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(conf)
+    if store.exists(target):
+        raise FileExistsError(path)
+    if not store.rename(source, target):
+        raise OSError(f"no rename from {staged} to {path}")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files of a folder."""
+    """(name, bytes, sha256) of the files of a folder. Spark's scans pass over
+    empty files, so those come from the store's listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    listed, empty = folder.getFileSystem(conf).listFiles(folder, True), []
+    while listed.hasNext():
+        f = listed.next()
+        name = f.getPath().getName()
+        if f.getLen() == 0 and name[0] not in "._":
+            empty.append((name, 0, hashlib.sha256(b"").hexdigest()))
+    return rows.unionByName(spark.createDataFrame(empty, "name string, bytes long, sha256 string")) if empty else rows
 
 
 def manifest_differs(spark: SparkSession, path: str, pinned: DataFrame) -> DataFrame:

@@ -45,6 +45,21 @@ def count_matrix(spark: SparkSession, path: str, id_column: str, value: str) ->
     return long.withColumn(value, checked)
 
 
+def assay_rows(spark: SparkSession, activity: str, design: str, times: int = 7) -> DataFrame:
+    """(id, sequence, values) of a CSV (plain or gzip) with an id and ``times``
+    columns, joined with the designs of a FASTA file by id. Ids that designs give
+    several sequences are left out; an activity without a design raises."""
+    from ..operators.assays import unambiguous
+    from ..operators.joins import strict_join
+    from . import formats
+
+    raw = spark.read.csv(activity, header=True)
+    names = raw.columns[1 : times + 1]
+    values = raw.select(F.col(raw.columns[0]).alias("id"), F.array(*[F.col(c).cast("double") for c in names]).alias("values"))
+    designs = formats.read(spark, "fasta", design).select(F.col("record_id").alias("id"), "sequence")
+    return strict_join(values, unambiguous(designs, "id", "sequence").distinct(), ["id"])
+
+
 def sample_coordinates(df: DataFrame, name: str = "sample") -> DataFrame:
     """replicate, hour and barcode from names like rep2_h12_bc7."""
     part = lambda p: F.regexp_extract(name, p, 1).cast("int")

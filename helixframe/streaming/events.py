@@ -25,6 +25,6 @@ def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def last_value_per_key(events: DataFrame, key: str, late: str) -> DataFrame:
+def first_per_id(events: DataFrame, key: str, late: str) -> DataFrame:
     """A stream's first row of each event id within the watermark."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
