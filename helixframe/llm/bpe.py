@@ -11,8 +11,9 @@ and hangs from the path as a leaf.
 Texts fall apart at ASCII white space, which no token spans; the pieces' ids
 are kept in a table of bounded size for each task.
 
-Nulls: a null text is empty and has no ids; a null id is carried along.
-Repeated rows each give a row; an empty table gives an empty result; other
+Nulls: a null text is empty and has no ids; a null id is carried along. Texts
+are encoded whole, however long. Merges have ranks of their own, so there are no
+ties. Repeated rows each give a row; an empty table gives an empty result; other
 columns are never looked at.
 """
 

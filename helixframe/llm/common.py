@@ -100,12 +100,15 @@ def may_contain(df: DataFrame, column: str, ids: DataFrame, id_column: str, size
 
 
 def without(df: DataFrame, column: str, ids: DataFrame, id_column: str, size: int = FILTER_BITS) -> DataFrame:
-    """Rows of df whose id isn't in ids (distinct), null ids included. Only rows
-    that may be in ids are shuffled to meet them."""
-    marked = _marked(df, column, ids, id_column, size, "left")
+    """Rows of df whose id isn't in ids (distinct), null ids included, whatever
+    df's columns are called. Only rows that may be in ids are shuffled to meet
+    them."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    key = names[df.columns.index(column)]
+    marked = _marked(df.toDF(*names), key, ids, id_column, size, "left")
     there = ids.select(F.col(id_column).alias("_id"), F.lit(True).alias("_there"))
-    met = marked.filter("_hit").join(there, F.col(column) == F.col("_id"), "left").filter("_there is null")
-    return marked.filter("not _hit").select(df.columns).unionByName(met.select(df.columns))
+    met = marked.filter("_hit").join(there, F.col(key) == F.col("_id"), "left").filter("_there is null")
+    return marked.filter("not _hit").select(names).unionByName(met.select(names)).toDF(*df.columns)
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -35,7 +35,7 @@ from .common import prepare
 PASSAGE = 64
 HIDDEN = 16
 #: Buckets of words and of trigrams; passages of a text that are learned from.
-WORDS, LETTERS, BAG = 128, 128, 32
+WORDS, LETTERS, BAG = 128, 128, 16
 _U = np.uint64
 #: Kinds of bytes: upper case, digit, sentence mark, other mark, beyond ASCII.
 _KIND = np.zeros((5, 256))
@@ -126,11 +126,21 @@ def train(doc: np.ndarray, x: np.ndarray, label: np.ndarray, epochs: int = 12, b
     share = float(label.mean()) if len(label) else 0.5
     g = np.random.default_rng(3)
     v = {"W": g.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, HIDDEN)), "w": np.zeros(HIDDEN), "V": g.normal(0, 0.3, (HIDDEN, HIDDEN)), "U": g.normal(0, 0.3, (HIDDEN, HIDDEN)), "t": g.normal(0, 0.3, HIDDEN), "c": g.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
-    mean, scale = (x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-2) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+    mean, scale = np.zeros(FEATURES), np.ones(FEATURES)
+    if len(x):
+        one, two = np.zeros(FEATURES), np.zeros(FEATURES)
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096].astype(np.float64)
+            one += part.sum(0)
+            two += (part * part).sum(0)
+        mean = one / len(x)
+        scale = np.sqrt(np.maximum(0, two / len(x) - mean**2)) + 1e-2
     model = Attention(v, mean, scale, share, len(label) > 0 and 0 < share < 1)
     if not model.trained:
         return model
-    every = (x - mean) / scale
+    every = x.astype(np.float32)
+    every -= mean.astype(np.float32)
+    every /= scale.astype(np.float32)
     cuts = np.searchsorted(doc, np.arange(len(label) + 1))
     one, two = ({k: np.zeros_like(a) for k, a in v.items()} for _ in range(2))
     total, step = epochs * -(-len(label) // batch), 0
@@ -183,9 +193,10 @@ def fit(documents: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, s
     found = docs.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y double, x binary")
     rows = found.groupBy("doc_id").agg(F.max(F.struct("y", "x")).alias("r")).select("doc_id", "r.y", "r.x").collect()
     rows.sort(key=lambda r: r.doc_id)
-    bags = [np.frombuffer(r.x, "<f2").reshape(-1, FEATURES).astype(np.float32) for r in rows]
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    return train(doc, np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), np.array([r.y for r in rows]))
+    sizes, label = [len(r.x) // (2 * FEATURES) for r in rows], np.array([r.y for r in rows])
+    x = np.frombuffer(b"".join([r.x for r in rows]), "<f2").reshape(-1, FEATURES)
+    del rows
+    return train(np.repeat(np.arange(len(sizes)), sizes), x, label)
 
 
 def _score(batch: pa.RecordBatch, model: Attention) -> np.ndarray:
@@ -218,7 +229,6 @@ def scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, fold
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """documents without those that score below ``threshold``."""
     model = fit(documents, labels, **options)
-    names = documents.columns
-    keyed = documents.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text").cast("string").alias("text"))
+    keyed = documents.select(F.struct(*[F.col(f"`{n}`") for n in documents.columns]).alias("row"), F.col("text").cast("string").alias("text"))
     kind = keyed.schema["row"].dataType.simpleString()
     return keyed.mapInArrow(partial(_kept, model=model, threshold=threshold), f"row {kind}").select("row.*")

@@ -7,9 +7,13 @@ unknown character costs ten less than the worst piece where no piece is exactly
 that character, and unknowns in a row are one token. Chunks begin at spaces,
 which are written as U+2581, as is the text's beginning.
 
-Nulls: a null text is empty and has no tokens; a null id is carried along.
-Repeated rows each give a row; an empty table gives an empty result; other
-columns are never looked at.
+The registered query has no public unigram model to read: it takes the pieces
+of a BPE model, whose scores are the negatives of their ranks, as a unigram
+vocabulary.
+
+Nulls: a null text is empty and has no tokens; a null id is carried along. Texts
+are counted whole, however long. Repeated rows each give a row; an empty table
+gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
