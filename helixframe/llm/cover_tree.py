@@ -41,8 +41,13 @@ FOUND = "id long, other long, weight long"
 CELLS = "label string, dim int, cell int, id long, weight long, v array<double>, far double, centre array<double>"
 #: Centres of a label; points of a label that they are chosen from.
 LEVEL, SAMPLE = 256, 2048
-#: Slack of distances in double precision; within it, cosines decide.
-SLACK = 1e-9
+#: Slack of distances that come from products, which lose half the digits near
+#: zero; within it, cosines decide.
+SLACK = 1e-7
+#: Centres whose distances are one product of matrices.
+STEP = 256
+#: Distances of centres that are held at once.
+PAIRS = 1 << 21
 
 
 class CoverTree:
@@ -70,20 +75,25 @@ class CoverTree:
         self.points.append(points)
         self.children.append(np.zeros(0, np.int64))
         if len(points) > 1 and radius > 1e-6:
-            kids, left, dist, c = [], points, far, centre
-            while True:
-                near = dist <= radius / 2
-                kids.append(self._node(c, left[near], dist[near], radius / 2))
-                left = left[~near]
-                if not len(left):
-                    break
-                c = int(left[0])
-                dist = self._to(c, left)
+            near = far <= radius / 2
+            kids, left = [self._node(centre, points[near], far[near], radius / 2)], points[~near]
+            while len(left):  # of a few candidates at once each that none before it covers
+                some = left[:STEP]
+                dist = np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[some] @ self.x[left].T)))
+                free = np.ones(len(left), bool)
+                for k, c in enumerate(some.tolist()):
+                    if free[k]:
+                        near = free & (dist[k] <= radius / 2)
+                        near[k] = True
+                        kids.append(self._node(c, left[near], dist[k][near], radius / 2))
+                        free &= ~near
+                left = left[free]
             self.children[me] = np.array(kids)
         return me
 
     def arrays(self) -> None:
         self.centres, self.radii = np.array(self.centre), np.array(self.radius)
+        self.single = np.array([len(p) == 1 for p in self.points])
 
 
 def linked(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -105,20 +115,32 @@ def linked(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tu
             keep = i < j if same and p == q else np.ones(len(i), bool)
             yield i[keep], j[keep]
             continue
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * (a.x[a.centres[ps]] @ b.x[b.centres[qs]].T)))
-        both = a.radii[ps][:, None] + b.radii[qs][None, :]
-        near = d - both <= reach + SLACK
-        if same and p == q:
-            near &= np.tri(len(ps), dtype=bool).T  # unordered pairs of children
-        inside = near & (d + both <= reach - SLACK)
-        for r, c in zip(*np.nonzero(inside), strict=True):
-            i, j = a.points[ps[r]], b.points[qs[c]]
-            if same and ps[r] == qs[c]:
-                u, v = np.triu_indices(len(i), 1)
-                yield i[u], i[v]
-            else:
-                yield np.repeat(i, len(j)), np.tile(j, len(i))
-        stack.extend(zip(ps[(rest := np.nonzero(near & ~inside))[0]].tolist(), qs[rest[1]].tolist(), strict=True))
+        high = max(1, PAIRS // len(qs))
+        for at in range(0, len(ps), high):  # so many rows of distances at once
+            some = ps[at : at + high]
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * (a.x[a.centres[some]] @ b.x[b.centres[qs]].T)))
+            both = a.radii[some][:, None] + b.radii[qs][None, :]
+            near = d - both <= reach + SLACK
+            if same and p == q:  # unordered pairs of children
+                near &= np.arange(at, at + len(some))[:, None] <= np.arange(len(qs))[None, :]
+            r, c = np.nonzero(near)
+            inside = (d[r, c] + both[r, c]) <= reach - SLACK
+            u, v = some[r], qs[c]
+            points = a.single[u] & b.single[v]
+            i, j = a.centres[u[points]], b.centres[v[points]]
+            if same:
+                i, j = i[i != j], j[i != j]
+            hit = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= cosine
+            yield i[hit], j[hit]
+            for k in np.flatnonzero(inside & ~points):
+                i, j = a.points[u[k]], b.points[v[k]]
+                if same and u[k] == v[k]:
+                    x, y = np.triu_indices(len(i), 1)
+                    yield i[x], i[y]
+                else:
+                    yield np.repeat(i, len(j)), np.tile(j, len(i))
+            rest = ~inside & ~points
+            stack.extend(zip(u[rest].tolist(), v[rest].tolist(), strict=True))
 
 
 def unit_vectors(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
