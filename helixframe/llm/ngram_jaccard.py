@@ -58,8 +58,9 @@ FINE = 2
 CHUNK, BUCKET = 1 << 19, 1 << 20
 #: Elements of the sets of a unit of work, or of a block of a larger cluster.
 UNIT = 1 << 20
-#: Elements with more sets than this are counted by products of matrices.
-COMMON = 48
+#: Elements that more sets have, and one in SHARE of a unit's, are counted by
+#: products of matrices; a set counts as LEAST elements at least.
+COMMON, SHARE, LEAST = 48, 16, 64
 ROWS = "doc_id long, n_shingles long, key long, key2 long"
 SETS = "key long, key2 long, n int, items array<long>"
 
@@ -345,7 +346,7 @@ def linked_labels(flat: np.ndarray, base: np.ndarray, second: np.ndarray, percen
     _, item, count = np.unique(flat, return_inverse=True, return_counts=True)
     use = count[item] > 1
     whose, item = whose[use], item[use]
-    often = count[item] > COMMON
+    often = count[item] > max(COMMON, m // SHARE)
     dense = np.unique(item[often])
     order = np.argsort(item[~often], kind="stable")
     post, post_item = whose[~often][order], item[~often][order]
@@ -459,7 +460,7 @@ def set_links(docs: DataFrame, rows: DataFrame, n: int, percent: int, unit: int
     edges = _edges(sets, percent)
     release(docs.sparkSession)
     of = connected_components(edges, "hub", "sid").select(F.col("id").alias("sid"), F.col("component_id").alias("cluster")).checkpoint()
-    sized = of.join(sets.select("sid", "n"), "sid").checkpoint()
+    sized = of.join(sets.select("sid", F.greatest("n", F.lit(LEAST)).alias("n")), "sid").checkpoint()
     total = sized.groupBy("cluster").agg(F.sum("n").alias("total"))
     large = total.filter(F.col("total") > unit).select("cluster")
     one = lambda d: d.withColumn("open", F.lit(1)).withColumn("closed", F.lit(0)).withColumn("own", F.lit(0))
