@@ -48,6 +48,8 @@ SLACK = 1e-7
 STEP = 256
 #: Distances of centres that are held at once.
 PAIRS = 1 << 21
+#: Pairs of points that are compared at once rather than walked further.
+DIRECT = 1 << 20
 
 
 class CoverTree:
@@ -107,7 +109,7 @@ def linked(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tu
         p, q = stack.pop()
         ps = a.children[p] if len(a.children[p]) else np.array([p])
         qs = b.children[q] if len(b.children[q]) else np.array([q])
-        if len(a.children[p]) == 0 and len(b.children[q]) == 0:
+        if len(a.points[p]) * len(b.points[q]) <= DIRECT or len(a.children[p]) == 0 and len(b.children[q]) == 0:
             i, j = a.points[p], b.points[q]
             hit = a.x[i] @ b.x[j].T >= cosine
             r, c = np.nonzero(hit)
