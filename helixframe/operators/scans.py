@@ -179,3 +179,27 @@ def compiled_features(features: DataFrame, id_: str, parent: str, kind: str) ->
     broken = F.col("_p").isNotNull() & F.col("_u").isNull()
     up = e.filter(F.when(broken, F.raise_error(F.concat(F.lit("no feature "), F.col("_p"))).cast("boolean")).otherwise(True)).groupBy("unit").agg(F.array_sort(F.collect_list("_u")).alias("parents"))
     return own.join(up, "unit").select("unit", id_, kind, "parents")
+
+
+def sealed_scan(scan: DataFrame, locus: str, id_: str, change: str) -> DataFrame:
+    """The scan's predictions with a seal each, taken before any outcome is read:
+    the digest of locus, id and the change in millionths."""
+    whole = F.round(F.col(change) * 1e6).cast("long").cast("string")
+    return scan.select(locus, id_, change, F.sha2(F.concat_ws(":", locus, id_, whole).cast("binary"), 256).alias("seal"))
+
+
+def robust_edits(scan: DataFrame, locus: str, id_: str, ratio: str, change: str, response: Callable[[Column, Column], Column], threshold: float, size: int, draws: int, seed: str, width: float) -> DataFrame:
+    """Each locus's ``size`` edits of the greatest |change|, and the share of a
+    jittered ensemble in which their fate is above the threshold."""
+    r = F.row_number().over(Window.partitionBy(locus).orderBy(F.abs(change).desc(), id_))
+    top = scan.withColumn("rank", r).filter(F.col("rank") <= size)
+    d = jittered(top, id_, draws, seed, width)
+    on = response(F.col(ratio) * F.col("factor"), F.lit(1.0)) > threshold
+    return d.groupBy(locus, "rank", id_).agg(F.avg(on.cast("double")).alias("probability"))
+
+
+def report(scan: DataFrame, rescue: DataFrame, locus: str) -> DataFrame:
+    """One row a locus: edits, flips, the share of silent ones, and the best
+    rescue's gap (null without any)."""
+    s = scan.groupBy(locus).agg(F.count(F.lit(1)).alias("edits"), F.count_if("flip").alias("flips"), F.avg((F.col("category") == "doubly_silent").cast("double")).alias("silent"))
+    return s.join(rescue.groupBy(locus).agg(F.min("gap").alias("best_gap")), locus, "left")

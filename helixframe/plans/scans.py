@@ -198,3 +198,21 @@ def feature_closure(spark, d):
     p = F.expr("c_custkey div 3 + c_custkey % 2 * 5000")
     f = t(spark, d, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.concat(F.lit("f"), p.cast("string"))).alias("up"), F.col("c_mktsegment").alias("kind"))
     return X.feature_edges(f, "id", "up", "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("closed").alias("closed"))
+
+
+@query(f"with {SCAN} select locus, id, round(a - b, 8) as change, sha256(locus || ':' || id::varchar || ':' || round((a - b) * 1e6)::bigint::varchar) as seal from s where signal = 1.0")
+def sealed_predictions(spark, d):
+    s = X.regime_scan(parts(spark, d), "ratio", [1.0], _response, 0.5, 0.05)
+    return X.sealed_scan(s, "locus", "id", "change").withColumn("change", F.round("change", 8))
+
+
+@query(f"with {SCAN}, t as (select locus, id, ratio, (row_number() over (partition by locus order by round(abs(a - b), 9) desc, id))::int as rank from s where signal = 1.0), d as (select locus, rank, id, ratio, unnest(range(0, 50)) as draw from t where rank <= 5), f as (select locus, rank, id, ratio * (0.7 + 0.6 * {UNIFORM.format(seed='r', id='id')}) as q from d) select locus, rank, id, avg((q / (1 + q) > 0.5)::int) as probability from f group by 1, 2, 3")
+def robust_edits(spark, d):
+    s = X.regime_scan(parts(spark, d), "ratio", [1.0], _response, 0.5, 0.05).withColumn("change", F.round("change", 9))
+    return X.robust_edits(s, "locus", "id", "ratio", "change", _response, 0.5, 5, 50, "r", 0.3)
+
+
+@query(f"with {SCAN}, c as (select locus, id, abs(a - b) <= 0.05 and not ((a > 0.5) <> (b > 0.5)) as silent, (a > 0.5) <> (b > 0.5) as flip from s where signal = 1.0), r as (select p.locus, min(abs(p.ratio * b.other - 1)) as best from (select p_brand as locus, p_partkey as id, {RATIO} as ratio from part) p join (select p_brand as locus, p_partkey as id, {RATIO} as other from part where p_size < 6) b on p.locus = b.locus and p.id <> b.id group by 1) select c.locus, count(*) as edits, count(*) filter (flip) as flips, round(avg(silent::int), 8) as silent, round(any_value(r.best), 8) as best_gap from c left join r on r.locus = c.locus group by 1")
+def locus_report(spark, d):
+    s = X.regime_scan(parts(spark, d), "ratio", [1.0], _response, 0.5, 0.05)
+    return X.report(s, second_site_rescues(spark, d), "locus").select("locus", "edits", "flips", F.round("silent", 8).alias("silent"), F.round("best_gap", 8).alias("best_gap"))
