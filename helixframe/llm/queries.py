@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover_tree, graph_search, licences, lm, ngram_jaccard, packing, quality, substring_dedup, unigram
+from . import bpe, byte_bpe, cover_tree, divergence, graph_search, licences, lm, ngram_jaccard, packing, quality, substring_dedup, turns, unigram
 from .common import table
 
 
@@ -17,6 +17,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """The pattern that splits texts before the rank files' merges."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -57,6 +64,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op12_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.event_digests(turns.replay(table(spark, sf_dir, "conversations"), batches=12, idle=3))
+
+
+def op13_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -91,6 +110,28 @@ degree as (select a, count(*) as n from link group by a)
 select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, vec_id) as component_id, coalesce(root, vec_id) = vec_id as kept
 from embeddings left join degree on a = vec_id left join component on id = vec_id"""
 
+SQL["op11_source_divergence"] = r"""
+with doc as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+word as (select r, lang, source, unnest(w) as term from doc),
+kept as (select lang, term from word group by lang, term having count(distinct r) >= 30),
+n as (select lang, source, term, count(*) as n from word join kept using (lang, term) group by all),
+size as (select lang, count(*) as v from kept group by lang),
+grp as (select lang, source, coalesce(sum(n.n), 0) as total, coalesce(any_value(v), 0) as v
+    from (select distinct lang, source from doc) left join n using (lang, source) left join size using (lang) group by lang, source),
+whole as (select lang, sum(total) as total from grp group by lang),
+cell as (select lang, source, term, coalesce(n.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n.n, 0) + 5)) // (total + 5 * v) as p
+    from grp join kept using (lang) left join n using (lang, source, term)),
+every as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) as q
+    from n join whole using (lang) join size using (lang) group by lang, term),
+pair as (select a.lang, a.source, b.source as item, coalesce((select sum(abs(x.p - y.p)) from cell x join cell y using (lang, term)
+    where x.lang = a.lang and x.source = a.source and y.source = b.source), 0)::bigint as value
+    from grp a join grp b on a.lang = b.lang and a.source <> b.source),
+term as (select lang, source, term as item, (p - q)::bigint as value from cell join every using (lang, term) where n > 0 and p > q),
+ranked as (select lang, source, part, item, value, row_number() over (partition by lang, source, part order by value desc, item collate "binary")::int as rank
+    from (select *, 'pair' as part from pair union all by name select *, 'term' as part from term))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
