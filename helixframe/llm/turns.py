@@ -40,10 +40,11 @@ ORIGIN = 86_400
 ARRIVAL = "conv_id long, turn long, first long, role string, text string, batch int"
 EVENT = "event string, conv_id long, turn long, batch long, role string, text string, unreleased array<long>, n_missing long, n_breaks long"
 #: What such a query needs: keyed timers live in RocksDB, whose commits write what
-#: has changed and not the whole state.
+#: has changed and not the whole state. Many small stores don't preallocate files.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
