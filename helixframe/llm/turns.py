@@ -46,6 +46,9 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: A checkpoint's number of state partitions never changes, so it follows the
+#: data and not what the session happens to shuffle with.
+PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
 
 
 class Reassembly(StatefulProcessor):
@@ -143,12 +146,14 @@ def arrivals(conversations: DataFrame, batches: int = 12, copies_of: int = 7, co
     return least.join(first, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("conv_id", "turn", "first", F.col("least.role").alias("role"), text.alias("text"), "batch")
 
 
-def replay(conversations: DataFrame, batches: int = 12, idle: int = 3) -> DataFrame:
+def replay(conversations: DataFrame, batches: int = 12, idle: int = 3, partitions: int | None = None) -> DataFrame:
     """EVENT rows of ``conversations`` arriving in so many batches. Each batch is
     a folder below spark.checkpoint.dir that moves to where the stream looks;
     the query starts anew for each of them on one checkpoint, and once more for
-    the end."""
+    the end. The state has so many ``partitions``: as many as the table, if not
+    said, but 8 at least and 4096 at most."""
     spark = prepare(conversations.sparkSession)
+    store = STORE | {PARTITIONS: str(partitions or min(4096, max(8, conversations.rdd.getNumPartitions())))}
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/turns-{uuid.uuid4().hex}"
     clock = spark.range(batches + 1).select(*[F.lit(None).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("first", "long"), ("role", "string"), ("text", "string"))], F.when(F.col("id") == batches, batches + idle).otherwise(F.col("id")).cast("int").alias("batch"), F.col("id").cast("int").alias("part"))
     arrivals(conversations, batches).withColumn("part", F.col("batch")).unionByName(clock).write.partitionBy("part").parquet(f"{folder}/batches")
@@ -156,8 +161,8 @@ def replay(conversations: DataFrame, batches: int = 12, idle: int = 3) -> DataFr
     path = jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(path(f"{folder}/arrived"))
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+    before = {k: spark.conf.get(k, None) for k in store}
+    for k, v in store.items():
         spark.conf.set(k, v)
     try:
         for part in range(batches + 1):

@@ -59,9 +59,9 @@ def test_stream_equals_plain_replay(spark):
     table = spark.createDataFrame([(*r, "a", 0.5) for r in rows], SCHEMA)
     want = plain(rows, 6, 1)
     assert {w[0] for w in want} == {"release", "reject", "close"}
-    before = {k: spark.conf.get(k, None) for k in turns.STORE}
+    before = {k: spark.conf.get(k, None) for k in (*turns.STORE, turns.PARTITIONS)}
     assert found(turns.replay(table, batches=6, idle=1)) == want
-    assert {k: spark.conf.get(k, None) for k in turns.STORE} == before
+    assert {k: spark.conf.get(k, None) for k in before} == before
 
 
 def test_no_rows(spark):
