@@ -9,8 +9,9 @@ distinct word is encoded once; its ids go back to the chunks that have it and
 take their places in the texts by position. Decoding joins ids to the table of
 the tokens' bytes, which is as large as the vocabulary whatever the data.
 
-The exploded rows are a written table, so what a chunk is doesn't depend on
-which executor is lost later.
+Both kinds of rows come from the texts by passes of their own, and a task that runs
+again must see its rows in the same order, as those of a scan of files are. Other
+texts are written first.
 
 Nulls: a null text is empty and has no ids; a null id is carried along. Texts are
 encoded whole, however long; words too, by a heap where they are long. Of equal
@@ -42,7 +43,8 @@ from .common import by_group, prepare
 
 #: Most buckets of words: a chunk sends a row to each at most.
 BUCKETS = 4096
-EXPLODED = "chunk long, bucket int, doc_ids array<long>, sizes array<long>, places binary, buckets binary, words binary"
+PLACES = "chunk long, bucket int, doc_ids array<long>, sizes array<long>, places binary, buckets binary"
+WORDS, ANSWERS = "chunk long, bucket int, words binary", "chunk long, bucket int, lengths binary, ids binary"
 #: Letters of these texts are A-Z, a-z and those of Latin-1, and their white space
 #: is ASCII's, so the standard library can split them by explicit classes.
 _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -149,9 +151,9 @@ def _parted(joined: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
 
 
-def _explode(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row of places and rows of words for each batch; words count from the
-    most frequent one on, so that places are small numbers."""
+def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[tuple]:
+    """Of each batch: its chunk, the words from the most frequent one on, so that
+    places are small numbers, their buckets, and where they are."""
     part = TaskContext.get().partitionId()
     for k, batch in enumerate(b for b in batches if b.num_rows):
         numbers, places = _Numbers(), []
@@ -162,25 +164,27 @@ def _explode(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> I
         order = np.argsort(-np.bincount(at, minlength=len(numbers)), kind="stable") if len(numbers) else np.zeros(0, np.int64)
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        all_words = [w.encode() for w in numbers]
-        words = [all_words[i] for i in order.tolist()]
-        bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int32)
+        words = [w.encode() for w in numbers]
+        words = [words[i] for i in order.tolist()]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+        yield batch, part << 32 | k, words, bucket, rank[at], [len(p) for p in places]
+
+
+def _places(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row of places for each chunk."""
+    for batch, chunk, _, bucket, at, sizes in _numbered(batches, pattern, buckets):
+        columns = [pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_packed(at)], pa.binary()), pa.array([_packed(bucket)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "doc_ids", "sizes", "places", "buckets"])
+
+
+def _words(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row of words for each chunk and bucket."""
+    for _, chunk, words, bucket, _, _ in _numbered(batches, pattern, buckets):
         by_bucket = np.argsort(bucket, kind="stable")
         there, starts = np.unique(bucket[by_bucket], return_index=True)
         ends = [*starts[1:].tolist(), len(words)]
-        chunk, n = part << 32 | k, len(there)
-        sent = [_joined([words[i] for i in by_bucket[a:b].tolist()]) for a, b in zip(starts.tolist(), ends, strict=True)]
-        none = [None] * n
-        columns = [
-            pa.array([chunk] * (n + 1), pa.int64()),
-            pa.array([-1, *there.tolist()], pa.int32()),
-            pa.array([batch.column("doc_id").to_pylist(), *none], pa.list_(pa.int64())),
-            pa.array([[len(p) for p in places], *none], pa.list_(pa.int64())),
-            pa.array([_packed(rank[at]), *none], pa.binary()),
-            pa.array([_packed(bucket), *none], pa.binary()),
-            pa.array([None, *sent], pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "doc_ids", "sizes", "places", "buckets", "words"])
+        sent = [_joined([words[i] for i in by_bucket[a:b].tolist()]) for a, b in zip(starts.tolist(), ends, strict=bool(len(there)))]
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(there), pa.int64()), pa.array(there, pa.int32()), pa.array(sent, pa.binary())], ["chunk", "bucket", "words"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     rows last, so each distinct one is encoded once."""
     table, known, current = ranks(path), {}, None
     for batch in batches:
-        answers = []
+        lengths, ids = [], []
         bucket = batch.column("bucket").to_pylist()
         rows = [_parted(w) for w in batch.column("words").to_pylist()]
         at = 0
@@ -199,9 +203,12 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             if bucket[at] != current:
                 known, current = {}, bucket[at]
             known |= table.encode_bytes({w for r in rows[at:to] for w in r if w not in known})
-            answers += [_joined([known[w] for w in r]) for r in rows[at:to]]
+            for r in rows[at:to]:
+                found = [known[w] for w in r]
+                lengths.append(_packed(np.fromiter(map(len, found), np.uint32, len(found)) // 4))
+                ids.append(_packed(np.frombuffer(b"".join(found), "<u4")))
             at = to
-        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(answers, pa.binary())], ["chunk", "bucket", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "bucket", "lengths", "ids"])
 
 
 def _assemble(whole: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -211,19 +218,20 @@ def _assemble(whole: pa.Table) -> Iterator[pa.RecordBatch]:
     for a, b in zip(starts, [*starts[1:], len(chunks)], strict=True):
         rows = whole.slice(a, b - a)
         head = rows.slice(0, 1).to_pylist()[0]
-        parts = [p for w in rows.slice(1).column("words").to_pylist() for p in _parted(w)]
+        none = [np.zeros(0, np.uint32)]
+        length, flat = (np.concatenate(none + [_unpacked(x) for x in rows.slice(1).column(c).to_pylist()]) for c in ("lengths", "ids"))
+        length = length.astype(np.int64)
         of_bucket = np.argsort(_unpacked(head["buckets"]), kind="stable")
         place, sizes = _unpacked(head["places"]), np.array(head["sizes"], np.int64)
-        flat = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
-        length = np.array([len(p) // 4 for p in parts], np.int64)
-        start = np.cumsum(length) - length
-        where = np.empty(len(parts), np.int64)
-        where[of_bucket] = np.arange(len(parts))
+        # in the order of the places' numbers, not of the buckets
+        start, count = np.empty(len(of_bucket), np.int64), np.empty(len(of_bucket), np.int64)
+        start[of_bucket], count[of_bucket] = np.cumsum(length) - length, length
+        flat = flat.astype(np.int32)
         at = 0
         for lo, hi in _runs(sizes):
-            mine = where[place[at : at + int(sizes[lo:hi].sum())]]
+            mine = place[at : at + int(sizes[lo:hi].sum())]
             at += len(mine)
-            n = length[mine]
+            n = count[mine]
             ends = np.cumsum(n)
             ids = flat[np.arange(int(n.sum())) + np.repeat(start[mine] - ends + n, n)]
             offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes[lo:hi])])]
@@ -239,17 +247,20 @@ def _runs(sizes: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def token_ids(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and the ids of each whole text."""
+def token_ids(documents: DataFrame, path: str, pattern: str, stable: bool = False) -> DataFrame:
+    """doc_id and the ids of each whole text. ``stable``: the rows of documents
+    come in the same order whenever they are read, as from a table of files; if
+    not, they are written first."""
     spark = prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not stable:
+        folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/texts-{uuid.uuid4().hex}"
+        texts.write.parquet(folder)
+        texts = spark.read.schema("doc_id long, text string").parquet(folder)
     buckets = min(BUCKETS, 2 * max(8, texts.rdd.getNumPartitions()))
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/words-{uuid.uuid4().hex}"
-    texts.mapInArrow(partial(_explode, pattern=pattern, buckets=buckets), EXPLODED).write.parquet(folder)
-    exploded = spark.read.schema(EXPLODED).parquet(folder)
-    words = exploded.filter("bucket >= 0").select("chunk", "bucket", "words")
-    answers = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_encode, path=path), "chunk long, bucket int, words binary")
-    whole = exploded.filter("bucket < 0").drop("words").unionByName(answers, allowMissingColumns=True)
+    words = texts.mapInArrow(partial(_words, pattern=pattern, buckets=buckets), WORDS)
+    answers = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_encode, path=path), ANSWERS)
+    whole = texts.mapInArrow(partial(_places, pattern=pattern, buckets=buckets), PLACES).unionByName(answers, allowMissingColumns=True)
     return whole.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(partial(by_group, keys=["chunk"], work=_assemble), "doc_id long, ids array<int>")
 
 
@@ -266,12 +277,11 @@ def _bytes_of(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
         found = tokens.take(pc.if_else(known, flat, None))
         if found.null_count:
             raise ValueError("an id that no token has")
+        # the bytes found lie one behind the other; a list's are a run of them
         ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-        size = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False))])[ends].tolist()
-        data = b"".join(found.to_pylist())
-        there = lists.is_valid().to_pylist()
-        out = [data[a:b] if v else None for v, a, b in zip(there, size, size[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "data"])
+        at = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1][ends].tobytes() if len(found) else bytes(4 * len(ends))
+        data = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at), found.buffers()[2] or pa.py_buffer(b"")])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(lists.is_valid(), data, None)], [*batch.schema.names, "data"])
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -280,8 +290,8 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(partial(_bytes_of, path=path), "doc_id long, ids array<int>, data binary")
 
 
-def token_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+def token_digests(documents: DataFrame, path: str, pattern: str, stable: bool = False) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids joined by a space and of the
     decoded bytes."""
-    both = decoded(token_ids(documents, path, pattern), path)
+    both = decoded(token_ids(documents, path, pattern, stable), path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))

@@ -73,7 +73,7 @@ def op12_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern(), stable=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,6 +37,7 @@ def test_byte_bpe_is_the_library(spark, library):
     rows = [(i if i % 40 else None, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 2)]
     table = spark.createDataFrame(rows, "doc_id long, text string, bucket int").repartition(3)
     got = byte_bpe.token_digests(table, RANKS, tokenizer_pattern())
+    assert got.schema == byte_bpe.token_digests(table.coalesce(1), RANKS, tokenizer_pattern(), stable=True).schema
     assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     want = []
     for i, t, _ in rows:
