@@ -1,15 +1,20 @@
 """Motif features of many motifs at once.
 
-A window's odds are the mean of exp(score) over both strands; its potential is
-log1p(scale * odds) - log1p(scale), so a window without evidence adds nothing.
-Motifs are parameters (a bounded table that travels with the task); sequences
-stream past in Arrow batches, distinct words of a batch are scored once, and all
-motifs of one width are one product of matrices. Windows with letters beyond
-ACGT count nothing."""
+A window's odds are the mean over both strands of exp(score); its potential is
+log(1 + scale * odds) - log(1 + scale), so a window without evidence adds nothing.
+
+A motif is cut into parts of at most PART columns. A part's odds of all its words
+are one table, so a window's odds are a product of looked-up rows: of the words
+at its parts' places, read as numbers of base 4 that roll along a sequence. The
+other strand reads the same tables with the complements' numbers, its parts in
+reverse order. Motifs are parameters, a bounded table that travels with the task;
+sequences stream past in Arrow batches. Windows with letters beyond ACGT count
+nothing."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -17,137 +22,188 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words scored by one product, so that scratch memory stays bounded.
-STEP = 1 << 14
-_CODE = np.full(256, -1, np.int8)
-_CODE[[65, 67, 71, 84]] = range(4)
-
-
-def by_width(matrices: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(width, columns, kernels): kernels are 4 * width x (2 * motifs), forward
-    then reverse strand."""
-    widths: dict[int, list[int]] = {}
-    for k, m in enumerate(matrices):
-        widths.setdefault(np.shape(m)[1], []).append(k)
-    out = []
-    for width, columns in sorted(widths.items()):
-        group = np.stack([np.asarray(matrices[k], float) for k in columns])
-        both = np.concatenate([group, group[:, ::-1, ::-1]])
-        out.append((width, np.array(columns), both.transpose(2, 1, 0).reshape(4 * width, -1)))
-    return out
+#: Columns of a part (a table of 4 ** PART words), and windows looked up at once.
+PART, STEP = 5, 1 << 11
+_BASE = np.full(256, 4, np.uint8)
+_BASE[[65, 67, 71, 84]] = range(4)
 
 
-def word_potentials(words: np.ndarray, kernels: np.ndarray, scale: float) -> np.ndarray:
-    """Potential of each word (rows of codes 0..3, or -1) for each motif."""
-    hot = np.zeros((len(words), words.shape[1], 4))
-    row, col = np.nonzero(words >= 0)
-    hot[row, col, words[row, col]] = 1
-    forward, reverse = np.split(hot.reshape(len(words), -1) @ kernels, 2, axis=1)
-    # in terms of odds - 1, so that weak words keep their digits
-    out = np.log1p(scale / (1 + scale) * (np.expm1(forward) + np.expm1(reverse)) / 2)
-    out[(words < 0).any(1)] = 0
-    return out
+@dataclass
+class Family:
+    """The motifs of one width: which they are, and for each part its first
+    column, its width, and the odds of its words by strand (words x motifs)."""
 
+    width: int
+    motifs: np.ndarray
+    parts: list[tuple[int, int, np.ndarray, np.ndarray]]
 
-def _codes(texts: list[str | None]) -> list[np.ndarray]:
-    return [_CODE[np.frombuffer((t or "").upper().encode("latin-1", "replace"), np.uint8)] for t in texts]
 
-
-def _windows(code: np.ndarray, width: int, lo: int, hi: int) -> np.ndarray:
-    """Windows that begin at lo..hi - 1, as far as the sequence goes."""
-    lo, hi = max(lo, 0), min(hi, len(code) - width + 1)
-    if hi <= lo:
-        return np.zeros((0, width), np.int8)
-    return np.lib.stride_tricks.sliding_window_view(code, width)[lo:hi]
+def complements(n: int) -> np.ndarray:
+    """The number of the reverse complement of each word of n letters."""
+    words = np.arange(4**n)
+    out = np.zeros_like(words)
+    for _ in range(n):
+        out, words = out * 4 + 3 - words % 4, words // 4
+    return out
 
 
-def changed(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def families(matrices: list[np.ndarray]) -> list[Family]:
+    """Motifs (4 x width arrays of log odds) by width, with their tables."""
+    shapes = np.array([np.shape(m)[1] for m in matrices])
+    found = []
+    for width in np.unique(shapes).tolist():
+        members = np.flatnonzero(shapes == width)
+        cuts = np.linspace(0, width, -(-width // PART) + 1).round().astype(int).tolist()
+        parts = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            scores = np.zeros((1, len(members)))
+            for column in range(lo, hi):
+                letter = np.array([matrices[k][:, column] for k in members], float).T
+                scores = (scores[:, None, :] + letter[None, :, :]).reshape(-1, len(members))
+            odds = np.exp(scores)
+            parts.append((lo, hi - lo, odds, odds[complements(hi - lo)]))
+        found.append(Family(width, members, parts))
+    return found
+
+
+class Text:
+    """Sequences one behind the other, with a stop after each."""
+
+    def __init__(self, sequences: list[str]):
+        coded = [_BASE[np.frombuffer(s.upper().encode("latin-1", "replace"), np.uint8)] for s in sequences]
+        self.size = np.array([len(c) for c in coded], np.int64)
+        self.start = np.cumsum(self.size + 1) - self.size - 1
+        self.codes = np.concatenate([x for c in coded for x in (c, np.array([4], np.uint8))] or [np.zeros(0, np.uint8)])
+        self.stops = np.concatenate([[0], np.cumsum(self.codes == 4)])
+        self._words: dict[int, np.ndarray] = {}
+
+    def words(self, n: int) -> np.ndarray:
+        """The number of the n letters from each place on (of any value at stops)."""
+        if n not in self._words:
+            known, out = np.where(self.codes == 4, 0, self.codes).astype(np.int32), 0
+            for k in range(n):
+                out = out * 4 + np.roll(known, -k)
+            self._words[n] = out
+        return self._words[n]
+
+    def clear(self, places: np.ndarray, width: int) -> np.ndarray:
+        """Which windows have no stop and no other letter."""
+        return self.stops[np.minimum(places + width, len(self.codes))] == self.stops[places]
+
+
+def _spread(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges lo..hi - 1, each with its range's owner."""
+    n = np.maximum(hi - lo, 0)
+    ends = np.cumsum(n)
+    return np.repeat(owner, n), np.arange(int(n.sum())) + np.repeat(lo - ends + n, n)
+
+
+def potentials(text: Text, places: np.ndarray, family: Family, scale: float) -> np.ndarray:
+    """Of the windows at places, for each motif of a family."""
+    one = two = None
+    for lo, n, odds, other in family.parts:
+        words = text.words(n)
+        a, b = odds[words[places + lo]], other[words[places + family.width - lo - n]]
+        one, two = (a, b) if one is None else (one * a, two * b)
+    return np.log1p(scale * (one + two) / 2) - np.log1p(scale)
+
+
+def _summed(out: np.ndarray, text: Text, owner: np.ndarray, sign: np.ndarray, places: np.ndarray, family: Family, scale: float) -> None:
+    """Adds signed potentials of windows to their owners' rows; owners come in order."""
+    whole = text.clear(places, family.width)
+    owner, sign, places = owner[whole], sign[whole], places[whole]
+    for at in range(0, len(places), STEP):
+        piece = slice(at, at + STEP)
+        value = potentials(text, places[piece], family, scale) * sign[piece, None]
+        first = np.flatnonzero(np.diff(owner[piece], prepend=-1))
+        out[owner[piece][first][:, None], family.motifs[None, :]] += np.add.reduceat(value, first, axis=0)
+
+
+def _alike(a: str, b: str) -> tuple[int, int]:
     """Letters that both begin, and further ones that both end, alike."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    p = int(differ[0]) if len(differ) else n
-    differ = np.flatnonzero(a[len(a) - (n - p) :][::-1] != b[len(b) - (n - p) :][::-1])
-    return p, int(differ[0]) if len(differ) else n - p
-
-
-def summed(windows: list[tuple[int, float, np.ndarray]], rows: int, kernels: np.ndarray, scale: float) -> np.ndarray:
-    """Signed sums by row of the potentials of (row, sign, windows)."""
-    out = np.zeros((rows, kernels.shape[1] // 2))
-    if not windows:
-        return out
-    words = np.concatenate([w for _, _, w in windows])
-    row = np.repeat([r for r, _, _ in windows], [len(w) for _, _, w in windows])
-    sign = np.repeat([s for _, s, _ in windows], [len(w) for _, _, w in windows])
-    distinct, of = np.unique(words, axis=0, return_inverse=True)
-    of = of.ravel()
-    for at in range(0, len(distinct), STEP):
-        value = word_potentials(distinct[at : at + STEP], kernels, scale)
-        some = np.flatnonzero((of >= at) & (of < at + STEP))
-        some = some[np.argsort(row[some], kind="stable")]
-        if len(some):
-            start = np.flatnonzero(np.concatenate([[True], np.diff(row[some]) != 0]))
-            out[row[some][start]] += np.add.reduceat(value[of[some] - at] * sign[some][:, None], start, axis=0)
-    return out
+    most = min(len(a), len(b))
+    x, y = (np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in (a, b))
+    head = np.flatnonzero(x[:most] != y[:most])
+    p = int(head[0]) if len(head) else most
+    tail = np.flatnonzero(x[len(x) - most + p :][::-1] != y[len(y) - most + p :][::-1])
+    return p, int(tail[0]) if len(tail) else most - p
 
 
-def deltas(references: list[str], sequences: list[str], matrices: list[np.ndarray], scale: float) -> np.ndarray:
+def deltas(references: list[str], sequences: list[str], motifs: list[Family], scale: float) -> np.ndarray:
     """Potential of each sequence minus its reference's: only windows that touch
     the edit differ, so only those are scored."""
-    out = np.zeros((len(references), len(matrices)))
-    pairs = list(zip(_codes(references), _codes(sequences), strict=True))
-    ends = [changed(a, b) for a, b in pairs]
-    for width, columns, kernels in by_width(matrices):
-        windows = []
-        for k, ((a, b), (p, s)) in enumerate(zip(pairs, ends, strict=True)):
-            windows += [(k, 1.0, _windows(b, width, p - width + 1, len(b) - s)), (k, -1.0, _windows(a, width, p - width + 1, len(a) - s))]
-        out[:, columns] = summed(windows, len(pairs), kernels, scale)
+    n = len(references)
+    text = Text([*references, *sequences])
+    same = np.array([_alike(a.upper(), b.upper()) for a, b in zip(references, sequences, strict=True)], np.int64).reshape(n, 2)
+    out = np.zeros((n, sum(len(f.motifs) for f in motifs)))
+    for family in motifs:
+        ranges = []
+        for start, size in ((text.start[:n], text.size[:n]), (text.start[n:], text.size[n:])):
+            last = np.minimum(size - same[:, 1], size - family.width + 1)
+            ranges.append(_spread(np.arange(n), start + np.maximum(same[:, 0] - family.width + 1, 0), start + last))
+        owner, places = (np.concatenate([r[k] for r in ranges]) for k in (0, 1))
+        sign = np.repeat([-1.0, 1.0], [len(r[0]) for r in ranges])
+        order = np.argsort(owner, kind="stable")
+        _summed(out, text, owner[order], sign[order], places[order], family, scale)
     return out
 
 
-def endpoints(sequences: list[str], matrices: list[np.ndarray], scale: float) -> np.ndarray:
+def endpoints(sequences: list[str], motifs: list[Family], scale: float) -> np.ndarray:
     """Potential of each whole sequence for each motif."""
-    out = np.zeros((len(sequences), len(matrices)))
-    codes = _codes(sequences)
-    for width, columns, kernels in by_width(matrices):
-        out[:, columns] = summed([(k, 1.0, _windows(c, width, 0, len(c))) for k, c in enumerate(codes)], len(codes), kernels, scale)
+    text = Text(sequences)
+    out = np.zeros((len(sequences), sum(len(f.motifs) for f in motifs)))
+    for family in motifs:
+        owner, places = _spread(np.arange(len(sequences)), text.start, text.start + text.size - family.width + 1)
+        _summed(out, text, owner, np.ones(len(owner)), places, family, scale)
     return out
 
 
+def _rows(found: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+
+
 def _delta_rows(batches: Iterator[pa.RecordBatch], matrices: list[np.ndarray], scale: float, quadratic: bool) -> Iterator[pa.RecordBatch]:
+    motifs = families(matrices)
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
             r, s = b.column("reference").to_pylist(), b.column("sequence").to_pylist()
-            found = deltas(r, s, matrices, scale)
-            columns = [b.column("reference"), b.column("sequence"), pa.array(list(found), pa.list_(pa.float64()))]
+            found = deltas(r, s, motifs, scale)
+            columns = [b.column("reference"), b.column("sequence"), _rows(found)]
             if quadratic:
-                both = endpoints(r, matrices, scale) + endpoints(s, matrices, scale)
-                columns.append(pa.array(list(found * both), pa.list_(pa.float64())))
+                columns.append(_rows(found * (endpoints(r, motifs, scale) + endpoints(s, motifs, scale))))
             yield pa.RecordBatch.from_arrays(columns, ["reference", "sequence", "delta", "quadratic"][: len(columns)])
 
 
+def _each_once(df: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows of keys without nulls, dealt to all cores: a row costs
+    milliseconds, so partitions of few bytes must not be merged."""
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.select(*keys).dropna().repartition(parts, *keys).distinct()
+
+
 def motif_deltas(df: DataFrame, matrices: list[np.ndarray], scale: float = 1.0, quadratic: bool = False) -> DataFrame:
     """df (reference, sequence, ...) with delta, an array over the motifs, and,
     if asked for, quadratic: delta times the sum of both potentials. Equal pairs
     are scored once; null sequences get nulls."""
-    pairs = df.select("reference", "sequence").filter("reference is not null and sequence is not null").distinct()
     ddl = "reference string, sequence string, delta array<double>" + (", quadratic array<double>" if quadratic else "")
-    scored = pairs.mapInArrow(partial(_delta_rows, matrices=matrices, scale=scale, quadratic=quadratic), ddl)
+    scored = _each_once(df, "reference", "sequence").mapInArrow(partial(_delta_rows, matrices=matrices, scale=scale, quadratic=quadratic), ddl)
     return df.join(scored, ["reference", "sequence"], "left")
 
 
 def _endpoint_rows(batches: Iterator[pa.RecordBatch], matrices: list[np.ndarray], scale: float) -> Iterator[pa.RecordBatch]:
+    motifs = families(matrices)
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
-            found = endpoints(b.column("sequence").to_pylist(), matrices, scale)
-            yield pa.RecordBatch.from_arrays([b.column("sequence"), pa.array(list(found), pa.list_(pa.float64()))], ["sequence", "potential"])
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            yield pa.RecordBatch.from_arrays([b.column("sequence"), _rows(endpoints(b.column("sequence").to_pylist(), motifs, scale))], ["sequence", "potential"])
 
 
 def motif_endpoints(df: DataFrame, matrices: list[np.ndarray], scale: float = 1.0) -> DataFrame:
     """df (sequence, ...) with potential, an array over the motifs."""
-    keys = df.select("sequence").filter("sequence is not null").distinct()
-    return df.join(keys.mapInArrow(partial(_endpoint_rows, matrices=matrices, scale=scale), "sequence string, potential array<double>"), "sequence", "left")
+    scored = _each_once(df, "sequence").mapInArrow(partial(_endpoint_rows, matrices=matrices, scale=scale), "sequence string, potential array<double>")
+    return df.join(scored, "sequence", "left")
 
 
 def drawn_matrices(count: int, seed: int = 0) -> list[np.ndarray]:

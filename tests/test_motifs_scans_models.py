@@ -28,8 +28,8 @@ def test_motif_features_match_loops(spark):
     r = ["ACGTTGCAACGGTCATTGACCAGT", "ACGTTGCAACGGTCATTGACCAGT", "AAAA", "ACGNTTACGTAACCGGTTAACCGG", "ACGTTGCAACGGTCATTGACCAGT", ""]
     s = ["ACGTTGCAACGATCATTGACCAGT", "ACGTTGCAACGGACATTGACCAGT"[:20], "AAAAA", "ACGNTTACGTAACCGATTAACCGG", "ACGTTGCAACGGTCATTGACCAGT", "A"]
     want = np.array([[potential(b, m, 0.7) - potential(a, m, 0.7) for m in matrices] for a, b in zip(r, s, strict=True)])
-    assert np.allclose(motifs.deltas(r, s, matrices, 0.7), want, atol=1e-10)
-    assert np.allclose(motifs.endpoints(s, matrices, 0.7), [[potential(x, m, 0.7) for m in matrices] for x in s], atol=1e-10)
+    assert np.allclose(motifs.deltas(r, s, motifs.families(matrices), 0.7), want, atol=1e-10)
+    assert np.allclose(motifs.endpoints(s, motifs.families(matrices), 0.7), [[potential(x, m, 0.7) for m in matrices] for x in s], atol=1e-10)
     d = spark.createDataFrame([(k, a, b, 1.0) for k, (a, b) in enumerate(zip(r, s, strict=True))] + [(9, None, "A", 2.0)], "id int, reference string, sequence string, delta_of double")
     got = {x.id: x for x in motifs.motif_deltas(d, matrices, 0.7, quadratic=True).collect()}
     for k in range(len(r)):
