@@ -116,18 +116,6 @@ def locus_benchmark(spark, d):
     return X.benchmark(s.select("locus", "id", "change"), "locus", parts(spark, d).filter("id % 3 = 0").select("locus", "id", "truth"), ["id"], "change", "truth").withColumn("agreement", F.round("agreement", 8))
 
 
-@query(f"with p as (select p_brand as locus, p_partkey as id, {RATIO} as ratio from part), b as (select p_brand as locus, p_partkey as other_id, {RATIO} as other from part where p_size < 6), j as (select p.locus, p.id, b.other_id, b.other, abs(p.ratio * b.other - 1) as gap from p join b on p.locus = b.locus and p.id <> b.other_id) select locus, id, other_id, round(gap, 8) as gap, (row_number() over (partition by locus, id order by gap, other, other_id))::int as rank from j qualify rank <= 3")
-def second_site_rescues(spark, d):
-    p = parts(spark, d).select("locus", "id", "ratio")
-    b = t(spark, d, "part").filter("p_size < 6").select(F.col("p_brand").alias("locus"), F.col("p_partkey").alias("other_id"), F.struct((0.25 + (F.col("p_partkey") % 13) / 4.0).alias("v"), F.col("p_partkey").alias("i")).alias("o"))
-    j = p.join(b, "locus").filter("id <> other_id").withColumn("gap", F.abs(F.col("ratio") * F.col("o.v") - 1))
-    # ties by the other's ratio, then id
-    from pyspark.sql import Window
-
-    r = F.row_number().over(Window.partitionBy("locus", "id").orderBy("gap", "o"))
-    return j.withColumn("rank", r).filter("rank <= 3").select("locus", "id", "other_id", F.round("gap", 8).alias("gap"), "rank")
-
-
 @query("with g as (select n_nationkey as key, 0.1 + n_regionkey / 5.0 as length, unnest(range(0, 41)) / 40.0 as x from nation), s as (select key, x, exp(-x / length) * 2 / (1 + exp(-x / length) * 2) > 0.5 as on_ from g) select key, min(x) filter (on_) as first, max(x) filter (on_) as last, count(*) filter (on_) as n from s group by 1")
 def gradient_domains(spark, d):
     n = t(spark, d, "nation").select(F.col("n_nationkey").alias("key"), (0.1 + F.col("n_regionkey") / 5.0).alias("length"))
@@ -214,5 +202,7 @@ def robust_edits(spark, d):
 
 @query(f"with {SCAN}, c as (select locus, id, abs(a - b) <= 0.05 and not ((a > 0.5) <> (b > 0.5)) as silent, (a > 0.5) <> (b > 0.5) as flip from s where signal = 1.0), r as (select p.locus, min(abs(p.ratio * b.other - 1)) as best from (select p_brand as locus, p_partkey as id, {RATIO} as ratio from part) p join (select p_brand as locus, p_partkey as id, {RATIO} as other from part where p_size < 6) b on p.locus = b.locus and p.id <> b.id group by 1) select c.locus, count(*) as edits, count(*) filter (flip) as flips, round(avg(silent::int), 8) as silent, round(any_value(r.best), 8) as best_gap from c left join r on r.locus = c.locus group by 1")
 def locus_report(spark, d):
+    from . import design  # its queries stand on this module's
+
     s = X.regime_scan(parts(spark, d), "ratio", [1.0], _response, 0.5, 0.05)
-    return X.report(s, second_site_rescues(spark, d), "locus").select("locus", "edits", "flips", F.round("silent", 8).alias("silent"), F.round("best_gap", 8).alias("best_gap"))
+    return X.report(s, design.second_site_rescues(spark, d), "locus").select("locus", "edits", "flips", F.round("silent", 8).alias("silent"), F.round("best_gap", 8).alias("best_gap"))
