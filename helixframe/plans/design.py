@@ -100,3 +100,22 @@ def replayed_artifacts(spark, d):
     stated = artifacts.join(seals, "id").withColumn("stated", F.when(altered, F.reverse("digest")).otherwise(F.col("digest")))
     lost = t(spark, d, "orders").filter("o_orderkey % 2003 = 5").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("id"), F.lit("line lost").alias("ref"))
     return lineage.replayed(stated, refs.unionByName(lost))
+
+
+@query("""with dna as (select doc_id, translate(sha256(text), '0123456789abcdef', 'ACGTACGTACGTACGT') as dna from documents)
+select 'doc' || doc_id as record_id, 64::bigint as bases, sha256(dna) as sha256 from dna where 'doc' || doc_id >= 'doc3'""")
+def fasta_records(spark, d):
+    """Documents' DNA written as FASTA and read by its grammar, in ranges that
+    records cross, with a filter that the reader applies."""
+    import uuid
+
+    from ..operators.joins import checkpointed
+    from ..sources import plugin
+    from .registry import dna
+
+    folder = f"{checkpointed(spark.range(0)).sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/fasta-{uuid.uuid4().hex}"
+    record = F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" of "), "family", F.lit("\n"), F.regexp_replace("dna", "(.{30})", "$1\n"))
+    dna(spark, d).select(record.alias("value")).write.text(folder)
+    plugin.register(spark)
+    read = spark.read.format("helix_fasta").option("split", 50_000).option("pin", plugin.FASTA.digest()).load(folder)
+    return read.filter("record_id >= 'doc3'").select("record_id", "bases", F.sha2("sequence", 256).alias("sha256"))
