@@ -104,7 +104,7 @@ def first_refusal(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def admissible_moments(first, second, size: int, cap: float) -> Column:
+def admissible_moments(first, second, size, cap: float) -> Column:
     """Whether a sum and a sum of squares can come from ``size`` values in
     [0, cap], with room for rounding."""
     a, b = col(first), col(second)

@@ -212,8 +212,9 @@ def drawn_matrices(count: int, seed: int = 0) -> list[np.ndarray]:
     return [np.log(np.clip(g.dirichlet(np.full(4, 0.4), int(g.integers(6, 21))).T, 1e-3, None) / 0.25) for _ in range(count)]
 
 
-def scrambled_columns(width: int, seed: str):
+def scrambled_columns(width: int, seed):
     """An array column of a motif's column numbers in an order that hashes of
-    seed and number give, so any engine scrambles alike."""
-    numbers = F.array(*[F.struct(F.sha2(F.lit(f"{seed}:{k}").cast("binary"), 256).alias("h"), F.lit(k).alias("k")) for k in range(width)])
+    seed (a text or a column) and number give, so any engine scrambles alike."""
+    seed = F.lit(seed) if isinstance(seed, str) else seed
+    numbers = F.array(*[F.struct(F.sha2(F.concat(seed, F.lit(f":{k}")).cast("binary"), 256).alias("h"), F.lit(k).alias("k")) for k in range(width)])
     return F.transform(F.array_sort(numbers), lambda x: x["k"])

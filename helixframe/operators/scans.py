@@ -155,6 +155,17 @@ def units(spark, count: int, fields: dict[str, Column]) -> DataFrame:
     return spark.range(count).withColumnRenamed("id", "unit").withColumns(fields)
 
 
+def created(groups: DataFrame, order: list[str], count: str, fields: dict[str, Column]) -> DataFrame:
+    """As many units as each group's count, with ordinal (from 0 within the group),
+    initialised fields and dense ids from 0 in the order of the groups. Ids come
+    from a running total of the counts, so no units are numbered in one task."""
+    from .statistics import running_total
+
+    some = running_total(groups.filter(F.col(count) > 0), order, count, "_to")
+    each = some.withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1)))
+    return each.withColumn("unit", F.col("_to") - F.col(count) + F.col("ordinal")).withColumns(fields).drop("_to", count)
+
+
 def write_conflicts(rules: DataFrame, phase: str, field: str, rule: str) -> DataFrame:
     """(phase, field, rules): fields that several rules write in one phase."""
     return rules.groupBy(phase, field).agg(F.count_distinct(rule).alias("rules")).filter("rules > 1")

@@ -143,41 +143,52 @@ def trace_faults(events: DataFrame, trace: str) -> DataFrame:
     return events.groupBy(trace).applyInArrow(run, f"trace {events.schema[trace].dataType.simpleString()}, fault string")
 
 
-def dinucleotide_shuffle(s: str, seed: int) -> str:
-    """A random string with the same dinucleotide counts, first and last letter:
-    a random Eulerian walk. Last edges are drawn until they lead to the end."""
+def dinucleotide_shuffle(s: str, seed: int | str) -> str:
+    """A random string with the same dinucleotide counts, first and last letter;
+    all such strings are equally likely.
+
+    It is a random Eulerian walk. The last ways out of the letters are a tree that
+    leads to the last letter, drawn by loop-erased random walks: each starts at a
+    letter that isn't in the tree yet and forgets the circles it makes, so the
+    draw ends, with however many letters, and is exact. The other ways out come in
+    random order before."""
     if len(s) < 3:
         return s
     g = random.Random(seed)
     follow: dict[str, list[str]] = {}
     for a, b in zip(s, s[1:], strict=False):
         follow.setdefault(a, []).append(b)
-    end = s[-1]
-    while True:
-        last = {a: g.choice(v) for a, v in follow.items() if a != end}
-        good = set()
-        for a in last:
-            path, x = [], a
-            while x != end and x not in path:
-                path.append(x)
-                x = last[x]
-            if x == end:
-                good.add(a)
-        if len(good) == len(last):
-            break
-    order = {}
-    for a, v in follow.items():
-        v = list(v)
-        if a in last:
-            v.remove(last[a])
-        g.shuffle(v)
-        order[a] = iter([*v, *([last[a]] if a in last else [])])
+    last: dict[str, int] = {}
+    tree = {s[-1]}
+    for letter in sorted(follow):
+        x = letter
+        while x not in tree:
+            last[x] = g.randrange(len(follow[x]))
+            x = follow[x][last[x]]
+        x = letter
+        while x not in tree:
+            tree.add(x)
+            x = follow[x][last[x]]
+    ways = {}
+    for a in sorted(follow):
+        rest = list(follow[a])
+        end = [rest.pop(last[a])] if a in last else []
+        g.shuffle(rest)
+        ways[a] = iter(rest + end)
     out = [s[0]]
     for _ in range(len(s) - 1):
-        out.append(next(order[out[-1]]))
+        out.append(next(ways[out[-1]]))
     return "".join(out)
 
 
+def decoys(df: DataFrame, id_: str, sequence: str, draws: int, seed: str) -> DataFrame:
+    """(id, draw, decoy): each sequence shuffled ``draws`` times; a draw's seed is
+    a hash of seed, id and number, so it doesn't depend on where it is drawn."""
+    each = df.select(id_, sequence, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    own = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string"), F.col("draw").cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return each.select(id_, "draw", dinucleotide_shuffle_udf(sequence, own).alias("decoy"))
+
+
 @F.pandas_udf(T.StringType())
 def dinucleotide_shuffle_udf(s, seed):
     import pandas as pd

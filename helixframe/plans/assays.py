@@ -9,6 +9,7 @@ from ..functions import arrays as A
 from ..functions import sequence as S
 from ..operators import assays as Y
 from ..operators import collections as C
+from ..operators import statistics as Q
 from ..operators.joins import checkpointed
 from .registry import DNA_SQL, EDITS_SQL, dna, edits, query, t
 
@@ -125,12 +126,10 @@ def replay_differences(spark, d):
     return Y.replay_differs(o, again, ["o_orderkey"], ["o_totalprice"])
 
 
-@query("with m as (select l_suppkey, count(*) as n, sum(l_discount) as a, sum(l_discount * l_discount) as b from lineitem group by 1) select l_suppkey, a >= 0 and a <= 10 * n and b <= 0.1 * a and b >= a * a / n - 1e-9 as admissible from m")
+@query("with m as (select l_suppkey, count(*) as n, sum(l_discount) as a, sum(l_discount * l_discount) as b from lineitem group by 1) select l_suppkey, a >= 0 and a <= n * 0.07 * (1 + 1e-12) and b <= 0.07 * a * (1 + 1e-12) and b + 1e-9 >= a * a / n as admissible from m")
 def moment_checks(spark, d):
     m = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_discount").alias("a"), F.sum(F.col("l_discount") * F.col("l_discount")).alias("b"))
-    # moments of all rows as if of 600 values: sums above 600 * cap are refused
-    ok = (F.col("a") >= 0) & (F.col("a") <= 10 * F.col("n")) & (F.col("b") <= 0.1 * F.col("a")) & (F.col("b") >= F.col("a") * F.col("a") / F.col("n") - 1e-9)
-    return m.select("l_suppkey", ok.alias("admissible"))
+    return m.select("l_suppkey", Y.admissible_moments("a", "b", F.col("n"), 0.07).alias("admissible"))
 
 
 IV = "iv as (select l_suppkey as k, (l_orderkey % 5000)::bigint as s, (l_orderkey % 5000 + l_quantity)::bigint as e from lineitem)"
@@ -197,7 +196,7 @@ def inverse_frequency_weights(spark, d):
 @query("with s as (select avg(value) as m, stddev_pop(value) as s from events where value is not null), w as (select event_id, value, 1 / (1 + exp(-2 * (value - m) / s)) as w from events, s where value is not null), q as (select quantile_cont(w, 0.8) as q from w) select event_id, round(w, 6) as multiplier from w, q where w >= q - 1e-12")
 def conserved_top_fifth(spark, d):
     w = Y.conservation_multiplier(t(spark, d, "events").filter("value is not null").select("event_id", "value"), "value")
-    q = w.agg(F.percentile("multiplier", 0.8).alias("q"))
+    q = Q.exact_quantiles(w, "multiplier", {"q": 0.8})
     return w.crossJoin(F.broadcast(q)).filter("multiplier >= q - 1e-12").select("event_id", F.round("multiplier", 6).alias("multiplier"))
 
 
@@ -274,8 +273,9 @@ def state_transitions(spark, d):
 @query("with q as (select quantile_cont(abs(c_acctbal), 0.9) as q, median(c_acctbal) as m from customer) select c_custkey, c_acctbal > m as upper from customer, q where abs(c_acctbal) >= q")
 def top_decile(spark, d):
     c = t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    q = c.agg(F.percentile(F.abs("c_acctbal"), 0.9).alias("q"), F.percentile("c_acctbal", 0.5).alias("m"))
-    return c.crossJoin(F.broadcast(q)).filter(F.abs("c_acctbal") >= F.col("q")).select("c_custkey", (F.col("c_acctbal") > F.col("m")).alias("upper"))
+    c = c.withColumn("size", F.abs("c_acctbal"))
+    q, m = Q.exact_quantiles(c, "size", {"q": 0.9}), Q.exact_quantiles(c, "c_acctbal", {"m": 0.5})
+    return c.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(m)).filter(F.abs("c_acctbal") >= F.col("q")).select("c_custkey", (F.col("c_acctbal") > F.col("m")).alias("upper"))
 
 
 @query("with r as (select o_custkey as k, o_totalprice as v, row_number() over (partition by o_custkey order by o_orderkey) as i from orders) select k, round(sum(v) filter (i % 2 = 1), 4) as odd, round(coalesce(sum(v) filter (i % 2 = 0), 0), 4) as even from r group by 1")
@@ -310,8 +310,8 @@ def stratified_subset(spark, d):
 @query("select l_orderkey, l_linenumber, l_quantity from lineitem qualify row_number() over (partition by l_orderkey order by abs(l_quantity - 25) desc, abs(l_discount), l_linenumber, l_quantity) = 1")
 def featured_edit(spark, d):
     x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", (F.col("l_quantity") - 25).alias("delta"))
-    best = F.min_by(F.struct("l_linenumber", "l_quantity"), F.struct(-F.abs("delta"), F.abs("l_discount"), F.col("l_linenumber"), F.col("l_quantity")))
-    return x.groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.l_linenumber", "b.l_quantity")
+    x = x.withColumn("id", F.struct("l_linenumber", "l_quantity"))
+    return Y.featured(x, ["l_orderkey"], "delta", "l_discount", "id").select("l_orderkey", "featured.l_linenumber", "featured.l_quantity")
 
 
 @query("with n as (select distinct substr(text, 1, 12) as name from documents where text is not null) select name, (row_number() over (order by encode(name)) - 1)::bigint as place from n")
@@ -431,15 +431,17 @@ def variant_collection(spark, d):
     return c.select("id", "record_id", "edit_kind", "start", "end", "ref", "alt", "sequence_sha256", "mutated_bases", "mutated_sequence_sha256")
 
 
-@query(VARIANTS + ", x as (select doc_id, dna, s, ref as r0, alt as a0, dna[s + 1 - 2:s + n + 3] as ref, dna[s + 1 - 2:s] || alt || dna[s + n + 1:s + n + 3] as alt, n from e where s >= 2) select doc_id, case when n = 1 and len(a0) = 1 then 'snv' else 'other' end as kind, len(ref)::int as given from x")
+_PREFIX = "coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: {a}[i] <> {b}[i])) - 1, least(length({a}), length({b})))"
+
+
+@query(VARIANTS + ", x as (select doc_id, dna[s + 1 - 2:s + n + 3] as a, dna[s + 1 - 2:s] || alt || dna[s + n + 1:s + n + 3] as b from e where s >= 2), p as (select *, " + _PREFIX.format(a="a", b="b") + " as p from x), r as (select doc_id, p, length(a) as size, a[p + 1:] as a, b[p + 1:] as b, reverse(a[p + 1:]) as ra, reverse(b[p + 1:]) as rb from p), s as (select *, " + _PREFIX.format(a="ra", b="rb") + " as s from r) select doc_id, p::int as start, (size - s)::int as \"end\", a[1:length(a) - s] as ref, b[1:length(b) - s] as alt from s")
 def padded_edit_spans(spark, d):
-    """Edits written with two letters before and three behind keep their kind
-    when they are trimmed, if they change one base."""
+    """Edits written with two letters before and three behind, trimmed to what
+    they change: substitutions, insertions and deletions."""
     r = raw_variants(spark, d).filter("start >= 2").join(records(spark, d), "record_id")
     before, behind = F.col("sequence").substr(F.col("start") - 1, F.lit(2)), F.col("sequence").substr(F.col("end") + 1, F.lit(3))
     span = S.edit_span(F.concat(before, "ref", behind), F.concat(before, "alt", behind))
-    kind = F.when((F.length(span["ref"]) == 1) & (F.length(span["alt"]) == 1) & (F.length("ref") == 1) & (F.length("alt") == 1), "snv").otherwise("other")
-    return r.select(F.substring("record_id", 2, 20).cast("long").alias("doc_id"), kind.alias("kind"), F.length(F.concat(before, "ref", behind)).alias("given"))
+    return r.select(F.substring("record_id", 2, 20).cast("long").alias("doc_id"), span.alias("span")).select("doc_id", "span.*")
 
 
 @query("select o_orderkey as unit, count(*) as intervals, min(l_quantity)::bigint as low, max(l_quantity)::bigint as high, sum(l_quantity)::bigint as total, bool_or(l_returnflag = 'R') as reverse, bit_or(1 << (l_linenumber % 8))::bigint as mask from orders join lineitem on l_orderkey = o_orderkey group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inverse, lineage
+from ..operators.statistics import running_total
 from .registry import query, t
 from .scans import RATIO, UNIFORM, _response, parts
 
@@ -106,7 +107,7 @@ def replayed_artifacts(spark, d):
 select 'doc' || doc_id as record_id, 64::bigint as bases, sha256(dna) as sha256 from dna where 'doc' || doc_id >= 'doc3'""")
 def fasta_records(spark, d):
     """Documents' DNA written as FASTA and read by its grammar, in ranges that
-    records cross, with a filter that the reader applies."""
+    records cross, with a condition that the reader applies."""
     import uuid
 
     from ..operators.joins import checkpointed
@@ -117,5 +118,42 @@ def fasta_records(spark, d):
     record = F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" of "), "family", F.lit("\n"), F.regexp_replace("dna", "(.{30})", "$1\n"))
     dna(spark, d).select(record.alias("value")).write.text(folder)
     plugin.register(spark)
-    read = spark.read.format("helix_fasta").option("split", 50_000).option("pin", plugin.FASTA.digest()).load(folder)
-    return read.filter("record_id >= 'doc3'").select("record_id", "bases", F.sha2("sequence", 256).alias("sha256"))
+    read = spark.read.format("helix_fasta").option("split", 50_000).option("pin", plugin.FASTA.digest()).option("where", plugin.where(("record_id", ">=", "doc3"))).load(folder)
+    return read.select("record_id", "bases", F.sha2("sequence", 256).alias("sha256"))
+
+
+SITES = """dna as (select doc_id, lang, translate(sha256(text), '0123456789abcdef', 'ACGTACGTACGTACGT') as dna from documents),
+whole as (select lang, string_agg(dna, '' order by doc_id) as s from dna group by lang),
+site as (select doc_id, lang, (row_number() over (partition by lang order by doc_id) - 1) * 64 + doc_id % 64 as start, case when doc_id % 9 = 0 then 'N' else dna[(doc_id % 64) + 1] end as ref from dna)"""
+
+
+@query(f"""with {SITES}, w as (select doc_id, start, ref, s, s[start - 99:start + 156] as w from site join whole using (lang))
+select doc_id as id, start::bigint as start, case when start < 100 or length(w) < 256 then 'off the end' when s[start + 1] <> ref then 'reference differs' end as fault,
+    case when start >= 100 and length(w) = 256 and s[start + 1] = ref then sha256(w) end as sha256 from w""")
+def reference_windows(spark, d):
+    """256 bases about each document's edit, in a record a language that its
+    documents' DNA makes, kept in chunks of 1000 bases."""
+    from ..sources.chunks import chunked, windows
+
+    lines = t(spark, d, "documents").select(F.col("lang").alias("record_id"), F.col("doc_id").alias("place"), F.translate(F.sha2(F.col("text").cast("binary"), 256), "0123456789abcdef", "ACGTACGTACGTACGT").alias("bases"))
+    one = lines.withColumn("n", F.lit(1).cast("long"))
+    numbered = running_total(one, ["record_id", "place"], "n", "to")
+    first = numbered.groupBy("record_id").agg(F.min("to").alias("first"))
+    ref = F.when(F.col("place") % 9 == 0, "N").otherwise(F.col("bases").substr((F.col("place") % 64 + 1).cast("int"), F.lit(1)))
+    sites = numbered.join(first, "record_id").select(F.col("place").alias("id"), "record_id", ((F.col("to") - F.col("first")) * 64 + F.col("place") % 64).alias("start"), ref.alias("ref"))
+    found = windows(sites, chunked(lines, 1000), 100, 256, 1000)
+    return found.select("id", "start", "fault", F.sha2("window", 256).alias("sha256"))
+
+
+@query()
+def decoy_controls(spark, d):
+    """Each document's DNA against 19 shuffles of its own: how many of them have
+    the motif's potential or more."""
+    from ..operators import motifs, scans, simulate
+    from .registry import dna
+    from .scans import RULED
+
+    s = dna(spark, d).select("doc_id", F.col("dna").alias("sequence"))
+    rated = lambda x: motifs.motif_endpoints(x, RULED[:1]).withColumn("v", F.round(F.col("potential")[0], 9))
+    drawn = simulate.decoys(s, "doc_id", "sequence", 19, "d").withColumnRenamed("decoy", "sequence")
+    return scans.empirical_p(rated(s), rated(drawn), ["doc_id"], "v").withColumn("p", F.round("p", 10))

@@ -51,12 +51,12 @@ def motif_features_532(spark, d):
     return e.select("doc_id", F.round(F.aggregate("delta", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max(F.transform("delta", lambda x: F.abs(x))), 6).alias("largest"))
 
 
-ORDER = "select 's1' as seed, list_transform(list_sort([{parts}]), lambda x: x.k) as columns"
-
-
-@query("select list_transform(list_sort([" + ", ".join("{'h': sha256('s1:" + str(k) + "'), 'k': " + str(k) + "}" for k in range(9)) + "]), lambda x: x.k) as columns")
+@query("with m as (select distinct p_type as motif, length(p_type)::int % 8 + 5 as width from part) select motif, array_to_string(list_transform(list_sort(list_transform(range(width), lambda k: {'h': sha256(motif || ':' || k), 'k': k})), lambda x: x.k), ',') as columns from m")
 def scrambled_motif(spark, d):
-    return spark.range(1).select(M.scrambled_columns(9, "s1").alias("columns"))
+    """A motif for each type of part, its columns in a scrambled order."""
+    m = t(spark, d, "part").select(F.col("p_type").alias("motif"), (F.length("p_type") % 8 + 5).alias("width")).distinct()
+    kept = F.filter(M.scrambled_columns(12, F.col("motif")), lambda k: k < F.col("width"))
+    return m.select("motif", F.array_join(kept.cast("array<string>"), ",").alias("columns"))
 
 
 def _weight(letter, j):
@@ -154,9 +154,11 @@ def observation_falsified(spark, d):
     return X.falsified(g, ["k", "n"], "p", "o", 0.85, 0.5).select("k", "n", F.round("rmse", 6).alias("rmse"), F.round("agreement", 8).alias("agreement"), "falsified")
 
 
-@query("select range as unit, range % 7 as kind, 0.5::double as level from range(1000)")
+@query("with p as (select l_partkey, l_suppkey, count(*) as n from lineitem group by 1, 2), c as (select * from p where n > 0) select (row_number() over (order by l_partkey, l_suppkey, k) - 1)::bigint as unit, l_partkey % 7 as kind, 0.5::double as level, k::bigint as ordinal from (select *, unnest(range(n)) as k from c)")
 def created_units(spark, d):
-    return X.units(spark, 1000, {"kind": F.col("unit") % 7, "level": F.lit(0.5)})
+    """As many units for each part of a supplier as it has lines."""
+    n = t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return X.created(n, ["l_partkey", "l_suppkey"], "n", {"kind": F.col("l_partkey") % 7, "level": F.lit(0.5)}).select("unit", "kind", "level", "ordinal")
 
 
 @query("select l_linenumber as phase, l_suppkey % 40 as field, count(distinct l_returnflag) as rules from lineitem group by 1, 2 having count(distinct l_returnflag) > 1")

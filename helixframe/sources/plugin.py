@@ -3,14 +3,17 @@
 A grammar says where a record begins and what row its lines make. Registered, it
 is a format of ``spark.read``: files are read by byte ranges, each by a task that
 takes the records that begin in its range, so a large file is read by many.
-Filters on the grammar's columns are checked before a row leaves the reader.
+Conditions on the grammar's columns, given as the option ``where``, are checked
+before a row leaves the reader. They are an option and not Spark's own push-down,
+as Spark 4.1 keeps filters once pushed with the loaded table: a second query of
+the same DataFrame without them would miss rows.
 
 Anyone's grammar can be registered. Its digest covers its name, its columns and
 the source of its functions; a ``pin`` that differs from it is refused before
 anything is read, so a changed grammar can't pass for the reviewed one.
 
 Options: path (files or folders, separated by commas), split (bytes of a range,
-128 MiB), pin. Files that end in .gz are read whole, by the strict reader. Paths
+128 MiB), pin, where (of ``where()``). Files that end in .gz are read whole, by the strict reader. Paths
 may be URIs of any store that pyarrow knows. Ids that a file repeats in ranges of
 their own aren't seen; ``unique_ids`` checks them."""
 
@@ -30,9 +33,6 @@ from pyspark.sql.types import StructType
 
 from .formats import FormatError, attributes, parse_fasta, parse_fastq, percent_decoded, unpack
 
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
-
-
 @dataclass(frozen=True)
 class Grammar:
     """``begins(lines)``: whether the first of the next ``ahead`` lines begins a
@@ -176,20 +176,26 @@ def records(lines: Iterator[tuple[int, bytes]], end: int, grammar: Grammar) -> I
         yield held
 
 
-_TESTS: dict[type, Callable] = {S.EqualTo: operator.eq, S.GreaterThan: operator.gt, S.GreaterThanOrEqual: operator.ge, S.LessThan: operator.lt, S.LessThanOrEqual: operator.le, S.In: lambda v, some: v in some, S.StringStartsWith: str.startswith, S.IsNotNull: lambda v, _: True}
+_TESTS: dict[str, Callable] = {"=": operator.eq, ">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "in": lambda v, some: v in some, "startswith": str.startswith}
+
+
+def where(*conditions: tuple[str, str, object]) -> str:
+    """The option that keeps rows for which all conditions (column, one of _TESTS,
+    value) hold; a null value holds for none."""
+    for column, test, _ in conditions:
+        if test not in _TESTS:
+            raise FormatError(f"{column}: no test {test!r}")
+    return json.dumps(conditions)
 
 
 class GrammarReader(S.DataSourceReader):
     def __init__(self, grammar: Grammar, names: list[str], options: dict):
-        self.grammar, self.names, self.options = grammar, names, options
-        self.kept: list[tuple[int, type, object]] = []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in self.names:
-                self.kept.append((self.names.index(f.attribute[0]), type(f), getattr(f, "value", None)))
-            else:
-                yield f
+        self.grammar, self.options = grammar, options
+        self.kept = []
+        for column, test, value in json.loads(options.get("where", "[]")):
+            if column not in names or test not in _TESTS:
+                raise FormatError(f"{grammar.name} has no column {column} or no test {test!r}")
+            self.kept.append((names.index(column), test, value))
 
     def partitions(self) -> list[ByteRange]:
         from pyarrow import fs
@@ -228,7 +234,7 @@ class GrammarReader(S.DataSourceReader):
                         raise FormatError(f"byte {offset}: {e}") from None
                     if found is not None:
                         row = (partition.path, offset, *found)
-                        if all(row[k] is not None and _TESTS[kind](row[k], value) for k, kind, value in self.kept):
+                        if all(row[k] is not None and _TESTS[test](row[k], value) for k, test, value in self.kept):
                             yield row
             except (FormatError, UnicodeDecodeError) as e:
                 raise FormatError(f"{partition.path}: {e}") from None
@@ -236,6 +242,7 @@ class GrammarReader(S.DataSourceReader):
 
 def source(grammar: Grammar) -> type[S.DataSource]:
     """The data source of a grammar."""
+    digest = grammar.digest()  # where the source of its functions is at hand
 
     class GrammarSource(S.DataSource):
         @classmethod
@@ -249,17 +256,15 @@ def source(grammar: Grammar) -> type[S.DataSource]:
             if "path" not in self.options:
                 raise FormatError("no path")
             pin = self.options.get("pin")
-            if pin and pin != grammar.digest():
-                raise FormatError(f"{grammar.name} isn't the pinned grammar: its digest is {grammar.digest()}")
+            if pin and pin != digest:
+                raise FormatError(f"{grammar.name} isn't the pinned grammar: its digest is {digest}")
             return GrammarReader(grammar, schema.fieldNames(), dict(self.options))
 
     return GrammarSource
 
 
 def register(spark: SparkSession, *grammars: Grammar) -> None:
-    """Makes formats of grammars (of the three here, if none is said) and lets
-    Spark hand them filters."""
-    spark.conf.set(PUSHDOWN, "true")
+    """Makes formats of grammars, of the three here if none is said."""
     for g in grammars or (FASTA, FASTQ, GFF3):
         spark.dataSource.register(source(g))
 
