@@ -50,3 +50,16 @@ def test_repeated_rows_and_ids(spark):
     one = [(0, 1, 5, 0.0), (0, 2, 5, 0.0), (0, 3, 13, 0.0)]
     other = [(0, 1, 7, 0.0), (0, 2, 5, 1.414214), (0, 3, 5, 1.414214)]
     assert by == sorted(one * 2 + other)
+
+
+def test_recall_of_unclustered_vectors_in_whole_shards(spark):
+    import pandas as pd
+
+    n = 16_000  # two shards of the production size
+    x = np.random.default_rng(3).normal(size=(n, 64)).astype(np.float32).astype(np.float64)
+    d = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in graph_search.nearest(d, every=100, k=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {v for _, v in exact(x, np.arange(n), x[q], q, 10)}) for q in range(0, n, 100))
+    assert len(got) == n // 100 and hits >= 0.93 * 10 * len(got)
