@@ -48,8 +48,9 @@ SLACK = 1e-7
 STEP = 256
 #: Distances of centres that are held at once.
 PAIRS = 1 << 21
-#: Pairs of points that are compared at once rather than walked further.
-DIRECT = 1 << 20
+#: Pairs of points of two small nodes (32 points each) that are compared at once
+#: rather than walked further, and what a product of matrices may be off.
+DIRECT, ROUND = 1 << 10, 1e-9
 
 
 class CoverTree:
@@ -111,10 +112,12 @@ def linked(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tu
         qs = b.children[q] if len(b.children[q]) else np.array([q])
         if len(a.points[p]) * len(b.points[q]) <= DIRECT or len(a.children[p]) == 0 and len(b.children[q]) == 0:
             i, j = a.points[p], b.points[q]
-            hit = a.x[i] @ b.x[j].T >= cosine
-            r, c = np.nonzero(hit)
+            r, c = np.nonzero(a.x[i] @ b.x[j].T >= cosine - ROUND)
             i, j = i[r], j[c]
-            keep = i < j if same and p == q else np.ones(len(i), bool)
+            # one formula decides, whatever else is in the product
+            keep = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= cosine
+            if same and p == q:
+                keep &= i < j
             yield i[keep], j[keep]
             continue
         high = max(1, PAIRS // len(qs))

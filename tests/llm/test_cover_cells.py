@@ -50,3 +50,22 @@ def test_repeated_ids_and_odd_rows(spark):
     got = sorted((tuple(r) for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=repr)
     want = [(7, 0, 7, True), (7, 3, 7, True), (9, 3, 7, False), (9, 3, 7, False), (11, 3, 7, False), (4, 0, 4, True), (None, 0, None, False), (12, 0, 12, True), (13, 0, 13, True)]
     assert got == sorted(want, key=repr)
+
+
+def test_trees_are_walked_in_large_blocks(spark):
+    """3,600 points of a label, more pairs than are compared at once."""
+    g = np.random.default_rng(9)
+    centres = g.normal(size=(60, 24))
+    x = centres[g.integers(0, 60, 4200)] + 0.3 * g.normal(size=(4200, 24))
+    x[500:900] = x[3] + 0.01 * g.normal(size=(400, 24))
+    x[900:1000] = x[3]
+    labels = np.where(np.arange(4200) < 3600, 0, 1)
+    d = spark.createDataFrame([(k, x[k].tolist(), int(labels[k])) for k in range(4200)], "vec_id long, embedding array<double>, label int").repartition(4)
+    n, root = brute(x, labels, 0.93)
+    walked = []
+    tree = cover_tree.CoverTree(x[:3600] / np.linalg.norm(x[:3600], axis=1, keepdims=True))
+    for i, j in cover_tree.linked(tree, tree, 0.93, True):
+        walked.append(len(i))
+    assert len(walked) > 50 and sum(walked) == n[:3600].sum() // 2
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_duplicates(d, 0.93).collect()}
+    assert all(got[k] == (n[k], root[k], root[k] == k) for k in range(4200))
