@@ -97,6 +97,24 @@ class CoverTree:
     def arrays(self) -> None:
         self.centres, self.radii = np.array(self.centre), np.array(self.radius)
         self.single = np.array([len(p) == 1 for p in self.points])
+        self.count = np.array([len(p) for p in self.points])
+        self.offset = np.cumsum(self.count) - self.count
+        self.flat = np.concatenate(self.points)
+
+
+def _compared(a: CoverTree, b: CoverTree, u: np.ndarray, v: np.ndarray, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of the points of nodes u[k] and v[k], of all k at once."""
+    n = a.count[u] * b.count[v]
+    cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS), "right") if len(n) else []
+    for lo, hi in zip([0, *cuts], [*cuts, len(n)], strict=True):
+        x, y, m = u[lo:hi], v[lo:hi], n[lo:hi]
+        of = np.repeat(np.arange(len(m)), m)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        i, j = a.flat[a.offset[x][of] + k // b.count[y][of]], b.flat[b.offset[y][of] + k % b.count[y][of]]
+        hit = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= cosine
+        if same:
+            hit &= (i < j) | (x != y)[of]
+        yield i[hit], j[hit]
 
 
 def linked(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -145,6 +163,9 @@ def linked(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> Iterator[tu
                 else:
                     yield np.repeat(i, len(j)), np.tile(j, len(i))
             rest = ~inside & ~points
+            small = rest & (a.count[u] * b.count[v] <= DIRECT)
+            yield from _compared(a, b, u[small], v[small], cosine, same)
+            rest &= ~small
             stack.extend(zip(u[rest].tolist(), v[rest].tolist(), strict=True))
 
 
