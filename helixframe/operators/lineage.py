@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import checkpointed
+from .statistics import running_total
 
 
 def _reached(edges: DataFrame) -> DataFrame:
@@ -113,3 +114,34 @@ def replayed(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
     right = F.coalesce(F.col("stated") == F.col("digest"), F.lit(False)) | F.coalesce(F.col("stated") == local, F.lit(False))
     fault = F.when(F.col("missing"), "missing reference").when(F.col("on_cycle"), "cycle").when(~right & F.col("digest").isNotNull(), "stated digest").when(F.col("digest").isNull(), "below a fault")
     return all_.select("id", "level", "digest", fault.alias("fault"))
+
+
+def attribute(tag: str) -> F.Column:
+    """The values of a tag of a record's ``attributes``, none if it isn't there."""
+    found = F.transform(F.filter("attributes", lambda a: a["tag"] == tag), lambda a: a["values"])
+    return F.coalesce(F.try_element_at(found, F.lit(1)), F.array().cast("array<string>"))
+
+
+def compiled_graph(records: DataFrame, relations: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Records (type, attributes) as a graph. Units: (id, kind, unit, level, above,
+    fault), one for each ID, whatever lines it has; numbers are dense and a unit's
+    are larger than those of all it stands below. Edges: (child, parent, relation)
+    by unit, a row for each of ``relations`` (names by attribute) that is given.
+
+    Faults: "cycle", "below a cycle", "missing parent" and "several kinds" (lines of
+    one ID that differ in type). Units with a fault have no number, and their edges
+    are left out. Records without an ID are no units but may not refer to any."""
+    r = records.select(F.try_element_at(attribute("ID"), F.lit(1)).alias("id"), F.col("type").alias("kind"), *[attribute(a).alias(f"_{a}") for a in relations])
+    given = F.array(*[F.struct(F.lit(name).alias("relation"), F.col(f"_{a}").alias("ids")) for a, name in relations.items()])
+    links = checkpointed(r.filter("id is not null").select("id", F.explode(given).alias("g")).select("id", "g.relation", F.explode("g.ids").alias("other")).distinct())
+    nodes = checkpointed(r.filter("id is not null").groupBy("id").agg(F.min("kind").alias("kind"), F.count_distinct("kind").alias("kinds")))
+    missing = links.join(nodes.select(F.col("id").alias("other")), "other", "left_anti").select("id").distinct().withColumn("_missing", F.lit(True))
+    known = links.join(nodes.select(F.col("id").alias("other")), "other", "left_semi")
+    placed = levels(nodes, "id", known, "id", "other").withColumnRenamed("node", "id")
+    fault = F.coalesce("fault", F.when(F.col("_missing"), "missing parent"), F.when(F.col("kinds") > 1, "several kinds"))
+    all_ = checkpointed(nodes.join(placed, "id").join(missing, "id", "left").select("id", "kind", "level", "above", fault.alias("fault")))
+    sound = running_total(all_.filter("fault is null").select("id", "level", F.lit(1).cast("long").alias("n")), ["level", "id"], "n", "to")
+    number = checkpointed(sound.select("id", (F.col("to") - 1).alias("unit")))
+    units = all_.join(number, "id", "left").select("id", "kind", "unit", "level", "above", "fault")
+    edges = known.join(number.withColumnRenamed("unit", "child"), "id").join(number.select(F.col("id").alias("other"), F.col("unit").alias("parent")), "other")
+    return units, edges.select("child", "parent", "relation")

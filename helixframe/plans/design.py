@@ -157,3 +157,44 @@ def decoy_controls(spark, d):
     rated = lambda x: motifs.motif_endpoints(x, RULED[:1]).withColumn("v", F.round(F.col("potential")[0], 9))
     drawn = simulate.decoys(s, "doc_id", "sequence", 19, "d").withColumnRenamed("decoy", "sequence")
     return scans.empirical_p(rated(s), rated(drawn), ["doc_id"], "v").withColumn("p", F.round("p", 10))
+
+
+RECORDS = """rec as (select c_custkey as c, 'f' || c_custkey as id, c_mktsegment as kind from customer),
+link as (select c as node, c // 3 as above from rec where c > 2 union select c, c // 5 from rec where c > 4),
+path as (select c as node, c as spot, 0 as steps from rec union select p.node, l.above, p.steps + 1 from path p join link l on l.node = p.spot),
+depth as (select node, max(steps) as level, count(distinct spot) - 1 as above from path group by 1),
+every as (select id, lower(kind) as kind, level, above, case when c % 400 = 9 then 'missing parent' end as fault from rec join depth on node = c)"""
+
+
+def _gff3_features(spark, d):
+    """Customers as GFF3 features that refer to each other, written as files and
+    read by the grammar."""
+    import uuid
+
+    from ..operators.joins import checkpointed
+    from ..sources import plugin
+
+    folder = f"{checkpointed(spark.range(0)).sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/gff3-{uuid.uuid4().hex}"
+    c = F.col("c_custkey")
+    ref = lambda n: F.when(c >= n, F.concat(F.lit("f"), F.floor(c / n).cast("string")))
+    tag = lambda name, *ids: F.when(F.size(F.array_compact(F.array(*ids))) > 0, F.concat(F.lit(name + "="), F.concat_ws(",", *ids)))
+    attributes = F.concat_ws(";", F.concat(F.lit("ID=f"), c.cast("string")), tag("Parent", ref(3), F.when(c % 400 == 9, "nowhere")), tag("Derives_from", ref(5)))
+    line = F.concat_ws("\t", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.lit("."), F.lower("c_mktsegment"), (c + 1).cast("string"), (c + 9).cast("string"), F.lit("."), F.lit("+"), F.lit("."), attributes)
+    t(spark, d, "customer").select(F.concat(F.lit("##gff-version 3\n"), line).alias("value")).write.text(folder)
+    plugin.register(spark)
+    return spark.read.format("helix_gff3").option("split", 200_000).load(folder)
+
+
+@query(f"""with recursive {RECORDS}
+select e.id, kind, unit, level::bigint as level, above::bigint as above, fault
+from every e left join (select id, (row_number() over (order by level, id) - 1)::bigint as unit from every where fault is null) n on n.id = e.id""")
+def compiled_records(spark, d):
+    """Units of a feature table read as GFF3, in an order that follows its edges."""
+    return lineage.compiled_graph(_gff3_features(spark, d), {"Parent": "part_of", "Derives_from": "derives_from"})[0]
+
+
+@query(f"""with recursive {RECORDS}, n as (select id, (row_number() over (order by level, id) - 1)::bigint as unit from every where fault is null),
+e as (select 'f' || c as id, 'f' || (c // 3) as other, 'part_of' as relation from rec where c > 2 union all select 'f' || c, 'f' || (c // 5), 'derives_from' from rec where c > 4)
+select a.unit as child, b.unit as parent, relation from e join n a on a.id = e.id join n b on b.id = e.other""")
+def compiled_record_edges(spark, d):
+    return lineage.compiled_graph(_gff3_features(spark, d), {"Parent": "part_of", "Derives_from": "derives_from"})[1]

@@ -97,3 +97,22 @@ def test_replay_names_each_fault_once(spark):
     assert {k: v[2] for k, v in got.items() if v[2]} == {"b": "stated digest", "e": "stated digest", "l": "stated digest", "g": "cycle", "h": "cycle", "i": "below a fault", "j": "missing reference", "k": "below a fault"}
     assert {k: v[1] for k, v in got.items() if v[1]} == digest_now
     assert [got[k][0] for k in "abcdefl"] == [0, 1, 2, 3, 1, 2, 0]
+
+
+def test_records_compile_to_numbered_units(spark):
+    def attributes(**tags):
+        return [{"tag": k, "values": v} for k, v in tags.items()]
+
+    rows = [("gene", attributes(ID=["g"])), ("mRNA", attributes(ID=["t1"], Parent=["g"])), ("mRNA", attributes(ID=["t2"], Parent=["g"]))]
+    rows += [("exon", attributes(ID=["e"], Parent=["t1", "t2"]))] * 2 + [("exon", attributes(Parent=["t1"])), ("protein", attributes(ID=["p"], Derives_from=["t2"], Parent=["g"]))]
+    rows += [("x", attributes(ID=["a"], Parent=["b"])), ("x", attributes(ID=["b"], Derives_from=["a"])), ("x", attributes(ID=["c"], Parent=["a"]))]
+    rows += [("x", attributes(ID=["lost"], Parent=["gone"])), ("x", attributes(ID=["two"])), ("y", attributes(ID=["two"]))]
+    records = spark.createDataFrame(rows, "type string, attributes array<struct<tag:string,values:array<string>>>")
+    units, edges = lineage.compiled_graph(records, {"Parent": "part_of", "Derives_from": "derives_from"})
+    got = {r.id: r for r in units.collect()}
+    assert [(k, got[k].unit, got[k].level, got[k].above) for k in ("g", "t1", "t2", "e", "p")] == [("g", 0, 0, 0), ("t1", 1, 1, 1), ("t2", 2, 1, 1), ("e", 3, 2, 3), ("p", 4, 2, 2)]
+    assert {k: r.fault for k, r in got.items() if r.fault} == {"a": "cycle", "b": "cycle", "c": "below a cycle", "lost": "missing parent", "two": "several kinds"}
+    assert all(r.unit is None for r in got.values() if r.fault)
+    want = {(1, 0, "part_of"), (2, 0, "part_of"), (3, 1, "part_of"), (3, 2, "part_of"), (4, 2, "derives_from"), (4, 0, "part_of")}
+    assert sorted(tuple(e) for e in edges.collect()) == sorted(want)
+    assert lineage.compiled_graph(records.limit(0), {"Parent": "part_of"})[0].count() == 0
