@@ -55,9 +55,9 @@ def edit_windows(spark, d):
     return edits(spark, d).select("doc_id", S.window_around("dna", "pos", 5).alias("w"), code.alias("codes"))
 
 
-@query("select doc_id, upper(regexp_replace(substr(text, 1, 200), '[\\s0-9]', '', 'g')) as cleaned from documents where text is not null and regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("select doc_id, upper(regexp_replace(text, '[\\s0-9]', '', 'g')) as cleaned from documents where text is not null and regexp_matches(text, '^[\\x00-\\x7F]*$')")
 def cleaned_texts(spark, d):
-    return t(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", S.clean(F.substring("text", 1, 200)).alias("cleaned"))
+    return t(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", S.clean("text").alias("cleaned"))
 
 
 @query("select o_orderkey, c_mktsegment from orders join customer on c_custkey = o_custkey")
@@ -66,18 +66,20 @@ def strictly_joined(spark, d):
     return J.strict_join(o, t(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment"), ["k"]).select("o_orderkey", "c_mktsegment")
 
 
-@query("with i as (select l_suppkey as k, l_orderkey % 5000 as s, l_orderkey % 5000 + l_quantity as e, l_extendedprice as v from lineitem where l_linenumber = 1), p as (select o_orderkey, o_custkey % 100 + 1 as k, o_orderkey % 5000 as at from orders) select o_orderkey, max(v) as max_value from p left join i on i.k = p.k and i.s <= p.at and p.at < i.e group by 1")
+@query("with i as (select l_suppkey as k, l_orderkey % 5000 as s, l_orderkey % 5000 + l_quantity as e, l_extendedprice as v from lineitem), p as (select o_orderkey, o_custkey % 100 + 1 as k, o_orderkey % 5000 as at from orders) select o_orderkey, max(v) as max_value from p left join i on i.k = p.k and i.s <= p.at and p.at < i.e group by 1")
 def signals_at_points(spark, d):
-    i = t(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 5000).alias("s"), (F.col("l_orderkey") % 5000 + F.col("l_quantity")).alias("e"), F.col("l_extendedprice").alias("v"))
+    i = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") % 5000).alias("s"), (F.col("l_orderkey") % 5000 + F.col("l_quantity")).alias("e"), F.col("l_extendedprice").alias("v"))
     p = t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("k"), (F.col("o_orderkey") % 5000).alias("at"))
     return J.points_in_intervals(p, i, ["k"], "at", "s", "e", "v", 50.0).select("o_orderkey", "max_value")
 
 
-@query("with a as (select l_suppkey as g, list(l_linenumber order by l_linenumber) as m from lineitem where l_orderkey % 3 = 0 group by 1), b as (select l_partkey as g, list(l_linenumber order by l_linenumber) as m from lineitem where l_orderkey % 3 = 1 group by 1) select a.g as left_group, b.g as right_group from a join b on a.m = b.m")
+@query("with a as (select l_partkey as g, list(l_linenumber order by l_linenumber) as m from lineitem where l_returnflag = 'R' group by 1), b as (select l_partkey as g, list(l_linenumber order by l_linenumber) as m from lineitem where l_returnflag <> 'R' group by 1) select a.g as left_group, b.g as right_group from a join b on a.m = b.m")
 def equal_multisets(spark, d):
+    """Parts of which the returned lines have the numbers that another's other
+    lines have."""
     x = t(spark, d, "lineitem")
-    one = x.filter("l_orderkey % 3 = 0").select(F.col("l_suppkey").alias("g"), "l_linenumber")
-    two = x.filter("l_orderkey % 3 = 1").select(F.col("l_partkey").alias("g"), "l_linenumber")
+    one = x.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("g"), "l_linenumber")
+    two = x.filter("l_returnflag <> 'R'").select(F.col("l_partkey").alias("g"), "l_linenumber")
     return J.same_sets(one, two, "g", "l_linenumber").select("left_group", "right_group")
 
 

@@ -122,11 +122,13 @@ def gradient_domains(spark, d):
     return X.profile(n, "key", "length", 41, lambda s: s * 2 / (1 + s * 2))
 
 
-@query("with a as (select l_suppkey as k, l_orderkey // 4 as t, max(l_quantity) as v from lineitem where l_orderkey % 4 = 0 group by 1, 2), b as (select l_suppkey as k, l_orderkey // 4 as t, max(l_extendedprice) as v from lineitem where l_orderkey % 4 = 0 and l_linenumber < 4 group by 1, 2) select k, round(max(abs(a.v - b.v)), 4) as largest, count(*) filter (a.v is null or b.v is null) as missing from a full join b using (k, t) group by 1")
+@query("with a as (select l_suppkey as k, l_orderkey // 4 as t, max(l_quantity) as v from lineitem group by 1, 2), b as (select l_suppkey as k, l_orderkey // 4 as t, max(l_extendedprice) as v from lineitem where l_orderkey % 4 = 0 group by 1, 2) select k, round(max(abs(a.v - b.v)), 4) as largest, count(*) filter (a.v is null or b.v is null) as missing from a full join b using (k, t) group by 1")
 def trajectory_differences(spark, d):
-    x = t(spark, d, "lineitem").filter("l_orderkey % 4 = 0")
+    """Suppliers' quantities by every fourth order against prices at four times
+    the steps, of which the fourth ones are compared."""
+    x = t(spark, d, "lineitem")
     a = x.groupBy(F.col("l_suppkey").alias("k"), F.expr("l_orderkey div 4").alias("t")).agg(F.max("l_quantity").alias("v"))
-    b = x.filter("l_linenumber < 4").groupBy(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("t")).agg(F.max("l_extendedprice").alias("v"))
+    b = x.groupBy(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("t")).agg(F.max("l_extendedprice").alias("v"))
     return X.trajectory_difference(a, b, ["k"], "t", "v", 4).select("k", F.round("largest", 4).alias("largest"), "missing")
 
 
@@ -167,12 +169,13 @@ def rule_conflicts(spark, d):
     return X.write_conflicts(x, "phase", "field", "rule")
 
 
-@query("with b as (select l_suppkey % 30 as port, l_linenumber as i from lineitem where l_orderkey % 50 = 0 and l_suppkey % 30 < 25), g as (select port, count(*) as n, count(distinct i) as d, max(i) as hi from b group by 1), p as (select range as port, range % 8 as size from range(30)) select p.port, case when n is null then 'unbound' when n <> d then 'bound twice' else 'out of range' end as reason from p left join g using (port) where n is null or n <> d or hi >= size")
+@query("with g as (select l_orderkey as port, count(*) as n, count(distinct l_linenumber) as d, max(l_linenumber) as hi from lineitem group by 1), p as (select o_orderkey as port, o_orderkey % 8 as size from orders) select p.port, case when n is null then 'unbound' when n <> d then 'bound twice' else 'out of range' end as reason from p left join g using (port) where n is null or n <> d or hi >= size")
 def port_faults(spark, d):
+    """Orders as ports that their lines bind."""
     from ..operators.collections import unbound_ports
 
-    p = spark.range(30).select(F.col("id").alias("port"), (F.col("id") % 8).alias("size"))
-    b = t(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select((F.col("l_suppkey") % 30).alias("port"), F.col("l_linenumber").alias("i")).filter("port < 25")
+    p = t(spark, d, "orders").select(F.col("o_orderkey").alias("port"), (F.col("o_orderkey") % 8).alias("size"))
+    b = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("port"), F.col("l_linenumber").alias("i"))
     return unbound_ports(p, b, "port", "i", "size")
 
 
