@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zipfile
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,8 +116,11 @@ def write_crate(folder: str, name: str, files: dict[str, bytes]) -> None:
 
 
 def write_omex(path: str, files: dict[str, bytes]) -> None:
-    """A COMBINE archive with fixed times and sorted entries."""
-    rows = "".join(f'<content location="./{n}" format="http://purl.org/NET/mediatypes/application/octet-stream"/>' for n in sorted(files))
+    """A COMBINE archive with fixed times and sorted entries; its manifest names
+    the archive, itself and each file."""
+    of = "http://identifiers.org/combine.specifications/"
+    kinds = [(".", of + "omex"), ("./manifest.xml", of + "omex-manifest"), *((f"./{n}", "http://purl.org/NET/mediatypes/application/octet-stream") for n in sorted(files))]
+    rows = "".join(f"<content location={quoteattr(n)} format={quoteattr(kind)}/>" for n, kind in kinds)
     body = f'<?xml version="1.0" encoding="UTF-8"?><omexManifest xmlns="http://identifiers.org/combine.specifications/omex-manifest">{rows}</omexManifest>'
     with zipfile.ZipFile(path, "x") as z:
         for n, b in sorted({**files, "manifest.xml": body.encode()}.items()):

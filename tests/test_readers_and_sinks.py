@@ -210,3 +210,15 @@ def test_moments_dates_and_profiles(spark):
     assert all(math.isclose(p, math.comb(4, k) * beta(2 + k, 3 + 4 - k) / beta(2, 3), rel_tol=1e-9) for k, p in enumerate(m))
     dup = spark.createDataFrame([(1, 2), (1, 2), (2, 1)], "a int, b int")
     assert [tuple(r) for r in C.repeated_edges(dup, "a", "b").collect()] == [(1, 2, 2)]
+
+
+def test_archive_manifest_names_itself_and_files_with_marks(tmp_path):
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    names = ['a & b "c"<d>.txt', "it's.txt"]
+    sinks.write_omex(str(tmp_path / "x.omex"), {n: b"1" for n in names})
+    with zipfile.ZipFile(tmp_path / "x.omex") as z:
+        found = [e.get("location") for e in ET.fromstring(z.read("manifest.xml"))]
+        assert sorted(z.namelist()) == sorted([*names, "manifest.xml"])
+    assert found == [".", "./manifest.xml", *(f"./{n}" for n in sorted(names))]
