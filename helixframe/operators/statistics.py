@@ -221,18 +221,24 @@ def bootstrap(df: DataFrame, family: str, value: str, draws: int, seed: str) ->
     return copies.join(means, family).groupBy("draw").agg((F.sum(F.col("_c") * F.col("_m")) / F.sum("_c")).alias("mean"))
 
 
+#: Groups whose cut is sent to the tasks.
+MET = 1 << 14
+
+
 def smallest_means(df: DataFrame, by: list[str], key: str, value: str, size: int, digits: int = 3) -> DataFrame:
     """(by, q): the mean value of each group's ``size`` rows of the least key (a
     lower-case hexadecimal hash). Counts of the key's first digits tell which
     rows are in, and only those that share the last prefix are sorted, so no
-    group is."""
+    group is. Prefixes are counted first and met where the rows are read, so rows
+    outside of them are never shuffled; df is computed twice."""
     p = df.withColumn("_p", F.substring(key, 1, digits))
     n = p.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     w = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    n = n.withColumn("_to", F.sum("_n").over(w))  # 16 ** digits rows a group at most
+    n = checkpointed(n.withColumn("_to", F.sum("_n").over(w)))  # 16 ** digits rows a group at most
     whole = n.filter(F.col("_to") <= size).groupBy(*by).agg(F.sum("_s").alias("_s"), F.max("_to").alias("_c"))
     cut = n.filter((F.col("_to") > size) & (F.col("_to") - F.col("_n") < size)).select(*by, "_p", (F.col("_to") - F.col("_n")).alias("_b"))
-    rest = p.join(cut, [*by, "_p"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(key)) + F.col("_b")).filter(F.col("_r") <= size)
+    few = cut.limit(MET + 1).count() <= MET  # a row a group; more groups than that meet by a shuffle
+    rest = p.join(F.broadcast(cut) if few else cut, [*by, "_p"]).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(key)) + F.col("_b")).filter(F.col("_r") <= size)
     part = rest.groupBy(*by).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_c")).withColumn("_part", F.lit(True))
     both = whole.select(*by, "_s", "_c").unionByName(part.select(*by, "_s", "_c"))
     return both.groupBy(*by).agg((F.sum("_s") / F.sum("_c")).alias("q"))
