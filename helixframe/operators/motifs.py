@@ -19,7 +19,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of a part (a table of 4 ** PART words), and windows looked up at once.
@@ -183,12 +184,15 @@ def _each_once(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys).dropna().repartition(parts, *keys).distinct()
 
 
-def motif_deltas(df: DataFrame, matrices: list[np.ndarray], scale: float = 1.0, quadratic: bool = False) -> DataFrame:
+def motif_deltas(df: DataFrame, matrices: list[np.ndarray], scale: float = 1.0, quadratic: bool = False, summary: dict[str, Column] | None = None) -> DataFrame:
     """df (reference, sequence, ...) with delta, an array over the motifs, and,
     if asked for, quadratic: delta times the sum of both potentials. Equal pairs
-    are scored once; null sequences get nulls."""
+    are scored once; null sequences get nulls. With ``summary``, columns by name
+    of these arrays take their place before anything is shuffled."""
     ddl = "reference string, sequence string, delta array<double>" + (", quadratic array<double>" if quadratic else "")
     scored = _each_once(df, "reference", "sequence").mapInArrow(partial(_delta_rows, matrices=matrices, scale=scale, quadratic=quadratic), ddl)
+    if summary:
+        scored = scored.select("reference", "sequence", *[c.alias(name) for name, c in summary.items()])
     return df.join(scored, ["reference", "sequence"], "left")
 
 
@@ -200,8 +204,24 @@ def _endpoint_rows(batches: Iterator[pa.RecordBatch], matrices: list[np.ndarray]
             yield pa.RecordBatch.from_arrays([b.column("sequence"), _rows(endpoints(b.column("sequence").to_pylist(), motifs, scale))], ["sequence", "potential"])
 
 
-def motif_endpoints(df: DataFrame, matrices: list[np.ndarray], scale: float = 1.0) -> DataFrame:
-    """df (sequence, ...) with potential, an array over the motifs."""
+def _endpoint_columns(batches: Iterator[pa.RecordBatch], matrices: list[np.ndarray], scale: float) -> Iterator[pa.RecordBatch]:
+    motifs = families(matrices)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            texts = b.column("sequence")
+            found = _rows(endpoints([x or "" for x in texts.to_pylist()], motifs, scale))
+            rated = pc.if_else(texts.is_valid(), found, pa.scalar(None, found.type))
+            yield pa.RecordBatch.from_arrays([*b.columns, rated], [*b.schema.names, "potential"])
+
+
+def motif_endpoints(df: DataFrame, matrices: list[np.ndarray], scale: float = 1.0, once: bool = True) -> DataFrame:
+    """df (sequence, ...) with potential, an array over the motifs. Where
+    sequences hardly repeat and motifs are few, ``once=False`` scores each row
+    where it is, without a shuffle."""
+    if not once:
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        return df.mapInArrow(partial(_endpoint_columns, matrices=matrices, scale=scale), f"{kept}, potential array<double>")
     scored = _each_once(df, "sequence").mapInArrow(partial(_endpoint_rows, matrices=matrices, scale=scale), "sequence string, potential array<double>")
     return df.join(scored, "sequence", "left")
 

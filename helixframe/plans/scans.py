@@ -47,8 +47,9 @@ def motif_features_532(spark, d):
     """532 motifs of 6 to 20 bases for every document's edit: the sum and the
     greatest change, so that rows are compared and not 532 columns."""
     m = mutants(spark, d).select("doc_id", F.col("dna").alias("reference"), F.col("mutant").alias("sequence"))
-    e = M.motif_deltas(m, M.drawn_matrices(532))
-    return e.select("doc_id", F.round(F.aggregate("delta", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max(F.transform("delta", lambda x: F.abs(x))), 6).alias("largest"))
+    total = F.round(F.aggregate("delta", F.lit(0.0), lambda s, x: s + x), 6)
+    largest = F.round(F.array_max(F.transform("delta", lambda x: F.abs(x))), 6)
+    return M.motif_deltas(m, M.drawn_matrices(532), summary={"total": total, "largest": largest}).select("doc_id", "total", "largest")
 
 
 @query("with m as (select distinct p_type as motif, length(p_type)::int % 8 + 5 as width from part) select motif, array_to_string(list_transform(list_sort(list_transform(range(width), lambda k: {'h': sha256(motif || ':' || k), 'k': k})), lambda x: x.k), ',') as columns from m")
