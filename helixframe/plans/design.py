@@ -154,7 +154,7 @@ def decoy_controls(spark, d):
     from .scans import RULED
 
     s = dna(spark, d).select("doc_id", F.col("dna").alias("sequence"))
-    rated = lambda x: motifs.motif_endpoints(x, RULED[:1]).withColumn("v", F.round(F.col("potential")[0], 9))
+    rated = lambda x: motifs.motif_endpoints(x, RULED[:1], once=False).withColumn("v", F.round(F.col("potential")[0], 9))
     drawn = simulate.decoys(s, "doc_id", "sequence", 19, "d").withColumnRenamed("decoy", "sequence")
     return scans.empirical_p(rated(s), rated(drawn), ["doc_id"], "v").withColumn("p", F.round("p", 10))
 
