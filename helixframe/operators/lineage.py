@@ -1,18 +1,24 @@
-"""Graphs of records: closures and levels by doubling, digests replayed along
+"""Graphs of records: closures by doubling, levels, and digests replayed along
 references.
 
-Paths double in each round, so a graph of depth d takes log d rounds; digests need
-their references' digests, so they take a round for each level. Rounds are
-checkpointed; the driver sees whether anything is left, nothing else."""
+Levels and digests take a round for each level, and each edge is looked up once
+its end is known. A node's ancestors come from its parents', so the work is that
+of the rows of the closure; only what lies deeper than DEEP rounds is closed by
+doubling, log d rounds of more work. Rounds are stored as columns and discarded
+when the next stands; the driver sees counts alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .joins import checkpointed
+from .joins import checkpointed, discard, stored
 from .statistics import running_total
 
+#: Rounds of one level each, before the rest is closed by doubling.
+DEEP = 48
+
 
 def _reached(edges: DataFrame) -> DataFrame:
     """(node, above) of all paths of edges (node, above), circles or not."""
@@ -51,16 +57,108 @@ def closure(edges: DataFrame, child: str, parent: str) -> tuple[DataFrame, DataF
     return paths, checkpointed(faulty.join(circle, "node", "left").select("node", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle")))
 
 
+def on_circles(edges: DataFrame) -> DataFrame:
+    """(node) of edges (node, above) that a path leads back to. Ends that nothing
+    leaves or nothing enters go first, a layer a round; what paths remain is closed."""
+    core = stored(edges.select("node", "above").filter("node is not null and above is not null").distinct())
+    left = core.count()
+    for _ in range(DEEP):
+        inner = core.join(core.select(F.col("node").alias("above")).distinct(), "above", "left_semi").join(core.select(F.col("above").alias("node")).distinct(), "node", "left_semi")
+        kept = stored(inner.select("node", "above"))
+        discard(core)
+        core, was = kept, left
+        left = core.count()
+        if left == was:
+            break
+    return stored(_reached(core).filter("node = above").select("node").distinct())
+
+
+def _numbered(keys: DataFrame) -> DataFrame:
+    """(key, n) of distinct keys: integers as they are, others any numbers."""
+    if isinstance(keys.schema["key"].dataType, T.IntegralType):
+        return keys.select("key", F.col("key").cast("long").alias("n"))
+    return stored(keys.select("key", F.monotonically_increasing_id().alias("n")))
+
+
+def _placed(e: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Of edges (node, above) between nodes that have something below them: (node,
+    level), parts of (node, above) for all ancestors, and the edges of nodes that
+    stand on or below a circle."""
+    starts = e.select(F.col("above").alias("node")).distinct().join(e.select("node").distinct(), "node", "left_anti")
+    front, paths, level = stored(starts.select("node", F.lit(0).cast("long").alias("level"))), [], 0
+    known, open_ = [front], e.withColumn("done", F.lit(False))
+    while True:
+        seen = open_.join(front.select(F.col("node").alias("above"), F.lit(True).alias("_now")), "above", "left")
+        marked = seen.select("node", "above", (F.col("done") | F.col("_now").isNotNull()).alias("done"))
+        state = stored(marked.withColumn("ready", F.min("done").over(Window.partitionBy("node"))))
+        ready = state.filter("ready").select("node", "above")
+        if level:
+            discard(last)  # noqa: F821
+        last, open_, level = state, state.filter("not ready").drop("ready"), level + 1
+        front = stored(ready.select("node").distinct().withColumn("level", F.lit(level).cast("long")))
+        if front.isEmpty():
+            return _union(known), paths, open_
+        known.append(front)
+        longer = ready
+        if paths:
+            older = _union(paths).select(F.col("node").alias("above"), F.col("above").alias("far"))
+            longer = ready.unionByName(ready.join(older, "above").select("node", F.col("far").alias("above")))
+        paths.append(stored(longer.distinct()))
+        if level >= DEEP:
+            newest = front.select(F.col("node").alias("above"), F.lit(True).alias("_now"))
+            open_ = stored(open_.join(newest, "above", "left").select("node", "above", (F.col("done") | F.col("_now").isNotNull()).alias("done")))
+            rest = open_.filter("not done").select("node", "above")
+            deep, _ = closure(rest, "node", "above")
+            # a deep node's ancestors: deep ones, and those of the edges that leave them
+            legs = deep.select("node", F.col("above").alias("via"), "steps").unionByName(deep.select("node").distinct().select("node", F.col("node").alias("via"), F.lit(0).cast("long").alias("steps")))
+            sound = open_.select("node").distinct().join(rest.select("node").distinct(), "node", "left_anti")
+            legs = stored(legs.unionByName(sound.select("node", F.col("node").alias("via"), F.lit(0).cast("long").alias("steps"))).distinct())
+            leave = legs.join(open_.filter("done").select(F.col("node").alias("via"), "above"), "via")
+            depth = leave.join(_union(known).select(F.col("node").alias("above"), "level"), "above").groupBy("node").agg(F.max(F.col("steps") + 1 + F.col("level")).alias("level"))
+            older = _union(paths).select(F.col("node").alias("above"), F.col("above").alias("far"))
+            out = stored(leave.select("node", "above"))
+            far = out.join(older, "above").select("node", F.col("far").alias("above"))
+            known.append(stored(depth))
+            paths.append(stored(deep.select("node", "above").unionByName(out).unionByName(far).distinct()))
+            return _union(known), paths, open_.join(known[-1].select("node"), "node", "left_anti")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def levels(nodes: DataFrame, id_: str, edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, level, above, fault): how far up the longest path goes and how many
     nodes stand above; null for nodes on a circle ("cycle") or below one ("below
     a cycle")."""
-    paths, faulty = closure(edges, child, parent)
-    up = paths.groupBy("node").agg(F.max("steps").alias("level"), F.count(F.lit(1)).alias("above"))
-    n = nodes.select(F.col(id_).alias("node")).distinct().join(up, "node", "left").join(faulty, "node", "left")
+    given = stored(edges.select(F.col(child).alias("node"), F.col(parent).alias("above")).filter("node is not null and above is not null").distinct())
+    own = nodes.select(F.col(id_).alias("key")).distinct()
+    keys = _numbered(own.unionByName(given.select(F.col("node").alias("key"))).unionByName(given.select(F.col("above").alias("key"))).distinct())
+    e = stored(given.join(keys.select(F.col("key").alias("node"), F.col("n").alias("_c")), "node").join(keys.select(F.col("key").alias("above"), F.col("n").alias("_p")), "above").select(F.col("_c").alias("node"), F.col("_p").alias("above")))
+    # nodes with nothing below them are nobody's ancestors: they come last, all at once
+    has = e.select(F.col("above").alias("node")).distinct()
+    inner, last = stored(e.join(has, "node", "left_semi").select("node", "above")), stored(e.join(has, "node", "left_anti").select("node", "above"))
+    placed, paths, stuck = _placed(inner)
+    circle = on_circles(stuck.select("node", "above"))
+    faulty = stored(stuck.select("node").distinct())
+    top = last.join(placed.select(F.col("node").alias("above"), "level"), "above", "left").groupBy("node").agg(F.when(F.count("level") == F.count(F.lit(1)), F.max("level") + 1).alias("level"))
+    top = stored(top)
+    up = top.filter("level is not null").select("node", "level").unionByName(placed)
+    whole = last.join(top.filter("level is not null").select("node"), "node", "left_semi")
+    far = whole
+    counts = []
+    if paths:
+        far = whole.unionByName(whole.join(_union(paths).select(F.col("node").alias("above"), F.col("above").alias("far")), "above").select("node", F.col("far").alias("above")))
+        counts = [p.groupBy("node").agg(F.count(F.lit(1)).alias("above")) for p in paths]
+    above = _union([far.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("above")), *counts])
+    bad = faulty.unionByName(top.filter("level is null").select("node")).join(circle.withColumn("_on", F.lit(True)), "node", "left").select("node", F.coalesce("_on", F.lit(False)).alias("on_cycle"))
+    found = own.join(keys, "key").withColumnRenamed("n", "node").join(up, "node", "left").join(above, "node", "left").join(bad, "node", "left")
     fault = F.when(F.col("on_cycle"), "cycle").when(~F.col("on_cycle"), "below a cycle")
     zero = F.lit(0).cast("long")
-    return n.select("node", *[F.when(F.col("on_cycle").isNull(), F.coalesce(c, zero)).alias(c) for c in ("level", "above")], fault.alias("fault"))
+    return found.select(F.col("key").alias("node"), *[F.when(F.col("on_cycle").isNull(), F.coalesce(c, zero)).alias(c) for c in ("level", "above")], fault.alias("fault"))
 
 
 def _digest(payload, parts) -> F.Column:
