@@ -166,27 +166,88 @@ def _digest(payload, parts) -> F.Column:
     return F.sha2(F.concat(payload, F.lit("\n"), F.array_join(parts, ",")).cast("binary"), 256)
 
 
-def _listed(name: str) -> F.Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("ref", name))), lambda x: x[name])
+def _packed(text) -> F.Column:
+    """Text as bytes; hex digits, which digests are, in half as many."""
+    return F.when(text.rlike(r"\A([0-9a-f]{2})+\z"), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
+
+
+def _unpacked(bytes_) -> F.Column:
+    rest = F.substring(bytes_, 2, (1 << 31) - 1)
+    return F.when(F.hex(F.substring(bytes_, 1, 1)) == "01", F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def _in_order(parts, name: str) -> F.Column:
+    """The digests of references by name, null if one of them has none."""
+    named = F.transform(parts, lambda x: F.struct(x["ref"].alias("ref"), _unpacked(x[name]).alias("d")))
+    return F.when(~F.exists(parts, lambda x: x[name].isNull()), F.transform(F.array_sort(named), lambda x: x["d"]))
+
+
+def _bytes(payload, parts) -> F.Column:
+    """A digest, packed."""
+    return F.concat(F.lit(b"\x01"), F.unhex(_digest(payload, parts)))
+
+
+def _settled(own, parts) -> F.Column:
+    """Artifacts of one id with their digests along the references, and whether they
+    state that or what their references state (``fine``)."""
+    named = F.transform(own, lambda x: F.struct(x["payload"].alias("payload"), x["stated"].alias("stated"), x["fine"].alias("fine"), _bytes(x["payload"], parts).alias("digest")))
+    return F.transform(named, lambda x: F.struct(x["payload"].alias("payload"), x["stated"].alias("stated"), (x["fine"] | F.coalesce(x["stated"] == x["digest"], F.lit(False))).alias("fine"), x["digest"].alias("digest")))
+
+
+def _along(artifacts: DataFrame, refs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Artifacts (id, payload, stated) along refs (id, ref): for each level a stored
+    frame (id, level, missing, own), own with the artifacts and digests of an id, and
+    one of those that no digest reaches, with the references (parts) that lack one.
+
+    A first pass looks up each reference once: what it states, whether it is there,
+    and its digest if it refers to nothing. Then a round a level moves only ids that
+    still wait, with the references that aren't known yet."""
+    kind = refs.schema["ref"].dataType
+    both = artifacts.filter("id is not null").select("id", F.struct(F.coalesce("payload", F.lit("")).alias("payload"), _packed(F.col("stated")).alias("stated")).alias("a"), F.lit(None).cast(T.StructType().add("ref", kind)).alias("r"))
+    both = both.unionByName(refs.filter("id is not null").select("id", F.lit(None).cast(both.schema["a"].dataType).alias("a"), F.struct("ref").alias("r")))
+    nodes = stored(both.groupBy("id").agg(F.collect_list("a").alias("own"), F.collect_set("r").alias("refs")))
+    bare = F.transform("own", lambda x: F.struct(x["payload"].alias("payload"), x["stated"].alias("stated"), F.lit(False).alias("fine")))
+    leaves = nodes.filter("size(refs) = 0").select("id", F.lit(0).cast("long").alias("level"), F.lit(False).alias("missing"), _settled(bare, F.array().cast("array<string>")).alias("own"))
+    known = leaves.select(F.col("id").alias("ref"), F.explode("own").alias("x")).select("ref", F.col("x.stated").alias("stated"), F.col("x.digest").alias("digest"))
+    later = nodes.filter("size(refs) > 0")
+    there = known.unionByName(later.select(F.col("id").alias("ref"), F.explode("own").alias("x")).select("ref", F.col("x.stated").alias("stated"), F.lit(None).cast("binary").alias("digest"))).withColumn("there", F.lit(True))
+    met = later.select("id", F.explode("refs.ref").alias("ref")).join(there, "ref", "left").select("id", F.struct("ref", "stated", "digest", F.col("there").isNull().alias("missing")).alias("part"))
+    rows = met.withColumn("own", F.lit(None).cast(later.schema["own"].dataType)).unionByName(later.select("id", F.lit(None).cast(met.schema["part"].dataType).alias("part"), "own"))
+    one = rows.groupBy("id").agg(F.flatten(F.collect_list("own")).alias("own"), F.collect_list("part").alias("parts"))
+    local = lambda x: F.coalesce(x["stated"] == _bytes(x["payload"], _in_order(F.col("parts"), "stated")), F.lit(False))
+    one = one.select("id", F.exists("parts", lambda x: x["missing"]).alias("missing"), F.transform("own", lambda x: F.struct(x["payload"].alias("payload"), x["stated"].alias("stated"), local(x).alias("fine"))).alias("own"), F.transform("parts", lambda x: F.struct(x["ref"].alias("ref"), x["digest"].alias("digest"))).alias("parts"))
+    levels_, frames, held = [leaves], [nodes], None
+    while True:
+        done = ~F.exists("parts", lambda x: x["digest"].isNull())
+        state = stored(one.select("id", "missing", F.when(done, _settled(F.col("own"), _in_order(F.col("parts"), "digest"))).alias("own"), F.when(~done, F.col("own")).alias("waits"), F.when(~done, F.col("parts")).alias("parts")))
+        if held is not None:
+            discard(held)
+        waiting = state.filter("own is null").select("id", "missing", F.col("waits").alias("own"), "parts")
+        ready = state.filter("own is not null").select("id", "missing", "own")
+        if ready.isEmpty():
+            for df in levels_[:1]:
+                df._frames = [*frames, state]
+            return levels_, waiting
+        front = stored(ready.select("id", F.lit(len(levels_)).cast("long").alias("level"), "missing", "own"))
+        levels_.append(front)
+        frames.append(front)
+        new = front.select(F.col("id").alias("ref"), F.explode("own.digest").alias("digest"))
+        lacks = waiting.select("id", F.explode(F.filter("parts", lambda x: x["digest"].isNull())).alias("x")).select("id", "x.ref").join(new, "ref", "left").select("id", F.struct("ref", "digest").alias("part"))
+        have = waiting.select("id", "missing", "own", F.filter("parts", lambda x: x["digest"].isNotNull()).alias("parts"))
+        rows = lacks.select("id", F.lit(None).cast("boolean").alias("missing"), F.lit(None).cast(have.schema["own"].dataType).alias("own"), F.array("part").alias("parts")).unionByName(have)
+        one = rows.groupBy("id").agg(F.max("missing").alias("missing"), F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("parts")).alias("parts"))
+        held = state
 
 
 def sealed(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id, level, digest) of artifacts (id, payload) along refs (id, ref): those
-    without references first, then whatever refers to known ones only. Artifacts
-    that refer to missing ones or in circles never get a digest."""
-    a = checkpointed(artifacts.select("id", F.coalesce("payload", F.lit("")).alias("payload")))
-    r = checkpointed(refs.select("id", "ref").distinct())
-    front = checkpointed(a.join(r, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level"), _digest(F.col("payload"), F.array().cast("array<string>")).alias("digest")))
-    known, level = front, 0
-    while not front.isEmpty():
-        level += 1
-        # only artifacts that a new digest touches are looked at again
-        touched = r.join(front.select(F.col("id").alias("ref")), "ref", "left_semi").select("id").distinct()
-        mine = r.join(touched, "id", "left_semi").join(known.select(F.col("id").alias("ref"), "digest"), "ref", "left")
-        ready = mine.groupBy("id").agg(_listed("digest").alias("parts"), F.count_if(F.col("digest").isNull()).alias("open")).filter("open = 0")
-        front = checkpointed(ready.join(a, "id").select("id", F.lit(level).cast("long").alias("level"), _digest(F.col("payload"), F.col("parts")).alias("digest")))
-        known = checkpointed(known.unionByName(front))
-    return known
+    """(id, payload, level, digest) of artifacts (id, payload) along refs (id, ref):
+    those without references first, then whatever refers to known ones only.
+    Artifacts that refer to missing ones or in circles never get a digest."""
+    found, _ = _along(artifacts.select("id", "payload", F.lit(None).cast("string").alias("stated")), refs)
+    out = _union([df.select("id", "level", F.explode("own").alias("x")) for df in found])
+    out = stored(out.select("id", "x.payload", "level", _unpacked(F.col("x.digest")).alias("digest")))
+    discard(*found[0]._frames)
+    return out
 
 
 def replayed(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
@@ -199,19 +260,15 @@ def replayed(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
     or from those they state. So a fault is named once, where it is, not at all
     artifacts that build on it; but where a reference both states a wrong digest and
     stands above a changed payload, the artifact can't be told from a wrong one."""
-    a = checkpointed(artifacts.select("id", F.coalesce("payload", F.lit("")).alias("payload"), "stated"))
-    r = checkpointed(refs.select("id", "ref").distinct())
-    known = sealed(a, r)
-    as_stated = r.join(a.select(F.col("id").alias("ref"), "stated"), "ref", "left").groupBy("id").agg(_listed("stated").alias("parts"), F.count_if(F.col("stated").isNull()).alias("open"))
-    missing = r.join(a.select(F.col("id").alias("ref")), "ref", "left_anti").select("id").distinct().withColumn("missing", F.lit(True))
+    found, stuck = _along(artifacts.select("id", "payload", "stated"), refs)
+    sound = _union([df.select("id", "level", F.explode("own").alias("x")) for df in found])
+    sound = sound.select("id", "level", _unpacked(F.col("x.digest")).alias("digest"), F.when(~F.col("x.fine"), "stated digest").alias("fault"))
     # what no digest reached refers to a missing one or to a circle
-    stuck = r.join(known.select("id"), "id", "left_anti")
-    _, circles = closure(stuck, "id", "ref")
-    all_ = a.join(known, "id", "left").join(as_stated, "id", "left").join(missing, "id", "left").join(circles.withColumnRenamed("node", "id"), "id", "left")
-    local = F.when(F.coalesce("open", F.lit(0)) == 0, _digest(F.col("payload"), F.coalesce("parts", F.array().cast("array<string>"))))
-    right = F.coalesce(F.col("stated") == F.col("digest"), F.lit(False)) | F.coalesce(F.col("stated") == local, F.lit(False))
-    fault = F.when(F.col("missing"), "missing reference").when(F.col("on_cycle"), "cycle").when(~right & F.col("digest").isNotNull(), "stated digest").when(F.col("digest").isNull(), "below a fault")
-    return all_.select("id", "level", "digest", fault.alias("fault"))
+    circles = on_circles(stuck.select(F.col("id").alias("node"), F.explode(F.filter("parts", lambda x: x["digest"].isNull())).alias("x")).select("node", F.col("x.ref").alias("above")))
+    fault = F.when(F.col("missing"), "missing reference").when(F.col("_on"), "cycle").otherwise("below a fault")
+    none = [F.lit(None).cast("long").alias("level"), F.lit(None).cast("string").alias("digest")]
+    bad = stuck.select("id", "missing", F.explode("own")).join(circles.select(F.col("node").alias("id"), F.lit(True).alias("_on")), "id", "left").select("id", *none, fault.alias("fault"))
+    return _union([sound, bad, artifacts.filter("id is null").select("id", *none, F.lit("below a fault").alias("fault"))])
 
 
 def attribute(tag: str) -> F.Column:

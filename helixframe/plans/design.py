@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inverse, lineage
+from ..operators.joins import stored
 from ..operators.statistics import running_total
 from .registry import query, t
 from .scans import RATIO, UNIFORM, _response, parts
@@ -66,7 +67,7 @@ def feature_levels(spark, d):
 
 def _tree(spark, d):
     """Lines, their orders, and groups of ten, a hundred and a thousand keys."""
-    lines = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    lines = stored(t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag")))
     orders = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     line = F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
     order = lambda key: F.concat(F.lit("order "), key.cast("string"))
@@ -96,9 +97,8 @@ def replayed_artifacts(spark, d):
     """A tree of sealed artifacts of which some state another digest and some
     refer to what isn't there."""
     artifacts, refs = _tree(spark, d)
-    seals = lineage.sealed(artifacts, refs).select("id", "digest")
     altered = F.conv(F.substring("digest", 1, 4), 16, 10).cast("int") % 101 == 3
-    stated = artifacts.join(seals, "id").withColumn("stated", F.when(altered, F.reverse("digest")).otherwise(F.col("digest")))
+    stated = lineage.sealed(artifacts, refs).withColumn("stated", F.when(altered, F.reverse("digest")).otherwise(F.col("digest")))
     lost = t(spark, d, "orders").filter("o_orderkey % 2003 = 5").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("id"), F.lit("line lost").alias("ref"))
     return lineage.replayed(stated, refs.unionByName(lost))
 

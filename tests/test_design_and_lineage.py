@@ -99,6 +99,27 @@ def test_replay_names_each_fault_once(spark):
     assert [got[k][0] for k in "abcdefl"] == [0, 1, 2, 3, 1, 2, 0]
 
 
+def test_replay_writes_what_is_known_once(spark, monkeypatch):
+    # 1,000 leaves below a chain of four: what is known may not be written again each round
+    written = []
+
+    def counted(f):
+        def write(df):
+            written.append((out := f(df)).count())
+            return out
+
+        return write
+
+    monkeypatch.setattr(lineage, "stored", counted(lineage.stored))
+    monkeypatch.setattr(lineage, "checkpointed", counted(lineage.checkpointed))
+    chain = [("c0", f"leaf{k}") for k in range(1000)] + [(f"c{k + 1}", f"c{k}") for k in range(4)]
+    ids = [f"leaf{k}" for k in range(1000)] + [f"c{k}" for k in range(5)]
+    a = spark.createDataFrame([(k, k, None) for k in ids], "id string, payload string, stated string")
+    out = lineage.replayed(a, spark.createDataFrame(chain, "id string, ref string")).collect()
+    assert len(out) == 1005 and max(r.level for r in out) == 5 and all(r.digest for r in out)
+    assert sum(written) < 2000
+
+
 def test_records_compile_to_numbered_units(spark):
     def attributes(**tags):
         return [{"tag": k, "values": v} for k, v in tags.items()]
