@@ -54,8 +54,8 @@ BUDGET = 64
 #: Cells of the second cut for each element that linked sets may differ in.
 FINE = 2
 #: Signatures that a task holds to see which of them it has twice; signatures of
-#: a bucket.
-CHUNK, BUCKET = 1 << 19, 1 << 20
+#: a bucket, which a task holds some twelve times over, at 8 bytes, to count them.
+CHUNK, BUCKET = 1 << 19, 1 << 19
 #: Elements of the sets of a unit of work, or of a block of a larger cluster.
 UNIT = 1 << 20
 #: Elements that more sets have, and one in SHARE of a unit's, are counted by
@@ -268,14 +268,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, percent: int, buckets
 def shared_count(sig: np.ndarray, name: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(name, count) of a bucket's rows: how many of its signatures another name
     has too, minus what ``tagged`` asks for. Rows that copies repeat count once."""
-    order = np.lexsort((least, name, sig >> _U(1)))
-    group, known, name, least = (sig >> _U(1))[order], (sig & _U(1))[order].astype(np.int64), name[order], least[order]
-    if not len(group):
-        return name, least
-    again = np.concatenate([[False], (group[1:] == group[:-1]) & (name[1:] == name[:-1])])
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    shared = (np.maximum.reduceat(known, start) > 0) | (np.add.reduceat((~again).astype(np.int64), start) > 1)
-    use = np.repeat(shared, np.diff(np.concatenate([start, [len(group)]]))) & ~again
+    order = np.lexsort((least, name, sig >> _U(1))).astype(np.int32)
+    sig, name, least = sig[order], name[order], least[order]
+    del order
+    if not len(sig):
+        return name, least.astype(np.int64)
+    fresh = np.r_[True, sig[1:] >> _U(1) != sig[:-1] >> _U(1)]
+    again = ~fresh & np.r_[False, name[1:] == name[:-1]]
+    start = np.flatnonzero(fresh)
+    shared = np.logical_or.reduceat((sig & _U(1)).astype(bool), start) | (np.add.reduceat((~again).astype(np.int32), start) > 1)
+    use = np.repeat(shared, np.diff(np.r_[start, len(sig)])) & ~again
+    del sig, fresh, again, start, shared
     names, of = np.unique(name[use], return_inverse=True)
     return names, np.bincount(of, np.where(least[use] > 0, -least[use], 1), len(names)).astype(np.int64)
 
@@ -288,8 +291,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work(group: pa.Table) -> Iterator[pa.RecordBatch]:
         for b in group.column("bucket").unique():
             rows = group.filter(pc.equal(group.column("bucket"), b))
-            sig, names, of, least = ([numbers(x, kind) for x in rows.column(c)] for c, kind in (("sig", "<u8"), ("names", "<u8"), ("name", "<u4"), ("least", "<i4")))
-            found = shared_count(np.concatenate(sig), np.concatenate([x[y] for x, y in zip(names, of, strict=True)]), np.concatenate(least).astype(np.int64))
+            sig, least = (np.concatenate([numbers(x, kind) for x in rows.column(c)]) for c, kind in (("sig", "<u8"), ("least", "<i4")))
+            name = np.concatenate([numbers(x, "<u8")[numbers(y, "<u4")] for x, y in zip(rows.column("names"), rows.column("name"), strict=True)])
+            found = shared_count(sig, name, least)
+            del rows, sig, least, name
             yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], ["name", "c"])
 
     yield from by_group(batches, ["bucket"], work)

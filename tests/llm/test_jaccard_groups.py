@@ -89,3 +89,22 @@ def test_shared_signatures_are_counted_once():
     # of a group of this chunk, one row keeps the signature and all know
     met = ngram_jaccard._met(np.array([8, 8, 8, 20], np.uint64), np.array([1, 2, 3, 4], np.uint64))
     assert sorted(x & np.uint64(1) for x in met) == [0, 1, 1, 1] and sum(x >> np.uint64(1) == 4 for x in met) == 1
+
+
+def test_counting_a_bucket_holds_little():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sig, name = rng.integers(0, 1 << 63, ngram_jaccard.BUCKET, np.uint64), rng.integers(0, 1 << 16, ngram_jaccard.BUCKET).astype(np.uint64)
+    sig[1::2], name[1::2] = sig[::2] ^ np.uint64(1), name[::2] + np.uint64(1)
+    least = np.zeros(ngram_jaccard.BUCKET, np.int64)
+    least[::512] = 3
+    tracemalloc.start()
+    names, count = ngram_jaccard.shared_count(sig, name, least)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6
+    want = dict.fromkeys(names.tolist(), 0)
+    for n, m in zip(name.tolist(), least.tolist(), strict=True):
+        want[n] += -m if m else 1
+    assert want == dict(zip(names.tolist(), count.tolist(), strict=True))
